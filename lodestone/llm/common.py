@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 #: A word, where an operator does not define its own: anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -43,3 +46,20 @@ def parts(spark: SparkSession) -> int:
 def folds(column, modulus: int):
     """crc32 of the id as text, modulo: the split into held-out and training rows. Null ids fall as the empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+def annotate(docs: DataFrame, fn: Callable, fields: str, keep: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:
+    """Runs fn over Arrow batches of one text column and returns struct `row` (the kept columns) beside what fn gives.
+
+    fn takes (text array, row struct array) and returns a list of arrays in the order of `fields`, with a value for each row.
+    Kept columns travel inside the struct, so their names can't clash with the new ones.
+    """
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), F.col(f"`{text}`").alias("text"))
+    schema = StructType([packed.schema["row"], *_parse_datatype_string(fields).fields])
+    names = schema.names
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), *fn(batch.column(1), batch.column(0))], names=names)
+
+    return packed.mapInArrow(run, schema)

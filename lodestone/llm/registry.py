@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import chat, mixing
+from lodestone.llm import chat, mixing, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": warc.op1_warc,
     "op4_chat_formatting": chat.op4_chat_formatting,
     "op7_mixing": mixing.op7_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_warc": warc.OP1_SQL,
     "op4_chat_formatting": chat.OP4_SQL,
     "op7_mixing": mixing.OP7_SQL,
 }
