@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import chat, mixing, warc
+from lodestone.llm import chat, decontam, mixing, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": warc.op1_warc,
     "op4_chat_formatting": chat.op4_chat_formatting,
+    "op5_decontamination": decontam.op5_decontamination,
     "op7_mixing": mixing.op7_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": warc.OP1_SQL,
     "op4_chat_formatting": chat.OP4_SQL,
+    "op5_decontamination": decontam.OP5_SQL,
     "op7_mixing": mixing.OP7_SQL,
 }
