@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import chat, decontam, mixing, warc
+from lodestone.llm import chat, classifier, decontam, mixing, quality, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": warc.op1_warc,
+    "op3_quality_rules": quality.op3_quality_rules,
     "op4_chat_formatting": chat.op4_chat_formatting,
     "op5_decontamination": decontam.op5_decontamination,
     "op7_mixing": mixing.op7_mixing,
+    "op9_quality_classifier": classifier.op9_quality_classifier,
 }
 
 ORACLE_SQL: dict[str, str] = {
