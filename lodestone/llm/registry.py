@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import chat, classifier, decontam, mixing, quality, warc
+from lodestone.llm import chat, classifier, decontam, linededup, mixing, quality, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": warc.op1_warc,
+    "op2_line_dedup": linededup.op2_line_dedup,
     "op3_quality_rules": quality.op3_quality_rules,
     "op4_chat_formatting": chat.op4_chat_formatting,
     "op5_decontamination": decontam.op5_decontamination,
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": warc.OP1_SQL,
+    "op2_line_dedup": linededup.OP2_SQL,
     "op4_chat_formatting": chat.OP4_SQL,
     "op5_decontamination": decontam.OP5_SQL,
     "op7_mixing": mixing.OP7_SQL,
