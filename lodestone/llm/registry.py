@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import chat, classifier, decontam, linededup, mixing, quality, warc
+from lodestone.llm import chat, classifier, decontam, linededup, mixing, neardup, quality, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": warc.op1_warc,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_chat_formatting": chat.op4_chat_formatting,
     "op5_decontamination": decontam.op5_decontamination,
     "op7_mixing": mixing.op7_mixing,
+    "op10_minhash": neardup.op10_minhash,
     "op9_quality_classifier": classifier.op9_quality_classifier,
 }
 
