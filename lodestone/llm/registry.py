@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import chat, classifier, decontam, linededup, mixing, neardup, quality, warc
+from lodestone.llm import chat, classifier, classlm, decontam, linededup, mixing, neardup, quality, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": warc.op1_warc,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": quality.op3_quality_rules,
     "op4_chat_formatting": chat.op4_chat_formatting,
     "op5_decontamination": decontam.op5_decontamination,
+    "op6_lm_scoring": classlm.op6_lm_scoring,
     "op7_mixing": mixing.op7_mixing,
     "op10_minhash": neardup.op10_minhash,
     "op9_quality_classifier": classifier.op9_quality_classifier,
