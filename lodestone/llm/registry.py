@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import chat, classifier, classlm, decontam, linededup, mixing, neardup, quality, warc
+from lodestone.llm import chat, classifier, classlm, decontam, linededup, mixing, neardup, quality, suffixdedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": warc.op1_warc,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_lm_scoring": classlm.op6_lm_scoring,
     "op7_mixing": mixing.op7_mixing,
     "op10_minhash": neardup.op10_minhash,
+    "op8_suffix_dedup": suffixdedup.op8_suffix_dedup,
     "op9_quality_classifier": classifier.op9_quality_classifier,
 }
 
