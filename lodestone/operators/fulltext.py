@@ -151,9 +151,10 @@ def search_index(spark, path: str, weights: Mapping[str, float], prefixes: Seque
     weight = F.element_at(F.create_map(*[F.lit(x) for pair in weights.items() for x in (pair[0], float(pair[1]))]), F.col("col"))
     tf = found.groupBy("doc", "i").agg(F.sum(weight).alias("f"))
     df = tf.groupBy("i").agg(F.count("*").alias("n"))
-    totals = lengths.agg(F.count("*").alias("N"), F.avg("dl").alias("mean"))
+    totals = lengths.agg(F.count("*").alias("rows_all"), F.avg("dl").alias("mean"))
     joined = tf.join(F.broadcast(df), "i").join(lengths, "doc").crossJoin(F.broadcast(totals))  # df has a row a phrase, totals one row
-    idf = F.when(F.col("N") - F.col("n") > F.col("n"), F.greatest(F.ln((F.col("N") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(FLOOR))).otherwise(FLOOR)
+    others = F.col("rows_all") - F.col("n")
+    idf = F.when(others > F.col("n"), F.greatest(F.ln((others + 0.5) / (F.col("n") + 0.5)), F.lit(FLOOR))).otherwise(FLOOR)
     part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
     scored = joined.groupBy("doc").agg(F.sum(part).alias("score"), F.count("*").alias("hits"))
     return (scored.where(F.col("hits") == len(prefixes)) if match == "all" else scored).drop("hits")

@@ -51,7 +51,9 @@ def f05_camel(spark, d):
     return top(fulltext.search(table(spark, d, "documents").select("doc_id", "text"), {"text": 1.0}, "inThe"))
 
 
-@query("f08_bm25_weighted", with_symbols(", ") + bm25_sql("sym", "id", WIDE, [(["red"], True), (["gear"], True)], "n0 AND n1 AND lower(framework) = 'brand#3'") + " SELECT id, round(score, 6) AS score FROM (SELECT * FROM scored ORDER BY score DESC, id LIMIT 20)")
+@query("f08_bm25_weighted", with_symbols(", ") + bm25_sql("sym", "id", WIDE, [(["red"], True), (["gear"], True)], "(n0 OR n1) AND lower(framework) = 'brand#3'", ("n0", "n1")) + """,
+have_all AS (SELECT id, score FROM scored WHERE n0 AND n1), every AS (SELECT * FROM have_all UNION ALL SELECT id, score * 0.5 FROM scored WHERE NOT EXISTS (SELECT 1 FROM have_all))
+SELECT id, round(score, 6) AS score FROM (SELECT * FROM every ORDER BY score DESC, id LIMIT 20)""")
 def f08w(spark, d):
     return top(fulltext.search(symbols(spark, d), WIDE, "red gear", where=filters.framework_is(F.col("framework"), "brand#3")), "id")
 

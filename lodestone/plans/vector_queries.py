@@ -74,7 +74,7 @@ def v13(spark, d):
     return symbols(spark, d).select("id", vectorsearch.prompt_query(once).alias("q"), vectorsearch.prompt_document(F.col("title"), F.col("abstract")).alias("doc"))
 
 
-@query("v14_embed_missing", "SELECT count(*) AS embedded, CAST(16 AS INTEGER) AS dims FROM (SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings))")
+@query("v14_embed_missing", "SELECT count(*) AS embedded, CASE WHEN count(*) > 0 THEN CAST(16 AS INTEGER) END AS dims FROM (SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings))")
 def v14(spark, d):
     from lodestone.sources.embedder import embed
 
