@@ -186,8 +186,8 @@ def nearest_smaller(values: np.ndarray, common: np.ndarray, least: int) -> np.nd
     return result
 
 
-def longest_previous_factors(words: np.ndarray, ids: np.ndarray, length: int) -> np.ndarray:
-    """For suffixes given as columns of big-endian words (the last ends at `length`), the longest prefix that a suffix with a smaller id shares, if it reaches `length`."""
+def longest_previous_factors(words: list[np.ndarray], ids: np.ndarray, length: int) -> np.ndarray:
+    """For suffixes given as big-endian words (the last ends at `length`), the longest prefix that a suffix with a smaller id shares, if it reaches `length`."""
     order = np.lexsort((ids, *words[::-1]))
     common = np.zeros(len(order), np.int64)
     equal = np.ones(max(0, len(order) - 1), bool)
@@ -215,14 +215,15 @@ def resolve(rows: np.ndarray, least: np.ndarray, shape: Shape) -> np.ndarray:
     several = np.flatnonzero(size[group] > 1)
     bits = np.zeros(len(unique), np.uint32)
     if len(several):
-        sub = rows[first[several]]
-        at, s = np.nonzero(valid[first[several]])
-        views = np.lib.stride_tricks.sliding_window_view(sub[:, : shape.width], 8, axis=1)
-        lanes = np.ascontiguousarray(views).view(">u8")[:, :, 0].astype(tk.U)
+        sub, ids, ok = rows[first[several]], smallest[several], valid[first[several]]
         places = [*range(0, shape.length - 7, 8)]
         places += [shape.length - 8] if places[-1] != shape.length - 8 else []
-        found = longest_previous_factors(np.stack([lanes[at, s + p] for p in places]), smallest[several][at], shape.length) >= shape.length
-        np.bitwise_or.at(bits, several[at[found]], (1 << s[found]).astype(np.uint32))
+        # Equal windows hold their anchor at the same offset, so suffixes are sorted offset by offset, with little memory.
+        for s in range(shape.starts):
+            own = np.flatnonzero(ok[:, s])
+            words = [np.ascontiguousarray(sub[own, s + p : s + p + 8]).view(">u8")[:, 0].astype(tk.U) for p in places]
+            found = longest_previous_factors(words, ids[own], shape.length) >= shape.length
+            bits[several[own[found]]] |= np.uint32(1 << s)
     return np.where(least > smallest[of], all_bits, bits[of])
 
 
@@ -344,7 +345,7 @@ def covered_bytes(chunk: Chunk, found: Contexts, bits: np.ndarray) -> np.ndarray
     return total[shape.length :] > total[:n]
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 24, chunk_bytes: int = 4 << 20, kept: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 24, chunk_bytes: int = 2 << 20, kept: bool = True) -> DataFrame:
     """(doc_id, n_bytes, spans, kept_sha256, kept): spans are removed runs of bytes; kept (binary) is null unless asked for."""
     spark, shape = docs.sparkSession, Shape(length, gram)
     if not 0 < shape.reach <= 31:

@@ -31,7 +31,7 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n + 1 powers of the hash base and of its inverse, modulo 2**64."""
     if len(_powers.get("up", ())) <= n:
-        size = max(2 * BLOCK_BYTES, 1 << int(n + 1).bit_length())
+        size = max(2 * BLOCK_BYTES, (n + 1) * 9 // 8)
         for key, base in (("up", _BASE), ("down", _BASE_INVERSE)):
             steps = np.full(size, base, U)
             steps[0] = 1
