@@ -5,8 +5,8 @@ a Poisson process in time whose rate is the interval's width; a point falls on o
 that weight lies below c.  A register keeps the earliest time.  Two multisets agree in a register with a chance equal to their weighted Jaccard
 similarity.  Processes are advanced together, one point a round, and stop as soon as their time passes the latest register of their document.
 
-Bands.  m = bands x rows.  Documents with a band in common are candidates.  No pairs are made inside a band: in each round the smallest member not yet linked becomes the
-leader of its band, and every member is verified against the leader by exact multiset overlap; members that fail stay for the next leader, until none is left.
+Bands.  m = bands x rows.  Documents with a band in common are candidates.  Every member is verified against the leader of its band by exact multiset
+overlap; after that, only members of different components still meet (see classes_of), so a group of copies costs a link a member and not all its pairs.
 Exact copies (md5 of the text) are one node from the start.  Verified links are closed to classes by label propagation with pointer jumping over tables in the shared folder;
 a class is named by its smallest doc_id.
 
@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm import textkit as tk
@@ -96,7 +96,7 @@ def signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
 
     def scan(column: pa.Array, row: pa.StructArray) -> list[pa.Array]:
         out = []
-        for block in tk.blocks(column, 4 << 20):
+        for block in tk.blocks(column, 2 << 20):
             doc, keys, counts = multisets(block)
             made = band_keys(bagminhash(doc, keys, counts, block.n, bands * rows), bands)
             full = np.bincount(doc, minlength=block.n) > 0
@@ -113,7 +113,7 @@ def printed() -> Column:
 
 
 def multiset_blobs(texts: DataFrame) -> DataFrame:
-    """(print, blob): sorted 32-bit hashes of (shingle, occurrence), so that set overlap is multiset overlap."""
+    """(print, blob): sorted 64-bit hashes of (shingle, occurrence), so that set overlap is multiset overlap."""
 
     def scan(column: pa.Array, row: pa.StructArray) -> list[pa.Array]:
         out = []
@@ -121,7 +121,7 @@ def multiset_blobs(texts: DataFrame) -> DataFrame:
             doc, keys, counts = multisets(block)
             each = np.repeat(np.arange(len(keys)), counts)
             nth = np.arange(len(each)) - np.repeat(np.cumsum(counts) - counts, counts)
-            hashed = (tk.mix(keys[each] + nth.astype(tk.U) * _S) >> tk.U(32)).astype(np.uint32)
+            hashed = tk.mix(keys[each] + nth.astype(tk.U) * _S)
             owner = doc[each]
             order = np.lexsort((hashed, owner))
             out += [x.tobytes() for x in np.split(hashed[order], np.searchsorted(owner[order], np.arange(1, block.n)))]
@@ -130,42 +130,130 @@ def multiset_blobs(texts: DataFrame) -> DataFrame:
     return annotate(texts, scan, "blob binary", keep=("print",)).select("row.print", "blob")
 
 
-def overlap(a: bytes, b: bytes) -> float:
-    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
-    at = np.searchsorted(y, x)
-    both = int(np.count_nonzero(y[np.minimum(at, len(y) - 1)] == x)) if len(y) else 0
-    return both / max(1, len(x) + len(y) - both)
+def shared_of(a: bytes, b: bytes) -> tuple[np.ndarray, int, np.ndarray]:
+    """The elements of a, the size of b, and which elements of a are in b."""
+    x, y = np.frombuffer(a, tk.U), np.frombuffer(b, tk.U)
+    if not len(y):
+        return x, 0, np.zeros(len(x), bool)
+    return x, len(y), y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
 
 
-def verify(edges: DataFrame, blobs: DataFrame, least: float) -> DataFrame:
-    """(a, b, near) for edges (a, b)."""
+_VERIFIED = "a binary, b binary, sim double, size_a int, common int, outside array<long>"
+
+
+def verify(edges: DataFrame, blobs: DataFrame) -> DataFrame:
+    """For edges (a, b): the exact multiset overlap, and the elements of a outside b."""
     left = blobs.select(F.col("print").alias("a"), F.col("blob").alias("blob_a"))
     right = blobs.select(F.col("print").alias("b"), F.col("blob").alias("blob_b"))
+    names = [x.split()[0] for x in _VERIFIED.split(", ")]
 
     def run(batches):
         for batch in batches:
-            near = [overlap(x.as_buffer(), y.as_buffer()) >= least for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.bool_())], names=["a", "b", "near"])
+            sim, size, common, outside = [], [], [], []
+            for a, b in zip(batch.column(2), batch.column(3), strict=True):
+                x, n, inside = shared_of(a.as_buffer(), b.as_buffer())
+                both = int(inside.sum())
+                sim.append(both / max(1, len(x) + n - both))
+                size.append(len(x))
+                common.append(both)
+                outside.append(x[~inside].view(np.int64))
+            made = [pa.array(sim, pa.float64()), pa.array(size, pa.int32()), pa.array(common, pa.int32()), pa.array(outside, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=names)
+
+    return edges.join(left, "a").join(right, "b").select("a", "b", "blob_a", "blob_b").mapInArrow(run, _VERIFIED)
+
+
+def labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """members with the label of their component; a node without links is its own."""
+    return members.join(labels.select(F.col("node").alias("print"), "label"), "print", "left").withColumn("label", F.coalesce("label", "print"))
+
+
+def classes_of(members: DataFrame, blobs: DataFrame, least: float, at_once: int = 64) -> DataFrame:
+    """(node, label) of the components of all links inside the bands of members (band, print), without making all pairs of a band.
+
+    1. Every member meets the leader of its band: the member whose bands are fullest, which in a group of copies is the one the others derive from.
+    2. Two members x, y in different components then share few elements through their leader.  A link needs |x & y| >= least / (1 + least) * (|x| + |y|), and the leader's part of that is at
+       most |x & leader|; the rest must be elements both have outside the leader.  So members with a common outside element meet: first each of them the one closest to
+       the leader, then, for what is still apart, by the rarest outside elements of x, as many as the bound leaves open (prefix filter).
+    3. Pairs whose bound asks for no outside element (both lie inside a longer leader) are left: members that can be in one meet the members of other components in rounds of
+       `at_once` a band, less the pairs that the bound or the triangle inequality of the Jaccard distance rules out.
+    """
+    sizes = members.groupBy("band").agg(F.count("*").alias("n"))
+    weight = members.join(sizes, "band").groupBy("print").agg(F.sum("n").alias("w"))
+    leaders = members.join(weight, "print").groupBy("band").agg(F.max(F.struct("w", "print"))["print"].alias("b"))
+    led = stored(members.join(leaders, "band"), "led")
+    checked = stored(verify(led.where("print <> b").select(F.col("print").alias("a"), "b").distinct(), blobs), "verified")
+    edges = checked.where(F.col("sim") >= least).select("a", "b")
+    labels = components(edges)
+
+    outside = checked.select("a", "b", "sim", F.explode("outside").alias("token"))
+    closest = outside.groupBy("b", "token").agg(F.max(F.struct("sim", "a"))["a"].alias("c"), F.count("*").alias("df")).where("df > 1")
+    closest = stored(closest, "closest")
+    meets = outside.join(closest, ["b", "token"]).where("a <> c").select("a", "c").distinct()
+    apart = _apart(meets.select("a", F.col("c").alias("b")), labels)
+    found = stored(verify(apart, blobs), "verified").where(F.col("sim") >= least).select("a", "b")
+    edges = edges.unionByName(found)
+    labels = components(edges)
+
+    # The smallest size a partner of x can have: one of the sizes there are (a set of numbers, not of members) that is at least `least` of x's.
+    bounded = checked.join(checked.groupBy("b").agg(F.collect_set("size_a").alias("sizes")), "b")
+    floor = F.ceil(least * F.col("size_a") - 1e-9)
+    other = F.coalesce(F.array_min(F.filter("sizes", lambda n: n >= floor)), floor)
+    needs = F.ceil(least / (1 + least) * (F.col("size_a") + other) - 1e-9) - F.col("common")
+    bounded = stored(bounded.withColumn("needs", needs).select("a", "b", "needs", "outside"), "bounds")
+    tokens = bounded.select("a", "b", F.greatest("needs", F.lit(1)).alias("needs"), F.size("outside").alias("all"), F.explode("outside").alias("token"))
+    tokens = _not_with_leader(tokens, labels).join(closest.select("b", "token", "df"), ["b", "token"], "left").withColumn("df", F.coalesce("df", F.lit(1)))
+    order = Window.partitionBy("a", "b").orderBy("df", "token")
+    prefix = tokens.withColumn("n", F.row_number().over(order)).where("n <= all - needs + 1 AND df > 1").select("a", "b", "token")
+    meets = prefix.join(outside.select("b", "token", F.col("a").alias("y")), ["b", "token"]).where("a <> y").select(F.least("a", "y").alias("a"), F.greatest("a", "y").alias("b")).distinct()
+    found = stored(verify(_apart(meets, labels), blobs), "verified").where(F.col("sim") >= least).select("a", "b")
+    if not found.isEmpty():
+        edges = edges.unionByName(found)
+        labels = components(edges)
+
+    inner = bounded.where("needs <= 0").select(F.col("a").alias("print"), "b", F.lit(True).alias("inner"))
+    met = led.join(checked.select(F.col("a").alias("print"), "b", "sim", "size_a", "common"), ["print", "b"], "left").join(inner, ["print", "b"], "left")
+    placed = stored(met.select("band", "print", "b", F.coalesce("sim", F.lit(1.0)).alias("sim"), "size_a", "common", F.coalesce("inner", F.lit(False)).alias("inner")), "placed")
+    done = None
+    while True:
+        tagged = labelled(placed, labels)
+        open_members = _not_with_leader(placed.where("inner").withColumnRenamed("print", "a"), labels).withColumnRenamed("a", "print")
+        if done is not None:
+            open_members = open_members.join(done, ["band", "print"], "left_anti")
+        chosen = open_members.withColumn("n", F.row_number().over(Window.partitionBy("band").orderBy("print"))).where(F.col("n") <= at_once)
+        chosen = stored(labelled(chosen.select("band", "print", "sim", "size_a", "common"), labels), "inner")
+        if chosen.isEmpty():
+            return labels
+        lists = chosen.groupBy("band").agg(F.collect_list(F.struct("print", "label", "sim", "size_a", "common")).alias("others"))  # at most at_once a band
 
-    return edges.join(left, "a").join(right, "b").select("a", "b", "blob_a", "blob_b").mapInArrow(run, "a binary, b binary, near boolean")
+        def possible(o: Column) -> Column:
+            """Another component, within the triangle inequality, and what both share with the leader may do by itself; all other pairs met by an outside element, and
+            the leader itself was met first."""
+            enough = F.least(o["common"], F.col("common")) >= least / (1 + least) * (o["size_a"] + F.col("size_a")) - 1e-9
+            return (o["label"] != F.col("label")) & (F.abs(o["sim"] - F.col("sim")) <= 1 - least + 1e-9) & enough
 
+        pairs = tagged.join(lists, "band").select("print", F.explode(F.transform(F.filter("others", possible), lambda o: o["print"])).alias("other"))
+        pairs = pairs.select(F.least("print", "other").alias("a"), F.greatest("print", "other").alias("b")).distinct()
+        found = stored(verify(pairs, blobs), "verified").where(F.col("sim") >= least).select("a", "b")
+        own = chosen.select("band", "print")
+        done = own if done is None else done.unionByName(own)
+        if not found.isEmpty():
+            edges = edges.unionByName(found)
+            labels = components(edges)
 
-def links(members: DataFrame, blobs: DataFrame, least: float) -> DataFrame:
-    """Verified (a, b) from (band, print) of bands with several members: leaders by rounds, until every member met its leader."""
-    open_members = members  # not yet linked to a leader of their band
-    done = None
-    while True:
-        leaders = open_members.groupBy("band").agg(F.min("print").alias("b"))
-        # The first round's members are all open; later leaders also meet those that an earlier leader took.
-        pairs = members.join(leaders, "band").where("print <> b").select("band", F.col("print").alias("a"), "b")
-        pairs = stored(pairs, "band-pairs")
-        checked = stored(verify(pairs.select("a", "b").distinct(), blobs, least), "verified")
-        good = checked.where("near").select("a", "b")
-        done = good if done is None else done.unionByName(good)
-        failed = pairs.join(checked.where("NOT near").select("a", "b"), ["a", "b"], "left_semi").select("band", F.col("a").alias("print"))
-        open_members = stored(failed if open_members is members else failed.join(open_members, ["band", "print"], "left_semi"), "open-members")
-        if open_members.isEmpty():
-            return done
+
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose components differ."""
+    of = lambda name, out: labels.select(F.col("node").alias(name), F.col("label").alias(out))
+    joined = pairs.join(of("a", "label_a"), "a", "left").join(of("b", "label_b"), "b", "left")
+    return joined.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
+
+
+def _not_with_leader(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows (a, b, ...) whose a is not in the component of its leader b."""
+    of = lambda name, out: labels.select(F.col("node").alias(name), F.col("label").alias(out))
+    joined = rows.join(of("a", "label_a"), "a", "left").join(of("b", "label_b"), "b", "left")
+    return joined.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).drop("label_a", "label_b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -196,7 +284,7 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, bands: int = 24, rows:
     chosen = texts.join(wanted.select(F.col("print").alias("p"), F.col("doc_id").alias("d")), (F.col("print") == F.col("p")) & F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
     blobs = stored(multiset_blobs(chosen).groupBy("print").agg(F.any_value("blob").alias("blob")), "multisets")
 
-    labels = components(links(members, blobs, least))
+    labels = classes_of(members, blobs, least)
     named = nodes.select("print", "doc_id").join(labels.withColumnRenamed("node", "print"), "print", "left").withColumn("label", F.coalesce("label", "print"))
     classes = named.groupBy("label").agg(F.min("doc_id").alias("class_id"))
     by_print = stored(named.join(classes, "label").select("print", "class_id"), "classes")
