@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
@@ -21,6 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor shares, from spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    bounded_batches(spark)
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
         found = tempfile.mkdtemp(prefix="lodestone-")
@@ -28,6 +31,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def bounded_batches(spark: SparkSession, most: str = "8m") -> None:
+    """Keeps an Arrow batch small where the session leaves Spark's default: long texts make 10,000 rows large on both sides of the pipe."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) in ("67108864b", "64m", "64MB"):
+        spark.conf.set(name, most)
+
+
+def tidy() -> None:
+    """Gives freed memory back, for the worker process is kept for later tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
@@ -54,6 +71,7 @@ def annotate(docs: DataFrame, fn: Callable, fields: str, keep: Sequence[str] = (
     fn takes (text array, row struct array) and returns a list of arrays in the order of `fields`, with a value for each row.
     Kept columns travel inside the struct, so their names can't clash with the new ones.
     """
+    bounded_batches(docs.sparkSession)
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), F.col(f"`{text}`").alias("text"))
     schema = StructType([packed.schema["row"], *_parse_datatype_string(fields).fields])
     names = schema.names
@@ -61,5 +79,6 @@ def annotate(docs: DataFrame, fn: Callable, fields: str, keep: Sequence[str] = (
     def run(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), *fn(batch.column(1), batch.column(0))], names=names)
+        tidy()
 
     return packed.mapInArrow(run, schema)
