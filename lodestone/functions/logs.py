@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as T
 
 #: Names of levels, lowest first.
-LEVELS = {"trace": 0, "debug": 1, "info": 2, "notice": 2, "warn": 3, "warning": 3, "error": 4, "err": 4, "fatal": 5, "critical": 5}
+LEVELS = {"trace": 0, "debug": 1, "info": 2, "warn": 3, "warning": 3, "error": 4, "silent": 5}
 MAX_DEPTH, MAX_ITEMS, MAX_CHARS = 5, 25, 2000
 
 

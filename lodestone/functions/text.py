@@ -14,8 +14,9 @@ TOKEN = r"[\p{L}\p{N}]+"
 
 
 def fold(text: Column) -> Column:
-    """Lower case without accents; null is empty."""
-    return F.translate(F.lower(F.coalesce(text, F.lit(""))), _ACCENTED, _PLAIN)
+    """Lower case without accents; null is empty.  ASCII text skips the letter-by-letter translation."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.when(F.octet_length(low) == F.length(low), low).otherwise(F.translate(low, _ACCENTED, _PLAIN))
 
 
 def tokens(text: Column) -> Column:

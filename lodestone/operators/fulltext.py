@@ -30,14 +30,10 @@ class Phrase:
     def of(cls, text: str, prefix: bool = True) -> Phrase:
         return cls(tuple(T.query_tokens(text)), prefix)
 
-    def count(self, tokens: Column) -> Column:
-        *head, last = self.words
-        ends = (lambda t: t.startswith(last)) if self.prefix else (lambda t: t == last)
-        if not head:
-            return F.size(F.filter(tokens, ends))
-        # One string of all tokens, so that the tokens are computed once a row; the lookahead counts overlapping places.
-        joined = F.concat(F.lit(" "), F.array_join(tokens, " "))
-        return F.regexp_count(joined, F.lit(f"(?= {' '.join(self.words)}{'' if self.prefix else '(?: |$)'})"))
+    def count(self, joined: Column) -> Column:
+        """Places in ` token token ...`; the lookahead lets phrases overlap, which single words can't."""
+        place = f" {' '.join(self.words)}{'' if self.prefix else '(?= |$)'}"
+        return F.regexp_count(joined, F.lit(place if len(self.words) == 1 else f"(?={place})"))
 
 
 def plan_query(query: str) -> list[list[Phrase]]:
@@ -57,10 +53,11 @@ def counted(rows: DataFrame, columns: Mapping[str, float], phrases: Sequence[Phr
     length = sum((F.size(f"__t_{name}") for name in columns), F.lit(0))
     out = rows.withColumn("__dl", length)
     for i, phrase in enumerate(phrases):
-        each = {name: phrase.count(F.col(f"__t_{name}")) for name in columns}
+        # One string of a column's tokens: no lambda, so generated code computes the tokens once for all phrases and the length.
+        each = {name: phrase.count(F.concat(F.lit(" "), F.array_join(F.col(f"__t_{name}"), " "))) for name in columns}
         out = out.withColumn(f"__c{i}", F.array(*each.values()))
         out = out.withColumn(f"__f{i}", sum((F.get(f"__c{i}", j) * F.lit(float(w)) for j, w in enumerate(columns.values())), F.lit(0.0)))
-        out = out.withColumn(f"__n{i}", F.exists(f"__c{i}", lambda c: c > 0)).drop(f"__c{i}")
+        out = out.withColumn(f"__n{i}", F.array_max(f"__c{i}") > 0).drop(f"__c{i}")
     return out.drop(*(f"__t_{name}" for name in columns))
 
 

@@ -23,8 +23,8 @@ def clamp_limit(limit, default: int = 20, most: int = 100) -> int:
 
 
 def models_agree(a: str | None, b: str | None) -> bool:
-    """Equal names without case and vendor prefix; an unknown model agrees with any."""
-    plain = lambda x: (x or "").strip().lower().rsplit("/", 1)[-1]
+    """Equal names without case and a leading models/; an unknown model agrees with any."""
+    plain = lambda x: (x or "").strip().lower().removeprefix("models/")
     unknown = {"", "unknown", "none"}
     return plain(a) in unknown or plain(b) in unknown or plain(a) == plain(b)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import vectors as V
 from lodestone.operators import fulltext, fusion, vectorsearch
 from lodestone.operators.fulltext import Phrase
-from lodestone.plans.bindings import bm25_sql, symbols, table, with_symbols
+from lodestone.plans.bindings import bm25_sql, documents, symbols, table, with_symbols
 from lodestone.plans.registry import query
 
 
@@ -149,7 +149,7 @@ def x02(spark, d):
 
 
 def _lists(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = documents(spark, d)
     lexical = fulltext.bm25(docs, {"text": 1.0}, [Phrase.of("ention")]).orderBy(F.col("score").desc(), "doc_id").limit(20).select("doc_id", "score")
     near = vectorsearch.nearest(table(spark, d, "embeddings"), first_vector(spark, d), "vec_id", 20).select(F.col("vec_id").alias("doc_id"), F.col("sim").alias("score"))
     order = [F.col("score").desc(), F.col("doc_id")]
