@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm import textkit as tk
-from lodestone.llm.common import annotate, shared_dir, stored, table
+from lodestone.llm.common import annotate, shared_dir, stored, table, tidy
 
 SHINGLE = 5
 _Q = tk.U(0x9E3779B97F4A7C15)
@@ -96,7 +96,7 @@ def signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
 
     def scan(column: pa.Array, row: pa.StructArray) -> list[pa.Array]:
         out = []
-        for block in tk.blocks(column, 2 << 20):
+        for block in tk.blocks(column, 1 << 20):
             doc, keys, counts = multisets(block)
             made = band_keys(bagminhash(doc, keys, counts, block.n, bands * rows), bands)
             full = np.bincount(doc, minlength=block.n) > 0
@@ -159,6 +159,7 @@ def verify(edges: DataFrame, blobs: DataFrame) -> DataFrame:
                 outside.append(x[~inside].view(np.int64))
             made = [pa.array(sim, pa.float64()), pa.array(size, pa.int32()), pa.array(common, pa.int32()), pa.array(outside, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=names)
+        tidy()
 
     return edges.join(left, "a").join(right, "b").select("a", "b", "blob_a", "blob_b").mapInArrow(run, _VERIFIED)
 
@@ -174,7 +175,7 @@ def classes_of(members: DataFrame, blobs: DataFrame, least: float, at_once: int
     1. Every member meets the leader of its band: the member whose bands are fullest, which in a group of copies is the one the others derive from.
     2. Two members x, y in different components then share few elements through their leader.  A link needs |x & y| >= least / (1 + least) * (|x| + |y|), and the leader's part of that is at
        most |x & leader|; the rest must be elements both have outside the leader.  So members with a common outside element meet: first each of them the one closest to
-       the leader, then, for what is still apart, by the rarest outside elements of x, as many as the bound leaves open (prefix filter).
+       the leader, then, for what is still apart, by common outside elements from the rarest on, as far as the bound leaves open (prefix and position filter).
     3. Pairs whose bound asks for no outside element (both lie inside a longer leader) are left: members that can be in one meet the members of other components in rounds of
        `at_once` a band, less the pairs that the bound or the triangle inequality of the Jaccard distance rules out.
     """
@@ -186,7 +187,7 @@ def classes_of(members: DataFrame, blobs: DataFrame, least: float, at_once: int
     edges = checked.where(F.col("sim") >= least).select("a", "b")
     labels = components(edges)
 
-    outside = checked.select("a", "b", "sim", F.explode("outside").alias("token"))
+    outside = checked.select("a", "b", "sim", "size_a", "common", F.explode("outside").alias("token"))
     closest = outside.groupBy("b", "token").agg(F.max(F.struct("sim", "a"))["a"].alias("c"), F.count("*").alias("df")).where("df > 1")
     closest = stored(closest, "closest")
     meets = outside.join(closest, ["b", "token"]).where("a <> c").select("a", "c").distinct()
@@ -195,23 +196,27 @@ def classes_of(members: DataFrame, blobs: DataFrame, least: float, at_once: int
     edges = edges.unionByName(found)
     labels = components(edges)
 
+    # Elements outside the leader, rarest first in one order for all; with i and j places left behind a common element, a pair shares at most 1 + min(i, j) of them.
+    counted = outside.join(closest.select("b", "token", "df"), ["b", "token"])  # shared ones; the others come first and only take up places
+    place = F.row_number().over(Window.partitionBy("a", "b").orderBy(F.col("df").desc(), F.col("token").desc()))
+    left = labelled(counted.withColumn("left", place - 1).withColumnRenamed("a", "print"), labels).withColumnRenamed("print", "a")
+    x, y = _not_with_leader(left, labels).alias("x"), left.alias("y")
+    needs = F.greatest(F.lit(1), F.ceil(least / (1 + least) * (F.col("x.size_a") + F.col("y.size_a")) - 1e-9) - F.least("x.common", "y.common"))
+    possible = (F.col("x.label") != F.col("y.label")) & (F.least("x.left", "y.left") + 1 >= needs)
+    possible = possible & _may_link(*(F.col(f"{side}.{c}") for side in "xy" for c in ("sim", "size_a", "common")), least)
+    meets = x.join(y, (F.col("x.b") == F.col("y.b")) & (F.col("x.token") == F.col("y.token")) & possible)
+    meets = meets.select(F.least("x.a", "y.a").alias("a"), F.greatest("x.a", "y.a").alias("b")).distinct()
+    found = stored(verify(meets, blobs), "verified").where(F.col("sim") >= least).select("a", "b")
+    if not found.isEmpty():
+        edges = edges.unionByName(found)
+        labels = components(edges)
+
     # The smallest size a partner of x can have: one of the sizes there are (a set of numbers, not of members) that is at least `least` of x's.
     bounded = checked.join(checked.groupBy("b").agg(F.collect_set("size_a").alias("sizes")), "b")
     floor = F.ceil(least * F.col("size_a") - 1e-9)
     other = F.coalesce(F.array_min(F.filter("sizes", lambda n: n >= floor)), floor)
     needs = F.ceil(least / (1 + least) * (F.col("size_a") + other) - 1e-9) - F.col("common")
-    bounded = stored(bounded.withColumn("needs", needs).select("a", "b", "needs", "outside"), "bounds")
-    tokens = bounded.select("a", "b", F.greatest("needs", F.lit(1)).alias("needs"), F.size("outside").alias("all"), F.explode("outside").alias("token"))
-    tokens = _not_with_leader(tokens, labels).join(closest.select("b", "token", "df"), ["b", "token"], "left").withColumn("df", F.coalesce("df", F.lit(1)))
-    order = Window.partitionBy("a", "b").orderBy("df", "token")
-    prefix = tokens.withColumn("n", F.row_number().over(order)).where("n <= all - needs + 1 AND df > 1").select("a", "b", "token")
-    meets = prefix.join(outside.select("b", "token", F.col("a").alias("y")), ["b", "token"]).where("a <> y").select(F.least("a", "y").alias("a"), F.greatest("a", "y").alias("b")).distinct()
-    found = stored(verify(_apart(meets, labels), blobs), "verified").where(F.col("sim") >= least).select("a", "b")
-    if not found.isEmpty():
-        edges = edges.unionByName(found)
-        labels = components(edges)
-
-    inner = bounded.where("needs <= 0").select(F.col("a").alias("print"), "b", F.lit(True).alias("inner"))
+    inner = bounded.where(needs <= 0).select(F.col("a").alias("print"), "b", F.lit(True).alias("inner"))
     met = led.join(checked.select(F.col("a").alias("print"), "b", "sim", "size_a", "common"), ["print", "b"], "left").join(inner, ["print", "b"], "left")
     placed = stored(met.select("band", "print", "b", F.coalesce("sim", F.lit(1.0)).alias("sim"), "size_a", "common", F.coalesce("inner", F.lit(False)).alias("inner")), "placed")
     done = None
@@ -230,7 +235,7 @@ def classes_of(members: DataFrame, blobs: DataFrame, least: float, at_once: int
             """Another component, within the triangle inequality, and what both share with the leader may do by itself; all other pairs met by an outside element, and
             the leader itself was met first."""
             enough = F.least(o["common"], F.col("common")) >= least / (1 + least) * (o["size_a"] + F.col("size_a")) - 1e-9
-            return (o["label"] != F.col("label")) & (F.abs(o["sim"] - F.col("sim")) <= 1 - least + 1e-9) & enough
+            return (o["label"] != F.col("label")) & enough & _may_link(o["sim"], o["size_a"], o["common"], F.col("sim"), F.col("size_a"), F.col("common"), least)
 
         pairs = tagged.join(lists, "band").select("print", F.explode(F.transform(F.filter("others", possible), lambda o: o["print"])).alias("other"))
         pairs = pairs.select(F.least("print", "other").alias("a"), F.greatest("print", "other").alias("b")).distinct()
@@ -242,6 +247,13 @@ def classes_of(members: DataFrame, blobs: DataFrame, least: float, at_once: int
             labels = components(edges)
 
 
+def _may_link(sim_x: Column, size_x: Column, common_x: Column, sim_y: Column, size_y: Column, common_y: Column, least: float) -> Column:
+    """What two members' overlaps with one leader leave possible: the triangle inequality, the sizes, and elements enough inside and outside the leader."""
+    most = F.least(common_x, common_y) + F.least(size_x - common_x, size_y - common_y)
+    enough = most >= least / (1 + least) * (size_x + size_y) - 1e-9
+    return (F.abs(sim_x - sim_y) <= 1 - least + 1e-9) & enough
+
+
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs (a, b) whose components differ."""
     of = lambda name, out: labels.select(F.col("node").alias(name), F.col("label").alias(out))
