@@ -79,6 +79,6 @@ def annotate(docs: DataFrame, fn: Callable, fields: str, keep: Sequence[str] = (
     def run(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), *fn(batch.column(1), batch.column(0))], names=names)
-        tidy()
+            tidy()
 
     return packed.mapInArrow(run, schema)

@@ -1,6 +1,6 @@
 """Benchmark decontamination with an FM-index for each training shard.
 
-A shard is a run of whole documents (about `shard_bytes`).  A benchmark window holds benchmark word pairs only, so the shard's
+A shard is a run of whole documents (about `shard_bytes`, so that a task needs little memory).  A benchmark window holds benchmark word pairs only, so the shard's
 text is first reduced, without loss, to its runs of words in which every neighbouring pair stands in the benchmark; one-word
 windows keep the single words.  Over those runs a suffix array (prefix doubling) gives the Burrows-Wheeler transform, a wavelet matrix
 over it answers ranks, all windows of one length are searched backward at once, and occurrences are located by walking back to sampled
@@ -227,17 +227,31 @@ def item_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[s
         yield held
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, k: int = 10, keep: Sequence[str] = ("doc_id",), cut: bool = False, block_bytes: int = 8 << 20, shard_bytes: int = 4 << 20) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, k: int = 10, keep: Sequence[str] = ("doc_id",), cut: bool = False, block_bytes: int = 8 << 20, shard_bytes: int = 1 << 20) -> DataFrame:
     """row (struct of the kept columns), n_words, n_hit, items, spans (bytes of the text), and with cut the text without the spans."""
-    found = None
-    for items in item_blocks(benchmark, block_bytes):
-        found = _one_pass(docs, found, Windows(items, k), keep, shard_bytes)
-    if found is None:
-        found = _one_pass(docs, None, Windows([("", "")], k), keep, shard_bytes)
-    return _cut(found) if cut else found.drop("text")
+    found, waiting = None, [("", "")]
+    for n, items in enumerate(item_blocks(benchmark, block_bytes)):
+        if n:
+            found = _one_pass(docs, found, Windows(waiting, k), keep, shard_bytes, _PASS)
+        waiting = items
+    return _one_pass(docs, found, Windows(waiting, k), keep, shard_bytes, _CUT if cut else _DROP)
+
+
+#: What becomes of the text in a pass: it goes on to the next one, the last one cuts the spans out, or nobody needs it any more.
+_PASS, _CUT, _DROP = "pass", "cut", "drop"
+
 
+def _without(text: str | None, spans: list[dict]) -> str | None:
+    if not spans:
+        return text
+    data, at, parts = text.encode(), 0, []
+    for s in spans:
+        parts.append(data[at : s["begin"]])
+        at = s["end"]
+    return b"".join([*parts, data[at:]]).decode()
 
-def _one_pass(docs: DataFrame, found: DataFrame | None, windows: Windows, keep: Sequence[str], shard_bytes: int) -> DataFrame:
+
+def _one_pass(docs: DataFrame, found: DataFrame | None, windows: Windows, keep: Sequence[str], shard_bytes: int, then: str) -> DataFrame:
     if found is None:
         packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("kept"), F.col("text"), F.lit(None).cast("array<string>").alias("items"), F.lit(None).cast("array<struct<begin:long,end:long>>").alias("spans"))
     else:
@@ -279,29 +293,15 @@ def _one_pass(docs: DataFrame, found: DataFrame | None, windows: Windows, keep:
                 out_spans.append(places[d])
         flat = lambda x: pa.array(np.concatenate(x) if x else [], pa.int64())
         span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
-        return [row.field("kept"), column, flat(n_words), flat(n_hit), pa.array(out_items, pa.list_(pa.string())), pa.array(out_spans, span)]
+        text = column
+        if then == _DROP:
+            text = pa.nulls(len(column), pa.string())
+        elif then == _CUT and any(out_spans):
+            text = pa.array([_without(t.as_py(), s) if s else t for t, s in zip(column, out_spans, strict=True)], pa.string())
+        return [row.field("kept"), text, flat(n_words), flat(n_hit), pa.array(out_items, pa.list_(pa.string())), pa.array(out_spans, span)]
 
     made = annotate(packed, scan, f"kept {packed.schema['kept'].dataType.simpleString()}, text string, " + FIELDS, keep=("kept", "items", "spans"))
-    return made.select(F.col("kept").alias("row"), "text", "n_words", "n_hit", "items", "spans")
-
-
-def _cut(found: DataFrame) -> DataFrame:
-    def scan(column: pa.Array, row: pa.StructArray) -> list[pa.Array]:
-        out = []
-        for text, spans in zip(column, row.field("spans"), strict=True):
-            if not len(spans):
-                out.append(text.as_py())
-                continue
-            data, at, parts = text.as_py().encode(), 0, []
-            for s in spans.as_py():
-                parts.append(data[at : s["begin"]])
-                at = s["end"]
-            out.append(b"".join([*parts, data[at:]]).decode())
-        return [row.field("row"), pa.array(out, pa.string()), row.field("n_words"), row.field("n_hit"), row.field("items"), row.field("spans")]
-
-    kind = found.schema["row"].dataType.simpleString()
-    made = annotate(found, scan, f"r {kind}, cut string, {FIELDS}", keep=("row", "n_words", "n_hit", "items", "spans"))
-    return made.select(F.col("r").alias("row"), F.col("cut").alias("text"), "n_words", "n_hit", "items", "spans")
+    return made.select(F.col("kept").alias("row"), *([] if then == _DROP else ["text"]), "n_words", "n_hit", "items", "spans")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
