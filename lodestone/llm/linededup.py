@@ -31,15 +31,16 @@ def occurrences(docs: DataFrame, min_words: int) -> DataFrame:
     return each.select("doc_id", "print", F.col("l.h").alias("line"), "site", beside.alias("context"))
 
 
-def boilerplate(found: DataFrame, min_sites: int = 10, min_variety: float = 0.5, lg_k: int = 12) -> DataFrame:
+def boilerplate(found: DataFrame, min_sites: int = 10, min_variety: float = 0.5, lg_k: int = 12, salts: int = 16) -> DataFrame:
     """(line, n, sites, contexts) of the boilerplate lines among occurrences."""
     error = 3 * 1.04 / 2 ** (lg_k / 2)
     often = found.groupBy("line").agg(F.count("*").alias("n"), F.min("site").alias("a"), F.max("site").alias("b"))
     often = often.where((F.col("n") >= min_sites) & (F.col("a") != F.col("b"))).select("line", "n")
-    sketched = found.join(often.select("line"), "line", "left_semi").groupBy("line").agg(
-        F.count("*").alias("n"),
-        F.hll_sketch_estimate(F.hll_sketch_agg("site", lg_k)).alias("sites"),
-        F.hll_sketch_estimate(F.hll_sketch_agg("context", lg_k)).alias("contexts"),
+    # A line that stands everywhere is dealt out by its contexts first; its sketches then merge, a row for each salt.
+    rows = found.join(often.select("line"), "line", "left_semi").select("line", "site", "context", F.pmod("context", F.lit(salts)).alias("salt")).repartition("line", "salt")
+    pieces = rows.groupBy("line", "salt").agg(F.count("*").alias("n"), F.hll_sketch_agg("site", lg_k).alias("sites"), F.hll_sketch_agg("context", lg_k).alias("contexts"))
+    sketched = pieces.groupBy("line").agg(
+        F.sum("n").alias("n"), F.hll_sketch_estimate(F.hll_union_agg("sites")).alias("sites"), F.hll_sketch_estimate(F.hll_union_agg("contexts")).alias("contexts")
     )
     near_sites = F.abs(F.col("sites") - min_sites) <= max(1.0, error * min_sites)
     near_contexts = F.abs(F.col("contexts") - min_variety * F.col("n")) <= F.greatest(F.lit(1.0), error * min_variety * F.col("n"))
