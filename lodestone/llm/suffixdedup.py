@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import textkit as tk
-from lodestone.llm.common import parts, shared_dir, stored, table
+from lodestone.llm.common import parts, shared_dir, stored, table, tidy
 
 _NO_ID = np.iinfo(np.int64).max
 _CHUNK = "uid long, text binary, sizes binary, ids binary, anchors binary"
@@ -307,6 +307,7 @@ def resolved_contexts(chunks: DataFrame, flags: DataFrame, shape: Shape, buckets
         for b in full:
             own = slice(found.cuts[b], found.cuts[b + 1])
             blobs.append(pack(found.rows[own].tobytes() + found.least[own].tobytes()))
+        tidy()
         return pa.Table.from_batches([notes(key[0].as_py(), 1, full, blobs)])
 
     def meet(key, group):
@@ -317,6 +318,7 @@ def resolved_contexts(chunks: DataFrame, flags: DataFrame, shape: Shape, buckets
             rows.append(raw[: n * width].reshape(n, width))
             least.append(raw[n * width :].copy().view(np.int64))
         bits = resolve(np.concatenate(rows), np.concatenate(least), shape)
+        tidy()
         answers = [pack(b) for b in np.split(bits, np.cumsum([len(x) for x in least])[:-1])]
         n = len(answers)
         return pa.table({"uid": group["uid"], "bucket": pa.array(np.full(n, key[0].as_py(), np.int32)), "kind": pa.array(np.ones(n, np.int32)), "data": pa.array(answers, pa.binary())})
@@ -351,7 +353,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 24, chunk_byte
     if not 0 < shape.reach <= 31:
         raise ValueError("length - gram must lie between 1 and 31")
     shared_dir(spark)
-    buckets = 4 * parts(spark)
+    buckets = 16 * parts(spark)  # small ones: a worker holds one bucket's contexts
     chunks = stored(chunk_rows(docs, shape, chunk_bytes), "chunks")
     flags = stored(shared_anchors(chunks, shape, buckets), "shared-anchors")
     answers = stored(resolved_contexts(chunks, flags, shape, buckets), "windows")
