@@ -6,6 +6,10 @@ keeps copied documents, whose lines always have the same neighbours, for the nea
 aggregation; a line whose estimate lies near a threshold (three standard errors, at least one site) is counted exactly.  Only lines seen on two sites and
 often enough to pass get a sketch at all.  Boilerplate lines are removed wherever they stand.
 
+With `by_document`, copies are told by whole documents instead of by neighbours, so that blocks of several lines go too and copies do not outvote the rest: a line
+is boilerplate when it stands on `min_sites` sites and in at least as many documents, near duplicates counted as one document.  Near duplicates are sought
+among the texts that carry a line of `min_sites` sites.
+
 Documents are shuffled once, to meet the set of their own boilerplate hashes; keys and sketches are all that aggregation moves.
 
 Defined cases: a null text has no lines and stays null; a null source is one site; lines are split at \\n only and compared byte by byte; a document whose lines all go
@@ -18,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.llm import neardup
 from lodestone.llm.common import WORD, shared_dir, stored, table
 
 
@@ -54,11 +59,25 @@ def boilerplate(found: DataFrame, min_sites: int = 10, min_variety: float = 0.5,
     return spread.where((F.col("sites") >= min_sites) & (F.col("contexts") >= min_variety * F.col("n")))
 
 
-def dedup_lines(docs: DataFrame, min_sites: int = 10, min_words: int = 3, min_variety: float = 0.5) -> DataFrame:
-    """docs without boilerplate lines, and __n_lines, __n_removed."""
+def boilerplate_by_document(found: DataFrame, docs: DataFrame, min_sites: int = 10, least: float = 0.4, bands: int = 32, rows: int = 3) -> DataFrame:
+    """(line, votes) of the lines that stand on min_sites sites and in as many documents, each class of near duplicates having one vote.
+
+    `least` is far below that of near dedup: two much edited copies of one text share half of their shingles, unlike texts with a common block few.
+    """
+    wide = boilerplate(found, min_sites, 0.0).select("line")
+    carried = stored(found.join(wide, "line", "left_semi").select("line", "print").distinct(), "wide-lines")
+    texts = docs.where("text IS NOT NULL").select(F.xxhash64("text").alias("doc_id"), "text")
+    texts = texts.join(carried.select(F.col("print").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    classes = neardup.near_duplicates(texts, least, bands, rows).select(F.col("doc_id").alias("print"), "class_id").distinct()
+    votes = carried.join(classes, "print").select("line", "class_id").distinct().groupBy("line").agg(F.count("*").alias("votes"))
+    return votes.where(F.col("votes") >= min_sites)
+
+
+def dedup_lines(docs: DataFrame, min_sites: int = 10, min_words: int = 3, min_variety: float = 0.5, by_document: bool = False) -> DataFrame:
+    """docs without boilerplate lines, and __n_lines, __n_removed.  min_variety has no part in it by_document."""
     shared_dir(docs.sparkSession)
     found = stored(occurrences(docs, min_words), "line-occurrences")
-    lines = boilerplate(found, min_sites, min_variety).select("line")
+    lines = (boilerplate_by_document(found, docs, min_sites) if by_document else boilerplate(found, min_sites, min_variety)).select("line")
     bad = found.join(lines, "line", "left_semi").groupBy(F.col("doc_id").alias("__id"), F.col("print").alias("__print")).agg(F.collect_set("line").alias("__bad"))
     joined = docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__id")) & F.xxhash64(docs["text"]).eqNullSafe(F.col("__print")), "left")
     split = F.split("text", "\n")

@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline
 from pyspark.sql import functions as F
 
@@ -47,3 +49,19 @@ def test_odd_and_empty_tables(spark, odd_dir, empty_dir):
     assert corpus_pipeline.run(spark, empty_dir).count() == 0
     for frame in stages(spark, odd_dir)[1:5]:
         assert "score" in frame.columns and "row" in frame.columns
+
+
+def test_line_dedup_takes_blocks_and_keeps_copies(spark, tmp_path):
+    """A block of two lines at the end of unlike texts goes, also where most of its occurrences are copies; near copies keep their lines."""
+    rng = random.Random(11)
+    own = lambda n: " ".join(rng.choice("abcdefghij") + str(rng.randrange(500)) for _ in range(n))
+    block, rows = "read more of this here\nall rights are kept by us", []
+    for i in range(24):
+        rows.append((i, f"{own(30)}\n{own(30)}\n{block}", f"s{i % 12}"))
+    copied = f"{own(30)}\n{own(30)}\n{block}"
+    rows += [(100 + i, copied, f"s{i % 12}") for i in range(60)]
+    lines = [own(20) for _ in range(8)]
+    rows += [(200 + i, "\n".join([*lines[: i % 8], lines[i % 8] + f" x{i}", *lines[i % 8 + 1 :]]), f"s{i % 12}") for i in range(24)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    done = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, frame, str(tmp_path)).collect()}
+    assert done == {d: t.removesuffix("\n" + block) for d, t, _ in rows}
