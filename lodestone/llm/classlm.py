@@ -2,12 +2,13 @@
 
 1. Counts.  Every training token is counted by a 64-bit key: 54 bits of the word's hash and 10 bits for its shape (length and last two bytes).  Tasks
    send sorted key and count arrays a bucket, so the shuffle carries a word once a task.  The counts stay a table.
-2. Units.  Words that make up at least 1 / `unit_share` of the training tokens are units of their own (so there are at most that many, whatever the corpus); all others are
-   grouped by shape into 1,023 units, and the end token is a unit.  Unit bigrams over all training tokens are at most a matrix of fixed size.
-3. Exchange clustering.  On that matrix, units move to the class that raises the likelihood of the class bigrams most, sweep after sweep until none moves.
-4. Scores.  P(class | class) is smoothed towards class frequencies, P(w | class) adds 0.5 to each word of the class and one unseen word.  Words above
-   1 / `lookup_share` of the tokens have their counts sent along (at most that many entries); every other token asks the count table, by bucket,
-   and only sums a document come back.
+2. Core.  Words that make up at least 1 / `unit_share` of the training tokens are units of their own (so there are at most that many, whatever the corpus); all others are
+   grouped by shape into 1,023 units, and the end token is a unit.  Exchange clustering on the unit bigrams: units move to the class that raises the likelihood of
+   the class bigrams most, sweep after sweep until none moves.
+3. Classes.  Every other word counted `least_count` times or more gets the class that its own bigrams with core classes make likeliest, in one distributed sweep: batches send
+   the classes around each word to the word's bucket, which has its whole count vector.  Only rarer words keep the class of their shape.  The classes stay a table.
+4. Scores.  The buckets answer each batch with count and class of its distinct words, the class bigrams are counted anew, and P(class | class) is smoothed towards class
+   frequencies; P(w | class) adds 0.5 to each word of the class and one unseen word.
 
 Defined cases: a null or empty text is the end token alone; the end token follows itself at the start of a text; rows without id belong to the fold of the empty id;
 repeated rows count as often as they stand there and score alike; without training rows all counts are 0; further columns are ignored.
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import textkit as tk
-from lodestone.llm.common import folds, parts, shared_dir, stored, table
+from lodestone.llm.common import folds, parts, shared_dir, stored, table, tidy
 
 SHAPES = 1024
 END = np.array([(1 << 63) | (SHAPES - 1)], tk.U)  # its shape is its own
@@ -85,6 +86,7 @@ def count_words(texts: DataFrame, buckets: int) -> DataFrame:
                 pa.array([k[cuts[b] : cuts[b + 1]].tobytes() for b in full], pa.binary()),
                 pa.array([c[cuts[b] : cuts[b + 1]].tobytes() for b in full], pa.binary()),
             ], names=["bucket", "keys", "counts"])
+            tidy()
 
     def merge(key, group):
         k, c = summed(joined(group["keys"], tk.U), joined(group["counts"], np.int64))
@@ -172,6 +174,7 @@ def unit_bigrams(texts: DataFrame, units: Units, rows_a_chunk: int = 64) -> np.n
                 pairs = before_each(unit, doc, units.end) * size + unit
                 at, n = np.unique(pairs[train[block.first + doc]], return_counts=True)
                 total[at] += n.astype(np.int32)
+            tidy()
         for chunk in range(0, size, rows_a_chunk):
             part = total[chunk * size : (chunk + rows_a_chunk) * size]
             at = np.flatnonzero(part)
@@ -237,141 +240,203 @@ def exchange(bigrams: np.ndarray, classes: int, alone: int, sweeps: int = 12) ->
 
 
 @dataclass
-class ClassModel:
+class Core:
     units: Units
     class_of: np.ndarray
-    step: np.ndarray  # log10 P(class | class before) less log10 of the class's emission total
+    table: np.ndarray  # class bigrams of the units
     tokens: int
     types: int
-    keys: np.ndarray  # words whose counts are sent along
-    counts: np.ndarray
-
-    @property
-    def base_total(self) -> float:
-        return float(np.log10(self.tokens + 0.5 * (self.types + 1)))
 
 
-def fit(counts: DataFrame, texts: DataFrame, classes: int = 64, unit_share: int = 2000, lookup_share: int = 200_000, pull: float = 10.0) -> ClassModel:
+def fit_core(counts: DataFrame, texts: DataFrame, classes: int, unit_share: int) -> Core:
     shape_tokens, shape_types = shape_totals(counts)
     n, v = int(shape_tokens.sum()), int(shape_types.sum())
-    keys, found = frequent(counts, max(n / lookup_share, 1))
-    own = (found >= n / unit_share) | (keys == END[0])
-    units = Units.of(keys[own])
+    keys, _ = frequent(counts, max(n / unit_share, 1))
+    units = Units.of(keys)
     bigrams = unit_bigrams(texts, units)
     class_of = exchange(bigrams, classes, units.end)
-
-    unit_tokens, unit_types = np.zeros(units.size, np.int64), np.zeros(units.size, np.int64)
-    unit_tokens[len(units.keys) :], unit_types[len(units.keys) :] = shape_tokens[:-1], shape_types[:-1]
-    for k, c in zip(keys[own], found[own], strict=True):
-        at = int(np.searchsorted(units.keys, k))
-        unit_tokens[at], unit_types[at] = c, 1
-        if at != units.end:
-            unit_tokens[len(units.keys) + int(k & _LOW)] -= c
-            unit_types[len(units.keys) + int(k & _LOW)] -= 1
-    class_tokens, class_types = np.bincount(class_of, unit_tokens, classes), np.bincount(class_of, unit_types, classes)
     table = np.zeros((classes, classes))
     np.add.at(table, (class_of[:, None], class_of[None, :]), bigrams)
-    share = (table.sum(0) + 0.5) / (table.sum() + 0.5 * classes)
-    step = np.log10((table + pull * share) / (table.sum(1, keepdims=True) + pull)) - np.log10(class_tokens + 0.5 * (class_types + 1))
-    return ClassModel(units, class_of, step, n, v, keys, found)
+    return Core(units, class_of, table, n, v)
 
 
-SCORED = "kind int, uid long, bucket int, doc_id long, held_out boolean, idx int, n_tokens long, n_known long, logs double, steps double, docs binary, keys binary"
+ASKED = "uid long, bucket int, keys binary, runs binary, before binary, after binary, places binary, sizes binary, ids array<long>, held array<boolean>"
 
 
-def ask(texts: DataFrame, model: ClassModel, buckets: int) -> DataFrame:
-    """Rows of kind 0, one a document: what the task knows.  Rows of kind 1, one a bucket and batch: tokens whose counts it must ask for."""
+def ask(texts: DataFrame, core: Core, buckets: int) -> DataFrame:
+    """Rows without bucket, one a batch: its tokens as places among its distinct keys.  Rows with one, one a bucket and batch: distinct keys, and of each key's
+    training tokens the classes before and after."""
+    names = [x.split()[0] for x in ASKED.split(", ")]
+    kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 6, pa.list_(pa.int64()), pa.list_(pa.bool_())]
 
     def run(batches):
         for batch in batches:
             n, uid = batch.num_rows, uuid.uuid4().int >> 65
-            n_tokens, n_known, logs, steps, asked, of = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n), [np.zeros(0, tk.U)], [np.zeros(0, np.int64)]
+            keys, doc = [np.zeros(0, tk.U)], [np.zeros(0, np.int64)]
             for block in tk.blocks(batch.column(0)):
-                keys, doc = tokens(block)
-                at = np.minimum(np.searchsorted(model.keys, keys), max(0, len(model.keys) - 1))
-                known = model.keys[at] == keys if len(model.keys) else np.zeros(len(keys), bool)
-                kind = model.class_of[model.units.number(keys)]
-                step = model.step[before_each(kind, doc, 0), kind]
-                to = slice(block.first, block.first + block.n)
-                n_tokens[to] = np.bincount(doc, minlength=block.n)
-                n_known[to] = np.bincount(doc[known], minlength=block.n)
-                logs[to] = np.bincount(doc[known], np.log10(model.counts[at[known]] + 0.5), block.n) if known.any() else 0
-                steps[to] = np.bincount(doc, step, block.n)
-                asked.append(keys[~known])
-                of.append(block.first + doc[~known])
-            none = lambda kind: pa.nulls(n, kind)  # noqa: E731,B023
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, uid)), none(pa.int32()), batch.column(2), batch.column(3), pa.array(np.arange(n, dtype=np.int32)),
-                pa.array(n_tokens), pa.array(n_known), pa.array(logs), pa.array(steps), none(pa.binary()), none(pa.binary()),
-            ], names=names)
-            keys, doc = np.concatenate(asked), np.concatenate(of).astype(np.int32)
-            bucket = bucket_of(keys, buckets)
-            order = np.argsort(bucket, kind="stable")
-            keys, doc, cuts = keys[order], doc[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
-            full = np.flatnonzero(np.diff(cuts))
-            m = len(full)
-            none = lambda kind: pa.nulls(m, kind)  # noqa: E731,B023
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.ones(m, np.int32)), pa.array(np.full(m, uid)), pa.array(full.astype(np.int32)), none(pa.int64()), none(pa.bool_()), none(pa.int32()), none(pa.int64()), none(pa.int64()),
-                none(pa.float64()), none(pa.float64()), pa.array([doc[cuts[b] : cuts[b + 1]].tobytes() for b in full], pa.binary()), pa.array([keys[cuts[b] : cuts[b + 1]].tobytes() for b in full], pa.binary()),
-            ], names=names)
-
-    names = [x.split()[0] for x in SCORED.split(", ")]
-    return texts.select("text", "train", "doc_id", "held_out").mapInArrow(run, SCORED)
-
-
-def answer(asked: DataFrame, counts: DataFrame) -> DataFrame:
-    """(uid, idx, logs, known): sums over the asked tokens of each document."""
+                k, d = tokens(block)
+                keys.append(k)
+                doc.append(block.first + d)
+            keys, doc = np.concatenate(keys), np.concatenate(doc)
+            if not len(keys):
+                continue
+            number = core.units.number(keys)
+            kind = core.class_of[number].astype(np.uint8)
+            before, after = before_each(kind, doc, 0), np.append(kind[1:], np.uint8(0))
+            own, place = np.unique(keys, return_inverse=True)
+            place = place.astype(np.int32)
+            chosen = np.flatnonzero(np.asarray(batch.column(1))[doc] & (number >= len(core.units.keys)))
+            runs = np.bincount(place[chosen], minlength=len(own)).astype(np.int32)
+            chosen = chosen[np.argsort(place[chosen], kind="stable")]
+            before, after, ends = before[chosen], after[chosen], np.append(0, np.cumsum(runs))
+            cuts = np.searchsorted(bucket_of(own, buckets), np.arange(buckets + 1))
+            rows = [(uid, None, None, None, None, None, place.tobytes(), np.bincount(doc, minlength=n).tobytes(), batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            for b in np.flatnonzero(np.diff(cuts)):
+                of, at = slice(cuts[b], cuts[b + 1]), slice(ends[cuts[b]], ends[cuts[b + 1]])
+                rows.append((uid, int(b), own[of].tobytes(), runs[of].tobytes(), before[at].tobytes(), after[at].tobytes(), None, None, None, None))
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+            del rows, keys, doc, own, place, number, kind, before, after, chosen
+            tidy()
+
+    return texts.select("text", "train", "doc_id", "held_out").mapInArrow(run, ASKED)
+
+
+def choose(vectors: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The class, never 0, that makes the class bigrams of each word likeliest; a vector has the counts of classes before, then of classes after."""
+    smooth = table + 0.5
+    share = np.log(smooth / (smooth.sum(1, keepdims=True) * smooth.sum(0, keepdims=True)))
+    classes = len(table)
+    gain = vectors[:, :classes] @ share + vectors[:, classes:] @ share.T
+    gain[:, 0] = -np.inf
+    return np.argmax(gain, 1)
+
+
+def answer(asked: DataFrame, counts: DataFrame, core: Core, least_count: int) -> DataFrame:
+    """(uid, bucket, counts, classes) for the keys of each asking row, and rows without uid: tokens and types of each class in the bucket."""
+    classes = len(core.table)
 
     def look(key, requests, known):
         k, c = joined(known["keys"], tk.U), joined(known["counts"], np.int64)
-        out = {"uid": [], "docs": [], "logs": [], "known": []}
-        for uid, docs, keys in zip(requests["uid"], requests["docs"], requests["keys"], strict=True):
-            doc, asked_keys = np.frombuffer(docs.as_buffer(), np.int32), np.frombuffer(keys.as_buffer(), tk.U)
-            if len(k):
-                at = np.minimum(np.searchsorted(k, asked_keys), len(k) - 1)
-                n = np.where(k[at] == asked_keys, c[at], 0)
-            else:
-                n = np.zeros(len(doc), np.int64)
-            own, place = np.unique(doc, return_inverse=True)
-            out["uid"].append(uid.as_py())
-            out["docs"].append(own.tobytes())
-            out["logs"].append(np.bincount(place, np.log10(n + 0.5), len(own)).tobytes())
-            out["known"].append(np.bincount(place, n > 0, len(own)).astype(np.int32).tobytes())
-        return pa.table([pa.array(out["uid"], pa.int64()), *(pa.array(out[x], pa.binary()) for x in ("docs", "logs", "known"))], names=list(out))
-
-    def add(key, group):
-        doc, logs, known = joined(group["docs"], np.int32), joined(group["logs"], np.float64), joined(group["known"], np.int32)
-        own, place = np.unique(doc, return_inverse=True)
+        number = core.units.number(k)
+        kind = core.class_of[number]
+        middle = (number >= len(core.units.keys)) & (c >= least_count)
+        row = np.where(middle, np.cumsum(middle) - 1, -1)
+        vectors = np.zeros(int(middle.sum()) * 2 * classes)
+        found = []
+        for keys, runs, before, after in zip(*(requests[x] for x in ("keys", "runs", "before", "after")), strict=True):
+            own = np.frombuffer(keys.as_buffer(), tk.U)
+            at = np.minimum(np.searchsorted(k, own), max(len(k) - 1, 0))
+            hit = k[at] == own if len(k) else np.zeros(len(own), bool)
+            found.append((own, at, hit))
+            if len(vectors):
+                to = np.repeat(np.where(hit, row[at], -1), np.frombuffer(runs.as_buffer(), np.int32))
+                for side, start in ((before, 0), (after, classes)):
+                    cell = to * 2 * classes + start + np.frombuffer(side.as_buffer(), np.uint8)
+                    cell, times = np.unique(cell[to >= 0], return_counts=True)
+                    vectors[cell] += times
+        kind = kind.copy()
+        kind[middle] = choose(vectors.reshape(-1, 2 * classes), core.table)
+        out_counts, out_kinds = [], []
+        for own, at, hit in found:
+            out_counts.append((np.where(hit, c[at], 0) if len(k) else np.zeros(len(own), np.int64)).tobytes())
+            shape = core.class_of[core.units.number(own)]
+            out_kinds.append((np.where(hit, kind[at], shape) if len(k) else shape).astype(np.uint8).tobytes())
+        out_counts.append(np.bincount(kind, c, classes).astype(np.int64).tobytes())
+        out_kinds.append(np.bincount(kind, minlength=classes).astype(np.int64).tobytes())
+        del vectors, found
+        tidy()
+        uids = [*requests["uid"].to_pylist(), None]
+        return pa.table([pa.array(uids, pa.int64()), pa.array([key[0].as_py()] * len(uids), pa.int32()), pa.array(out_counts, pa.binary()), pa.array(out_kinds, pa.binary())], names=["uid", "bucket", "counts", "classes"])
+
+    return asked.groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInArrow(look, "uid long, bucket int, counts binary, classes binary")
+
+
+READ = "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, classes binary"
+
+
+def read_back(batches: DataFrame, answers: DataFrame) -> DataFrame:
+    """A row for each document: its counts and the class of each of its tokens."""
+
+    def read(key, own, found):
+        order = np.argsort(found["bucket"].to_numpy())
+        found = found.take(order)
+        count, kind = joined(found["counts"], np.int64), joined(found["classes"], np.uint8)
+        place, size = joined(own["places"], np.int32), joined(own["sizes"], np.int64)
+        doc = np.repeat(np.arange(len(size)), size)
+        n, ends, kinds = count[place], np.append(0, np.cumsum(size)), kind[place]
+        del found, count, kind, place
+        tidy()
         return pa.table({
-            "uid": pa.array(np.full(len(own), key[0].as_py())), "idx": pa.array(own), "more_logs": pa.array(np.bincount(place, logs, len(own))),
-            "more_known": pa.array(np.bincount(place, known, len(own)).astype(np.int64)),
+            "doc_id": pa.array(own["ids"][0].as_py(), pa.int64()), "held_out": pa.array(own["held"][0].as_py(), pa.bool_()), "n_tokens": pa.array(size),
+            "n_known": pa.array(np.bincount(doc[n > 0], minlength=len(size))), "logs": pa.array(np.bincount(doc, np.log10(n + 0.5), len(size))),
+            "classes": pa.array([kinds[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary()),
         })
 
-    found = asked.groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInArrow(look, "uid long, docs binary, logs binary, known binary")
-    return found.groupBy("uid").applyInArrow(add, "uid long, idx int, more_logs double, more_known long")
+    return batches.groupBy("uid").cogroup(answers.groupBy("uid")).applyInArrow(read, READ)
 
 
-def score_documents(docs: DataFrame, held_out: Column, **settings) -> DataFrame:
+def _pairs(column: pa.Array, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and class bigram, as one number, of each token."""
+    size = np.array([len(x.as_buffer()) for x in column], np.int64)
+    kind, doc = joined(column, np.uint8).astype(np.int64), np.repeat(np.arange(len(size)), size)
+    return doc, (before_each(kind, doc, 0) * classes + kind if len(kind) else kind)
+
+
+def class_bigrams(documents: DataFrame, classes: int) -> np.ndarray:
+    def run(batches):
+        total = np.zeros(classes * classes, np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                total += np.bincount(_pairs(batch.column(0).slice(at, 1000), classes)[1], minlength=classes * classes)
+            tidy()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(classes * classes)), pa.array(total)], names=["at", "n"])
+
+    out = np.zeros(classes * classes)
+    for r in documents.where("NOT held_out").select("classes").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        out[r["at"]] = r["n"]
+    return out.reshape(classes, classes)
+
+
+def score_documents(docs: DataFrame, held_out: Column, classes: int = 64, unit_share: int = 2000, least_count: int = 10, pull: float = 10.0) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row for each row of docs."""
     spark = docs.sparkSession
     shared_dir(spark)
     buckets = 4 * parts(spark)
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"), (~held_out).alias("train"), F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"))
     counts = stored(count_words(texts, buckets), "word-counts")
-    model = fit(counts, texts, **settings)
-    rows = stored(ask(texts, model, buckets), "asked")
-    found = answer(rows.where("kind = 1").select("uid", "bucket", "docs", "keys"), counts)
-    own = rows.where("kind = 0").select("uid", "idx", "doc_id", "held_out", "n_tokens", "n_known", "logs", "steps").join(found, ["uid", "idx"], "left")
-    logs = F.col("logs") + F.coalesce("more_logs", F.lit(0.0))
+    core = fit_core(counts, texts, classes, unit_share)
+    rows = stored(ask(texts, core, buckets), "asked")
+    answers = stored(answer(rows.where("bucket IS NOT NULL").select("uid", "bucket", "keys", "runs", "before", "after"), counts, core, least_count), "answers")
+    documents = stored(read_back(rows.where("bucket IS NULL").select("uid", "places", "sizes", "ids", "held"), answers.where("uid IS NOT NULL")), "classed")
+
+    class_tokens, class_types = np.zeros(classes), np.zeros(classes)
+    for r in answers.where("uid IS NULL").select("counts", "classes").toLocalIterator():
+        class_tokens += np.frombuffer(r["counts"], np.int64)
+        class_types += np.frombuffer(r["classes"], np.int64)
+    table = class_bigrams(documents, classes)
+    share = (table.sum(0) + 0.5) / (table.sum() + 0.5 * classes)
+    step = (np.log10((table + pull * share) / (table.sum(1, keepdims=True) + pull)) - np.log10(class_tokens + 0.5 * (class_types + 1))).ravel()
+    base_total = float(np.log10(core.tokens + 0.5 * (core.types + 1)))
+
+    def run(batches):
+        for batch in batches:
+            steps = [np.zeros(0)]
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.column(5).slice(at, 1000)
+                doc, pair = _pairs(part, classes)
+                steps.append(np.bincount(doc, step[pair], len(part)) if len(doc) else np.zeros(len(part)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(np.concatenate(steps))], names=["doc_id", "held_out", "n_tokens", "n_known", "logs", "steps"])
+            tidy()
+
+    own = documents.mapInArrow(run, READ.replace("classes binary", "steps double"))
     return own.select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (logs - F.col("n_tokens") * model.base_total).alias("base_score"),
-        (logs + F.col("steps")).alias("score"),
+        "n_known",
+        F.lit(core.tokens).cast("long").alias("train_tokens"),
+        (F.col("logs") - F.col("n_tokens") * base_total).alias("base_score"),
+        (F.col("logs") + F.col("steps")).alias("score"),
     )
 
 

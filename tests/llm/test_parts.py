@@ -220,3 +220,16 @@ def test_exchange_finds_alternating_classes():
 def test_class_model_beats_unigrams(spark, sf_dir):
     rows = classlm.op6_lm_scoring(spark, sf_dir).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     assert rows["s"] > rows["b"]
+
+
+def test_words_below_the_core_have_classes_of_their_own(spark):
+    """Words of one shape, each too rare for the core, but seen in unlike places."""
+    rng = np.random.default_rng(9)
+    names = [f"{a}{b}{c}xx" for a in "bcdfghjklmnpqrs" for b in "aeiou" for c in "bdgklmnprst"][:800]
+    things, deeds = names[:400], names[400:]
+    texts = [" ".join(w for _ in range(10) for w in ("the", rng.choice(things), "will", rng.choice(deeds))) for _ in range(1000)]
+    rows = [*enumerate(texts, 10), (1, f"the {things[7]} will {deeds[7]}"), (2, f"the {deeds[7]} will {things[7]}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in classlm.score_documents(docs, F.col("doc_id") < 10, unit_share=1000).where("held_out").collect()}
+    assert got[1]["base_score"] == pytest.approx(got[2]["base_score"])
+    assert got[1]["score"] > got[2]["score"] + 0.5
