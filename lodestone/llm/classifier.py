@@ -38,7 +38,7 @@ def features(block: tk.Block, bits: int) -> tuple[np.ndarray, np.ndarray, np.nda
     turns[1:] = shape[1:] != shape[:-1]
     turns[found.starts] = True
     kept = np.flatnonzero(turns)
-    shapes = tk.span_hash(tk.prefix_hash(shape[kept]), np.searchsorted(kept, found.starts), np.searchsorted(kept, found.ends))
+    shapes = tk.span_hash(shape[kept], np.searchsorted(kept, found.starts), np.searchsorted(kept, found.ends))
     pair = np.flatnonzero(found.doc[1:] == found.doc[:-1]) if n else np.zeros(0, np.int64)
     salt, q = tk.U(0x9E3779B97F4A7C15), tk.U(0xD6E8FEB86659FD93)
     pairs = np.where(found.hashes[pair] == found.hashes[pair + 1], salt, found.hashes[pair] * salt + found.hashes[pair + 1])

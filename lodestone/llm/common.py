@@ -9,9 +9,9 @@ import uuid
 from collections.abc import Callable, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType, _parse_datatype_string
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType, StructType, _parse_datatype_string
 
 #: A word, where an operator does not define its own: anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -60,6 +60,13 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def integral(docs: DataFrame, name: str) -> Column:
+    """The column as long; an id of another kind is an error, for a cast would make it null."""
+    if not isinstance(docs.schema[name].dataType, (ByteType, ShortType, IntegerType, LongType)):
+        raise TypeError(f"{name} must be a whole number, not {docs.schema[name].dataType.simpleString()}")
+    return F.col(name).cast("long").alias(name)
+
+
 def folds(column, modulus: int):
     """crc32 of the id as text, modulo: the split into held-out and training rows. Null ids fall as the empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % modulus

@@ -4,23 +4,28 @@ Longest-previous-factor arrays need the suffixes that could match side by side,
 
 1. Anchors.  Every window of `length` bytes holds the smallest hash among its `gram`-byte substrings, so equal strings hold equal anchors at equal offsets.
    Documents are packed into compressed chunks with their anchor positions, a table in the shared folder.
-2. Shared anchors.  Chunks send each anchor hash once a bucket; buckets answer a bit for each hash that two documents hold.
-3. Contexts.  For shared anchors a chunk sends each distinct context (all bytes a window around the anchor can reach) once, with the smallest doc_id that has it.
-   A bucket sorts the suffixes of its contexts, takes the longest common prefixes of neighbours, and finds for each suffix the nearest one before and behind it in
-   suffix order that has a smaller doc_id (previous and next smaller values).  The longer of the two common prefixes is the longest previous factor; windows where it reaches
-   `length` are removed.  One context that stands alone with its anchor has no earlier copy, so its suffixes need no sorting.
-4. Removal.  Answers are one word of bits a context; the chunk marks windows, merges them to spans and cuts.
-
-All keys that many documents share are merged inside a chunk before they are sent.  Hashes only choose what is compared: a window is removed after its bytes agreed.
-
-Defined cases: a null text is empty; texts shorter than `length` lose nothing; rows with equal doc_id never remove bytes of each other; rows without id come after all others and do not
-remove each other's bytes; cuts may fall inside a character, so kept text is binary; an empty table gives no rows; further columns are ignored.
+2. Shared anchors.  Chunks send each anchor hash once a bucket, with a count; buckets answer for each hash whether two documents hold it, and whether it is hot.
+3. Contexts.  For shared anchors a chunk sends each distinct context (all bytes a window around the anchor can reach) once, with the smallest doc_id that has it.  A hot anchor's
+   contexts are dealt out further: its window starts fall into `pieces` ranges, and a range goes to a bucket by the longer string that all its windows hold, cut to the bytes they reach.
+4. Longest previous factors.  A bucket puts the suffixes of its contexts in order: those from the anchor on by their bytes, and those from each byte further left by one stable radix
+   pass over the order before.  Neighbours give the common prefixes; the nearest suffixes before and behind in that order with a smaller doc_id (previous and next smaller values) give
+   the longest previous factor of each suffix, up to the end of its context.  Bytes [s, s + factor) go where the factor reaches `length`.
+5. Removal.  As the factor shrinks by at most one a byte, those ranges are the union of the windows whose start has a factor of `length` or more: answers are one word of bits a
+   context.  The chunk marks windows, merges them to spans and cuts.
+
+All keys that many documents share are merged inside a chunk before they are sent.  Hashes only choose what is compared: contexts are merged, and windows removed, after their bytes agreed.
+Buckets are as many as the anchors ask for, so that one holds about `bucket_anchors` at any size of the input.
+
+Defined cases: a null text is empty; texts shorter than `length` lose nothing; rows with equal doc_id never remove bytes of each other; rows without id rank with the largest long, after all
+others, and do not remove each other's bytes; an id that is no whole number is an error; a text longer than a chunk is a chunk of its own; cuts may fall inside a character, so kept text is binary;
+an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,10 +35,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import textkit as tk
-from lodestone.llm.common import parts, shared_dir, stored, table, tidy
+from lodestone.llm.common import integral, shared_dir, stored, table, tidy
 
 _NO_ID = np.iinfo(np.int64).max
-_CHUNK = "uid long, text binary, sizes binary, ids binary, anchors binary"
+_CHUNK = "uid long, text binary, sizes binary, ids binary, missing binary, anchors binary, n_anchors long"
 _NOTE = "uid long, bucket int, kind int, data binary"
 
 
@@ -41,6 +46,7 @@ _NOTE = "uid long, bucket int, kind int, data binary"
 class Shape:
     length: int = 50
     gram: int = 24
+    pieces: int = 4
 
     @property
     def reach(self) -> int:
@@ -54,6 +60,12 @@ class Shape:
     def starts(self) -> int:
         return self.reach + 1
 
+    @property
+    def ranges(self) -> list[tuple[int, int]]:
+        """The first and last window start of each piece of a hot anchor's contexts."""
+        cuts = np.linspace(0, self.starts, self.pieces + 1).astype(int)
+        return [(int(a), int(b) - 1) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]
+
 
 def pack(data: bytes | np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(data).tobytes() if isinstance(data, np.ndarray) else data)
@@ -71,9 +83,28 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (w - have)], x[w - have :]) if have < w else x
 
 
+_BASE = 0x9E3779B97F4A7C15
+_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
+_BYTE_CODE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
+_powers: dict[str, np.ndarray] = {}
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n + 1 powers of the rolling hash's base and of its inverse, modulo 2**64."""
+    if len(_powers.get("up", ())) <= n:
+        size = max(1 << 20, (n + 1) * 9 // 8)
+        for key, base in (("up", _BASE), ("down", _BASE_INVERSE)):
+            steps = np.full(size, base, tk.U)
+            steps[0] = 1
+            _powers[key] = np.cumprod(steps, dtype=tk.U)
+    return _powers["up"], _powers["down"]
+
+
 def gram_hashes(data: np.ndarray, at: np.ndarray | None, gram: int) -> np.ndarray:
-    sums = tk.prefix_hash(data)
-    _, down = tk.powers(len(sums))
+    """Rolling hashes; they only choose anchors, so a collision costs a comparison and changes nothing."""
+    up, down = powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, tk.U)
+    np.cumsum(_BYTE_CODE[data] * up[: len(data)], out=sums[1:])
     if at is None:
         return tk.mix((sums[gram:] - sums[:-gram]) * down[: len(data) - gram + 1])
     return tk.mix((sums[at + gram] - sums[at]) * down[at])
@@ -114,6 +145,10 @@ class Chunk:
         text, sizes, ids = unpack(row["text"], np.uint8), unpack(row["sizes"], np.int64), unpack(row["ids"], np.int64)
         return cls(text, sizes, ids, np.cumsum(unpack(row["anchors"], np.int32), dtype=np.int64), shape, buckets)
 
+    def counts(self) -> np.ndarray:
+        """How often the chunk holds each distinct hash, up to 127."""
+        return np.minimum(np.bincount(self.which, minlength=len(self.keys)), 127)
+
     def spread(self) -> np.ndarray:
         """For each distinct hash, whether several documents of the chunk hold it."""
         low, high = np.full(len(self.keys), len(self.ids)), np.full(len(self.keys), -1)
@@ -122,40 +157,65 @@ class Chunk:
         return low != high
 
     def contexts(self, flags: np.ndarray) -> Contexts:
-        return Contexts(self, np.flatnonzero(flags[self.which]))
+        """flags: for each distinct hash 0, 1 (shared) or 3 (shared and hot)."""
+        own = flags[self.which]
+        return Contexts(self, np.flatnonzero(own & 1), own[own & 1 > 0] > 1)
 
 
 class Contexts:
-    """The distinct contexts of the chunk's shared anchors, in order of bucket."""
+    """The distinct contexts of the chunk's shared anchors, in order of bucket.  A hot anchor's occurrence has one for each range of window starts."""
 
-    def __init__(self, chunk: Chunk, chosen: np.ndarray):
+    def __init__(self, chunk: Chunk, chosen: np.ndarray, hot: np.ndarray):
         shape, offsets = chunk.shape, chunk.block.offsets
-        self.at, self.doc = chunk.at[chosen], chunk.doc[chosen]
-        left = np.minimum(self.at - offsets[self.doc], shape.reach)
-        right = np.minimum(offsets[self.doc + 1] - self.at - shape.gram, shape.reach)
-        rows = np.zeros((len(chosen), shape.width + 2), np.uint8)
+        at, doc = chunk.at[chosen], chunk.doc[chosen]
+        left = np.minimum(at - offsets[doc], shape.reach)
+        right = np.minimum(offsets[doc + 1] - at - shape.gram, shape.reach)
+        bucket = (chunk.keys[chunk.which[chosen]] >> tk.U(32)).astype(np.int64)
+        several = np.flatnonzero(hot)
+        pick, lefts, rights, buckets = [np.flatnonzero(~hot)], [left[~hot]], [right[~hot]], [bucket[~hot]]
+        for number, (low, high) in enumerate(shape.ranges if len(several) else []):
+            a, b = np.minimum(left[several], shape.reach - low), np.minimum(right[several], high)
+            full = a + b >= shape.reach  # a window fits
+            pick.append(several[full])
+            lefts.append(a[full])
+            rights.append(b[full])
+            key = tk.span_hash(chunk.block.data, at[several[full]] - shape.reach + high, at[several[full]] - shape.reach + low + shape.length)
+            key = tk.mix(key + tk.U(number))
+            buckets.append(((key >> tk.U(32)) * tk.U(chunk.buckets) >> tk.U(32)).astype(np.int64))
+        pick, left, right, bucket = np.concatenate(pick), np.concatenate(lefts), np.concatenate(rights), np.concatenate(buckets)
+        self.at, self.doc, self.left, self.right = at[pick], doc[pick], left, right
+        rows = np.zeros((len(pick), shape.width + 2), np.uint8)
         step = 1 << 16
         padded = np.concatenate([np.zeros(shape.reach, np.uint8), chunk.block.data, np.zeros(shape.reach, np.uint8)])
         column = np.arange(shape.width)
-        for a in range(0, len(chosen), step):
+        for a in range(0, len(pick), step):
             b = slice(a, a + step)
             part = padded[self.at[b, None] + column]
             part[(column < shape.reach - left[b, None]) | (column >= shape.reach + shape.gram + right[b, None])] = 0
             rows[b, : shape.width] = part
         rows[:, shape.width], rows[:, shape.width + 1] = left, right
-        bucket = (chunk.keys[chunk.which[chosen]] >> tk.U(32)).astype(np.int64)
-        digest = row_hashes(rows)
-        order = np.lexsort((digest, bucket))
-        new = np.ones(len(order), bool)
-        new[1:] = (digest[order[1:]] != digest[order[:-1]]) | (bucket[order[1:]] != bucket[order[:-1]])
-        firsts = order[new]
-        self.of = np.empty(len(order), np.int64)
-        self.of[order] = np.cumsum(new) - 1
+        firsts, self.of = distinct_rows(rows, bucket)
         self.rows, self.bucket = rows[firsts], bucket[firsts]
         self.least = np.full(len(firsts), _NO_ID)
         np.minimum.at(self.least, self.of, chunk.ids[self.doc])
         self.cuts = np.searchsorted(self.bucket, np.arange(chunk.buckets + 1))
-        self.left, self.right = left, right
+
+
+def distinct_rows(rows: np.ndarray, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The first of each run of equal rows in order of (group, digest), and the run of each row.  A run ends where bytes differ, so rows of unequal bytes
+    never share one; equal rows share one unless a third row has their digest."""
+    digest = row_hashes(rows)
+    order = np.argsort(digest, kind="stable") if group is None else np.lexsort((digest, group))
+    new = np.ones(len(order), bool)
+    step = 1 << 16
+    for a in range(1, len(order), step):
+        x, y = order[a : a + step], order[a - 1 : a - 1 + step][: len(order[a : a + step])]
+        new[a : a + step] = (rows[x] != rows[y]).any(1)
+    if group is not None and len(order):
+        new[1:] |= group[order[1:]] != group[order[:-1]]
+    of = np.empty(len(order), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return order[new], of
 
 
 def row_hashes(rows: np.ndarray) -> np.ndarray:
@@ -186,44 +246,55 @@ def nearest_smaller(values: np.ndarray, common: np.ndarray, least: int) -> np.nd
     return result
 
 
-def longest_previous_factors(words: list[np.ndarray], ids: np.ndarray, length: int) -> np.ndarray:
-    """For suffixes given as big-endian words (the last ends at `length`), the longest prefix that a suffix with a smaller id shares, if it reaches `length`."""
-    order = np.lexsort((ids, *words[::-1]))
-    common = np.zeros(len(order), np.int64)
-    equal = np.ones(max(0, len(order) - 1), bool)
-    for w in words:
-        equal &= w[order[1:]] == w[order[:-1]]
-    common[1:] = np.where(equal, length, 0)  # shorter ones never count
-    before = nearest_smaller(ids[order], common, length)
-    behind = nearest_smaller(ids[order][::-1], np.concatenate([[0], common[:0:-1]]), length)[::-1]
-    out = np.empty(len(order), np.int64)
-    out[order] = np.maximum(before, behind)
-    return out
-
-
-def resolve(rows: np.ndarray, least: np.ndarray, shape: Shape) -> np.ndarray:
+def longest_previous_factors(rows: np.ndarray, ids: np.ndarray, shape: Shape) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each byte s from the anchor back to the start of a context: the contexts whose window s is whole, in the order of their suffixes from s on, and the longest prefix that each
+    of these suffixes shares with one of a smaller id, where that reaches shape.length (else 0)."""
+    reach, text = shape.reach, rows[:, : shape.width]
+    left, right = rows[:, shape.width].astype(np.int64), rows[:, shape.width + 1].astype(np.int64)
+    end = reach + shape.gram + right
+    tail = np.zeros((len(rows), -(-(shape.width - reach) // 8) * 8), np.uint8)
+    tail[:, : shape.width - reach] = text[:, reach:]
+    words = tail.view(">u8").astype(tk.U)
+    # Behind its end a context is zero, the smallest byte, and of equal bytes the one that ends first comes first: the order of the suffixes themselves.
+    order = np.lexsort((end, *words.T[::-1]))
+    for s in range(reach, -1, -1):
+        if s < reach:
+            order = order[left[order] >= reach - s]
+            order = order[np.argsort(text[order, s], kind="stable")]
+        own = order[right[order] >= s]
+        suffix = text[own, s:]
+        differs = suffix[1:] != suffix[:-1]
+        common = np.zeros(len(own), np.int64)
+        if len(own) > 1:
+            first = np.where(differs.any(1), differs.argmax(1), shape.width - s)
+            common[1:] = np.minimum(first, np.minimum(end[own[1:]], end[own[:-1]]) - s)
+        before = nearest_smaller(ids[own], common, shape.length)
+        behind = nearest_smaller(ids[own][::-1], np.concatenate([[0], common[:0:-1]]), shape.length)[::-1]
+        yield s, own, np.maximum(before, behind)
+
+
+def resolve(rows: np.ndarray, least: np.ndarray, shape: Shape, at_once: int = 1 << 16) -> np.ndarray:
     """A word of bits for each context: bit s is set if its window s starts in a document with an id smaller than `least`."""
     starts = np.arange(shape.starts)
-    valid = (starts >= shape.reach - rows[:, shape.width, None].astype(int)) & (starts <= rows[:, shape.width + 1, None].astype(int))
-    all_bits = (valid * (1 << starts)).sum(1).astype(np.uint32)
-    digest = row_hashes(rows)
-    unique, first, of = np.unique(digest, return_index=True, return_inverse=True)
-    smallest = np.full(len(unique), _NO_ID)
+    all_bits = np.zeros(len(rows), np.uint32)
+    for s in starts:
+        all_bits |= ((s >= shape.reach - rows[:, shape.width].astype(int)) & (s <= rows[:, shape.width + 1])).astype(np.uint32) << np.uint32(s)
+    firsts, of = distinct_rows(rows)
+    smallest = np.full(len(firsts), _NO_ID)
     np.minimum.at(smallest, of, least)
-    anchor = row_hashes(np.ascontiguousarray(rows[first, shape.reach : shape.reach + shape.gram]))
+    anchor = row_hashes(np.ascontiguousarray(rows[firsts, shape.reach : shape.reach + shape.gram]))
     _, group, size = np.unique(anchor, return_inverse=True, return_counts=True)
     several = np.flatnonzero(size[group] > 1)
-    bits = np.zeros(len(unique), np.uint32)
-    if len(several):
-        sub, ids, ok = rows[first[several]], smallest[several], valid[first[several]]
-        places = [*range(0, shape.length - 7, 8)]
-        places += [shape.length - 8] if places[-1] != shape.length - 8 else []
-        # Equal windows hold their anchor at the same offset, so suffixes are sorted offset by offset, with little memory.
-        for s in range(shape.starts):
-            own = np.flatnonzero(ok[:, s])
-            words = [np.ascontiguousarray(sub[own, s + p : s + p + 8]).view(">u8")[:, 0].astype(tk.U) for p in places]
-            found = longest_previous_factors(words, ids[own], shape.length) >= shape.length
-            bits[several[own[found]]] |= np.uint32(1 << s)
+    several = several[np.argsort(group[several], kind="stable")]
+    bits = np.zeros(len(firsts), np.uint32)
+    # Suffixes of unlike anchors share no window, so the order may be made for some anchors at a time.
+    cuts, ends = [0], np.flatnonzero(np.diff(group[several], append=-1)) + 1
+    while cuts[-1] < len(several):
+        cuts.append(int(ends[max(np.searchsorted(ends, cuts[-1] + at_once, "right") - 1, np.searchsorted(ends, cuts[-1], "right"))]))
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        part = several[a:b]
+        for s, own, factor in longest_previous_factors(rows[firsts[part]], smallest[part], shape):
+            bits[part[own[factor >= shape.length]]] |= np.uint32(1 << s)
     return np.where(least > smallest[of], all_bits, bits[of])
 
 
@@ -236,44 +307,45 @@ def chunk_rows(docs: DataFrame, shape: Shape, chunk_bytes: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             ids = batch.column(0).fill_null(_NO_ID).to_numpy(zero_copy_only=False)
+            missing = batch.column(0).is_null().to_numpy(zero_copy_only=False)
             for block in tk.blocks(batch.column(1), chunk_bytes):
                 at = anchors(block, shape)
-                made = [pack(block.data), pack(np.diff(block.offsets)), pack(ids[block.first : block.first + block.n]), pack(np.diff(at, prepend=0).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65]), *(pa.array([x], pa.binary()) for x in made)], names=["uid", "text", "sizes", "ids", "anchors"])
+                own = slice(block.first, block.first + block.n)
+                made = [pack(block.data), pack(np.diff(block.offsets)), pack(ids[own]), pack(missing[own]), pack(np.diff(at, prepend=0).astype(np.int32))]
+                names = [x.split()[0] for x in _CHUNK.split(", ")]
+                yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65]), *(pa.array([x], pa.binary()) for x in made), pa.array([len(at)])], names=names)
+            tidy()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _CHUNK)
+    return docs.select(integral(docs, "doc_id"), "text").mapInArrow(run, _CHUNK)
 
 
-def shared_anchors(chunks: DataFrame, shape: Shape, buckets: int) -> DataFrame:
-    """Notes of kind 0: a bit for each distinct hash of a chunk and bucket."""
+def shared_anchors(chunks: DataFrame, shape: Shape, buckets: int, hot: int) -> DataFrame:
+    """Notes of kind 0: a byte for each distinct hash of a chunk and bucket: 1 if two documents hold it, 2 more if it stands `hot` times or more."""
 
     def send(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {name: batch.column(j)[i] for j, name in enumerate(batch.schema.names)}
                 chunk = Chunk.read(row, shape, buckets)
-                several, full = chunk.spread(), np.flatnonzero(np.diff(chunk.cuts))
+                marks, full = (chunk.counts() + 128 * chunk.spread()).astype(np.uint8), np.flatnonzero(np.diff(chunk.cuts))
                 blobs = []
                 for b in full:
                     own = slice(chunk.cuts[b], chunk.cuts[b + 1])
-                    blobs.append(chunk.keys[own].astype(np.uint32).tobytes() + np.packbits(several[own]).tobytes())
+                    blobs.append(chunk.keys[own].astype(np.uint32).tobytes() + marks[own].tobytes())
                 yield notes(row["uid"].as_py(), 0, full, blobs)
 
     def meet(key, group):
-        hashes, several = [], []
+        hashes, marks = [], []
         for data in group["data"]:
             raw = np.frombuffer(data.as_buffer(), np.uint8)
-            n = len(raw) * 8 // 33
-            while 4 * n + (n + 7) // 8 < len(raw):
-                n += 1
-            while 4 * n + (n + 7) // 8 > len(raw):
-                n -= 1
+            n = len(raw) // 5
             hashes.append(raw[: 4 * n].view(np.uint32))
-            several.append(np.unpackbits(raw[4 * n :], count=n))
+            marks.append(raw[4 * n :])
         _, of = np.unique(np.concatenate(hashes), return_inverse=True)
-        flags = np.bincount(of, 1 + np.concatenate(several))[of] >= 2
-        cuts = np.cumsum([len(h) for h in hashes])[:-1]
-        answers = [np.packbits(f).tobytes() for f in np.split(flags, cuts)]
+        mark = np.concatenate(marks)
+        shared = np.bincount(of, 1 + (mark > 127)) >= 2
+        flags = (shared * (1 + 2 * (np.bincount(of, mark & 127) >= hot)))[of].astype(np.uint8)
+        answers = [f.tobytes() for f in np.split(flags, np.cumsum([len(h) for h in hashes])[:-1])]
         n = len(answers)
         return pa.table({"uid": group["uid"], "bucket": pa.array(np.full(n, key[0].as_py(), np.int32)), "kind": pa.array(np.zeros(n, np.int32)), "data": pa.array(answers, pa.binary())})
 
@@ -281,11 +353,10 @@ def shared_anchors(chunks: DataFrame, shape: Shape, buckets: int) -> DataFrame:
 
 
 def _flags(chunk: Chunk, table: pa.Table, kind: int) -> np.ndarray:
-    out = np.zeros(len(chunk.keys), bool)
+    out = np.zeros(len(chunk.keys), np.uint8)
     for bucket, k, data in zip(table["bucket"].to_pylist(), table["kind"].to_pylist(), table["data"], strict=True):
         if k == kind:
-            a, b = chunk.cuts[bucket], chunk.cuts[bucket + 1]
-            out[a:b] = np.unpackbits(np.frombuffer(data.as_buffer(), np.uint8), count=b - a)
+            out[chunk.cuts[bucket] : chunk.cuts[bucket + 1]] = np.frombuffer(data.as_buffer(), np.uint8)
     return out
 
 
@@ -347,15 +418,15 @@ def covered_bytes(chunk: Chunk, found: Contexts, bits: np.ndarray) -> np.ndarray
     return total[shape.length :] > total[:n]
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 24, chunk_bytes: int = 2 << 20, kept: bool = True) -> DataFrame:
-    """(doc_id, n_bytes, spans, kept_sha256, kept): spans are removed runs of bytes; kept (binary) is null unless asked for."""
+def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 24, chunk_bytes: int = 2 << 20, kept: bool = True, bucket_anchors: int = 100_000, hot: int = 4096) -> DataFrame:
+    """(doc_id, n_bytes, spans, kept_sha256, kept): spans are removed runs of bytes; kept (binary) is null unless asked for.  An anchor that stands `hot` times or more is dealt out."""
     spark, shape = docs.sparkSession, Shape(length, gram)
     if not 0 < shape.reach <= 31:
         raise ValueError("length - gram must lie between 1 and 31")
     shared_dir(spark)
-    buckets = 16 * parts(spark)  # small ones: a worker holds one bucket's contexts
     chunks = stored(chunk_rows(docs, shape, chunk_bytes), "chunks")
-    flags = stored(shared_anchors(chunks, shape, buckets), "shared-anchors")
+    buckets = 1 + (chunks.agg(F.sum("n_anchors")).first()[0] or 0) // bucket_anchors  # a worker holds one bucket's contexts
+    flags = stored(shared_anchors(chunks, shape, buckets, hot), "shared-anchors")
     answers = stored(resolved_contexts(chunks, flags, shape, buckets), "windows")
 
     def cut(key, left, right):
@@ -378,7 +449,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 24, chunk_byte
         spans = pa.StructArray.from_arrays([pa.array(begin - block.offsets[doc]), pa.array(end - block.offsets[doc])], names=["begin", "end"])
         texts = [left_over[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
         return pa.table({
-            "doc_id": pa.array(chunk.ids, mask=chunk.ids == _NO_ID),
+            "doc_id": pa.array(chunk.ids, mask=unpack(left["missing"][0], bool)),
             "n_bytes": pa.array(np.diff(block.offsets)),
             "spans": pa.ListArray.from_arrays(pa.array(per), spans),
             "kept_sha256": pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()),

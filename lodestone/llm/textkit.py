@@ -1,14 +1,15 @@
 """Vectorised word, line and window primitives over Arrow text columns.
 
 A block is a run of documents whose bytes lie back to back in one numpy array.  Words are found by a byte table, and
-get a 64-bit hash from prefix sums of a polynomial, so no Python object is made for a word.  Equal bytes give equal
-hashes; unequal ones collide with a chance of about 2**-64 a pair.
+get a 64-bit hash by mixing eight bytes a step, so no Python object is made for a word.  Equal bytes give equal hashes.
+Unequal spans of one length up to eight bytes never collide; others do with a chance of about 2**-64 a pair, whatever their structure.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -16,10 +17,11 @@ import pyarrow as pa
 U = np.uint64
 BLOCK_BYTES = 1 << 19
 
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-_BYTE_CODE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
-_powers: dict[str, np.ndarray] = {}
+LONG_SPAN = 128
+
+_Q = U(0x9E3779B97F4A7C15)
+_S = U(0xD6E8FEB86659FD93)
+_TAIL = np.array([(1 << 8 * i) - 1 for i in range(9)], U)
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -28,17 +30,6 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n + 1 powers of the hash base and of its inverse, modulo 2**64."""
-    if len(_powers.get("up", ())) <= n:
-        size = max(2 * BLOCK_BYTES, (n + 1) * 9 // 8)
-        for key, base in (("up", _BASE), ("down", _BASE_INVERSE)):
-            steps = np.full(size, base, U)
-            steps[0] = 1
-            _powers[key] = np.cumprod(steps, dtype=U)
-    return _powers["up"], _powers["down"]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
     x = x ^ (x >> U(30))
@@ -103,16 +94,21 @@ class Words:
         return np.diff(self.first)
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    up, _ = powers(len(data))
-    sums = np.zeros(len(data) + 1, U)
-    np.cumsum(_BYTE_CODE[data] * up[: len(data)], out=sums[1:])
-    return sums
-
-
-def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    _, down = powers(len(sums))
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
+def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of each span: eight bytes a step, each step a bijection of all 64 bits, so that no algebra of the text makes spans collide.
+    Spans above LONG_SPAN bytes get a BLAKE2b digest instead of many steps over few spans."""
+    size = ends - starts
+    out = size.astype(U) * _S
+    loads = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    on = np.flatnonzero(size <= LONG_SPAN)
+    at, left = starts[on], size[on]
+    while len(on):
+        out[on] = mix((out[on] ^ (loads[at] & _TAIL[np.minimum(left, 8)])) * _Q + _S)
+        more = left > 8
+        on, at, left = on[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > LONG_SPAN):
+        out[i] = int.from_bytes(blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return out
 
 
 def words(block: Block, is_word: np.ndarray = NOT_SPACE, hashed: bool = True, data: np.ndarray | None = None) -> Words:
@@ -131,7 +127,7 @@ def words(block: Block, is_word: np.ndarray = NOT_SPACE, hashed: bool = True, da
     starts, stops = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     first = np.searchsorted(starts, block.offsets)
     doc = np.repeat(np.arange(block.n), np.diff(first))
-    return Words(starts, stops, first, doc, span_hash(prefix_hash(data), starts, stops) if hashed else None)
+    return Words(starts, stops, first, doc, span_hash(data, starts, stops) if hashed else None)
 
 
 def lines(block: Block) -> Words:
@@ -148,7 +144,7 @@ def lines(block: Block) -> Words:
     is_last[first[1:] - 1] = True
     starts[is_first], starts[~is_first] = block.offsets[:-1], breaks + 1
     ends[is_last], ends[~is_last] = block.offsets[1:], breaks
-    return Words(starts, ends, first, np.repeat(np.arange(block.n), count), span_hash(prefix_hash(block.data), starts, ends))
+    return Words(starts, ends, first, np.repeat(np.arange(block.n), count), span_hash(block.data, starts, ends))
 
 
 def windows(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -158,7 +154,8 @@ def windows(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray,
     n = len(hashes) - k + 1
     out = hashes[:n].copy()
     for j in range(1, k):
-        out *= U(_BASE)
+        out ^= out >> U(32)
+        out *= _Q
         out += hashes[j : j + n]
     whole = np.ones(n, bool)
     borders = first[1:-1]
