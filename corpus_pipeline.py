@@ -18,30 +18,46 @@ def _measured(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or the trees go."""
+    """Documents that fail the base rules or the trees go.
+
+    Null and empty texts fail for want of words; null ids and repeated rows are judged like any other row; an empty table gives none; without labels the base rules decide alone.
+    """
     model = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
     return quality.judge(docs, model, keep=docs.columns).where("kept").select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cross-site boilerplate lines go; all documents stay."""
-    return _measured(linededup.dedup_lines(docs, by_document=True), docs.columns)
+    """Cross-site boilerplate lines go; all documents stay.
+
+    A null text stays null; a null source is one site; a text whose lines all go stays as the empty text; repeated rows are cleaned alike; an empty table gives none.
+    """
+    done = linededup.dedup_lines(docs)
+    return _measured(done.select(*("text" if c == "text" else F.col(f"row.`{c}`") for c in docs.columns)), docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays, the one with the smallest doc_id."""
+    """One document of each class of near duplicates stays, the one with the smallest doc_id; of unlike texts under that id, the one of the smallest md5.
+
+    Null and empty texts are one class; a class whose rows all lack an id keeps one; of repeated rows one stays; an empty table gives none.
+    """
     return neardup.keep_first(docs, neardup.near_duplicates(docs))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Spans that occur in the benchmark are cut out; all documents stay."""
+    """Spans that occur in the benchmark are cut out; all documents stay.
+
+    A null text stays null; null ids and repeated rows are cut like any other; an empty benchmark cuts nothing; an empty table gives no rows.
+    """
     others = [c for c in docs.columns if c != "text"]
     found = decontam.find_contamination(docs, table(spark, sf_dir, "benchmark"), keep=others, cut=True)
     return _measured(found.select("row.*", "text"), docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many copies of each document the mix takes."""
+    """How many copies of each document the mix takes.
+
+    Empty texts have size 0 and take nothing; a null source is a source of its own; ties in rank go by id, size and md5 of the text; repeated rows are documents of their own.
+    """
     return mixing.mix_sources(docs)
 
 
@@ -58,6 +74,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents: a row of the mixing stage for each document that is left.  Columns of documents travel along, whatever their names."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
