@@ -179,9 +179,10 @@ def classes_of(members: DataFrame, blobs: DataFrame, least: float, at_once: int
     3. Pairs whose bound asks for no outside element (both lie inside a longer leader) are left: members that can be in one meet the members of other components in rounds of
        `at_once` a band, less the pairs that the bound or the triangle inequality of the Jaccard distance rules out.
     """
-    sizes = members.groupBy("band").agg(F.count("*").alias("n"))
-    weight = members.join(sizes, "band").groupBy("print").agg(F.sum("n").alias("w"))
-    leaders = members.join(weight, "print").groupBy("band").agg(F.max(F.struct("w", "print"))["print"].alias("b"))
+    # What a large band or a common leader is joined with is a stored table, so that its rows can be split among tasks.
+    sizes = stored(members.groupBy("band").agg(F.count("*").alias("n")), "band-sizes")
+    weight = stored(members.join(sizes, "band").groupBy("print").agg(F.sum("n").alias("w")), "weights")
+    leaders = stored(members.join(weight, "print").groupBy("band").agg(F.max(F.struct("w", "print"))["print"].alias("b")), "leaders")
     led = stored(members.join(leaders, "band"), "led")
     checked = stored(verify(led.where("print <> b").select(F.col("print").alias("a"), "b").distinct(), blobs), "verified")
     edges = checked.where(F.col("sim") >= least).select("a", "b")
@@ -212,7 +213,7 @@ def classes_of(members: DataFrame, blobs: DataFrame, least: float, at_once: int
         labels = components(edges)
 
     # The smallest size a partner of x can have: one of the sizes there are (a set of numbers, not of members) that is at least `least` of x's.
-    bounded = checked.join(checked.groupBy("b").agg(F.collect_set("size_a").alias("sizes")), "b")
+    bounded = checked.join(stored(checked.groupBy("b").agg(F.collect_set("size_a").alias("sizes")), "sizes"), "b")
     floor = F.ceil(least * F.col("size_a") - 1e-9)
     other = F.coalesce(F.array_min(F.filter("sizes", lambda n: n >= floor)), floor)
     needs = F.ceil(least / (1 + least) * (F.col("size_a") + other) - 1e-9) - F.col("common")
@@ -229,7 +230,7 @@ def classes_of(members: DataFrame, blobs: DataFrame, least: float, at_once: int
         chosen = stored(labelled(chosen.select("band", "print", "sim", "size_a", "common"), labels), "inner")
         if chosen.isEmpty():
             return labels
-        lists = chosen.groupBy("band").agg(F.collect_list(F.struct("print", "label", "sim", "size_a", "common")).alias("others"))  # at most at_once a band
+        lists = stored(chosen.groupBy("band").agg(F.collect_list(F.struct("print", "label", "sim", "size_a", "common")).alias("others")), "lists")  # at most at_once a band
 
         def possible(o: Column) -> Column:
             """Another component, within the triangle inequality, and what both share with the leader may do by itself; all other pairs met by an outside element, and
@@ -283,7 +284,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, least: float = 0.8, bands: int = 24, rows: int = 4) -> DataFrame:
-    """(doc_id, print, class_id), a row for each row of docs."""
+    """(doc_id, print, class_id, label), a row for each row of docs; label (the smallest print) tells classes apart also where names are null or alike."""
     shared_dir(docs.sparkSession)
     signed = stored(signatures(docs.select("doc_id", "text"), bands, rows), "signatures")
     nodes = stored(signed.groupBy("print").agg(F.min("doc_id").alias("doc_id"), F.any_value("bands").alias("bands")), "nodes")
@@ -299,15 +300,17 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, bands: int = 24, rows:
     labels = classes_of(members, blobs, least)
     named = nodes.select("print", "doc_id").join(labels.withColumnRenamed("node", "print"), "print", "left").withColumn("label", F.coalesce("label", "print"))
     classes = named.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    by_print = stored(named.join(classes, "label").select("print", "class_id"), "classes")
-    return signed.select("doc_id", "print").join(by_print, "print").select("doc_id", "print", "class_id")
+    by_print = stored(named.join(stored(classes, "class-names"), "label").select("print", "class_id", "label"), "classes")
+    return signed.select("doc_id", "print").join(by_print, "print").select("doc_id", "print", "class_id", "label")
 
 
 def keep_first(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """docs without those that are not the first of their class; rows that repeat one document leave one."""
-    first = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__id"), F.col("print").alias("__print"))
-    kept = docs.withColumn("__own", printed()).join(first.distinct(), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__print")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__own"]).drop("__own")
+    """One row of docs for each class: of the smallest doc_id (null only where no member has one), then of the smallest print; of rows that repeat it, any one."""
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "print"))
+    first = stored(classes.groupBy("label").agg(least.alias("f")).select(F.col("f.doc_id").alias("id"), F.col("f.print").alias("first")), "firsts")
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("own"), printed().alias("print"))
+    kept = packed.join(first, F.col("own").eqNullSafe(F.col("id")) & (F.col("print") == F.col("first")), "left_semi")
+    return kept.dropDuplicates(["own", "print"]).select("row.*")
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
