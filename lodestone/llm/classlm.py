@@ -5,13 +5,15 @@
 2. Core.  Words that make up at least 1 / `unit_share` of the training tokens are units of their own (so there are at most that many, whatever the corpus); all others are
    grouped by shape into 1,023 units, and the end token is a unit.  Exchange clustering on the unit bigrams: units move to the class that raises the likelihood of
    the class bigrams most, sweep after sweep until none moves.
-3. Classes.  Every other word counted `least_count` times or more gets the class that its own bigrams with core classes make likeliest, in one distributed sweep: batches send
-   the classes around each word to the word's bucket, which has its whole count vector.  Only rarer words keep the class of their shape.  The classes stay a table.
-4. Scores.  The buckets answer each batch with count and class of its distinct words, the class bigrams are counted anew, and P(class | class) is smoothed towards class
+3. Classes.  Every other word counted `least_count` times or more, a vocabulary that grows with the corpus, is exchanged by its own bigrams: tasks sum the classes before and after each word and
+   send them to the word's bucket, which moves it to the class that makes its whole count vector likeliest.  Only rarer words keep the class of their shape.  The classes stay a table.
+4. Scores.  The buckets answer each piece of text with count and class of its distinct words, the class bigrams are counted anew, and P(class | class) is smoothed towards class
    frequencies; P(w | class) adds 0.5 to each word of the class and one unseen word.
 
-Defined cases: a null or empty text is the end token alone; the end token follows itself at the start of a text; rows without id belong to the fold of the empty id;
-repeated rows count as often as they stand there and score alike; without training rows all counts are 0; further columns are ignored.
+Buckets are as many as the bytes of the texts ask for; a frequent word sends at most 2 * `classes` counts a task to its bucket.
+
+Defined cases: a null or empty text is the end token alone; the end token follows itself at the start of a text; rows without id belong to the fold of the empty id; an id that is no whole number
+is an error; repeated rows count as often as they stand there and score alike; without training rows all counts are 0; a text longer than a piece is a piece of its own; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,11 +24,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import textkit as tk
-from lodestone.llm.common import folds, parts, shared_dir, stored, table, tidy
+from lodestone.llm.common import folds, integral, shared_dir, stored, table, tidy
 
 SHAPES = 1024
 END = np.array([(1 << 63) | (SHAPES - 1)], tk.U)  # its shape is its own
@@ -196,8 +199,9 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
-def exchange(bigrams: np.ndarray, classes: int, alone: int, sweeps: int = 12) -> np.ndarray:
-    """Class of each unit.  `alone` has class 0 to itself; the others start by frequency, dealt in turn."""
+def exchange(bigrams: np.ndarray, classes: int, alone: int) -> np.ndarray:
+    """Class of each unit.  `alone` has class 0 to itself; the others start by frequency, dealt in turn.  Sweeps go on until no unit moves; as each move raises the likelihood by more than
+    the rounding errors of its sums, they come to an end."""
     size = len(bigrams)
     out_of, into = bigrams.sum(1), bigrams.sum(0)
     order = np.argsort(-(out_of + into), kind="stable")
@@ -207,7 +211,8 @@ def exchange(bigrams: np.ndarray, classes: int, alone: int, sweeps: int = 12) ->
     table = np.zeros((classes, classes))
     np.add.at(table, (of[:, None], of[None, :]), bigrams)
     left, right = table.sum(1), table.sum(0)
-    for _ in range(sweeps):
+    margin, moved = 1e-9 + 1e-10 * bigrams.sum(), 1
+    while moved:
         moved = 0
         for u in order:
             if not out_of[u] + into[u]:
@@ -225,7 +230,7 @@ def exchange(bigrams: np.ndarray, classes: int, alone: int, sweeps: int = 12) ->
             gain -= _xlogx(left + out_of[u]) - _xlogx(left) + _xlogx(right + into[u]) - _xlogx(right)
             gain[0] = -np.inf
             b = int(np.argmax(gain))
-            if gain[b] <= gain[a] + 1e-9:
+            if gain[b] <= gain[a] + margin:
                 b = a
             moved += b != a
             of[u] = b
@@ -234,8 +239,6 @@ def exchange(bigrams: np.ndarray, classes: int, alone: int, sweeps: int = 12) ->
             table[b, b] += own
             left[b] += out_of[u]
             right[b] += into[u]
-        if not moved:
-            break
     return of
 
 
@@ -260,45 +263,64 @@ def fit_core(counts: DataFrame, texts: DataFrame, classes: int, unit_share: int)
     return Core(units, class_of, table, n, v)
 
 
-ASKED = "uid long, bucket int, keys binary, runs binary, before binary, after binary, places binary, sizes binary, ids array<long>, held array<boolean>"
+CELLS = "bucket int, data binary"
 
 
-def ask(texts: DataFrame, core: Core, buckets: int) -> DataFrame:
-    """Rows without bucket, one a batch: its tokens as places among its distinct keys.  Rows with one, one a bucket and batch: distinct keys, and of each key's
-    training tokens the classes before and after."""
-    names = [x.split()[0] for x in ASKED.split(", ")]
-    kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 6, pa.list_(pa.int64()), pa.list_(pa.bool_())]
+def merged(keys: np.ndarray, cells: np.ndarray, n: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums n by key and cell, in order of both."""
+    own, place = np.unique(keys, return_inverse=True)
+    code, at = np.unique(place * (2 * classes) + cells, return_inverse=True)
+    return own[code // (2 * classes)], (code % (2 * classes)).astype(np.int64), np.bincount(at, n, len(code)).astype(np.int64)
+
+
+def neighbour_cells(texts: DataFrame, core: Core, buckets: int, at_once: int = 1 << 20) -> DataFrame:
+    """(bucket, data): for words below the core, how often each class stands before (cell c) and after (cell classes + c) them in training texts.  A task sums what it can hold."""
+    classes = len(core.table)
+
+    def sent(keys, cells, n):
+        own, first = np.unique(keys, return_index=True)
+        cuts = np.searchsorted(bucket_of(own, buckets), np.arange(buckets + 1))
+        full, first = np.flatnonzero(np.diff(cuts)), np.append(first, len(keys))
+        pack, blobs = zstandard.ZstdCompressor(level=1), []
+        for b in full:
+            a, z = first[cuts[b]], first[cuts[b + 1]]
+            sizes = np.diff(first[cuts[b] : cuts[b + 1] + 1])
+            blobs.append(pack.compress(b"".join([np.array([cuts[b + 1] - cuts[b], z - a]).tobytes(), own[cuts[b] : cuts[b + 1]].tobytes(), n[a:z].tobytes(), sizes.astype(np.int32).tobytes(), cells[a:z].astype(np.uint8).tobytes()])))
+        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "data"])
 
     def run(batches):
+        held, size = [], 0
         for batch in batches:
-            n, uid = batch.num_rows, uuid.uuid4().int >> 65
-            keys, doc = [np.zeros(0, tk.U)], [np.zeros(0, np.int64)]
+            train = np.asarray(batch.column(1))
             for block in tk.blocks(batch.column(0)):
-                k, d = tokens(block)
-                keys.append(k)
-                doc.append(block.first + d)
-            keys, doc = np.concatenate(keys), np.concatenate(doc)
-            if not len(keys):
-                continue
-            number = core.units.number(keys)
-            kind = core.class_of[number].astype(np.uint8)
-            before, after = before_each(kind, doc, 0), np.append(kind[1:], np.uint8(0))
-            own, place = np.unique(keys, return_inverse=True)
-            place = place.astype(np.int32)
-            chosen = np.flatnonzero(np.asarray(batch.column(1))[doc] & (number >= len(core.units.keys)))
-            runs = np.bincount(place[chosen], minlength=len(own)).astype(np.int32)
-            chosen = chosen[np.argsort(place[chosen], kind="stable")]
-            before, after, ends = before[chosen], after[chosen], np.append(0, np.cumsum(runs))
-            cuts = np.searchsorted(bucket_of(own, buckets), np.arange(buckets + 1))
-            rows = [(uid, None, None, None, None, None, place.tobytes(), np.bincount(doc, minlength=n).tobytes(), batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            for b in np.flatnonzero(np.diff(cuts)):
-                of, at = slice(cuts[b], cuts[b + 1]), slice(ends[cuts[b]], ends[cuts[b + 1]])
-                rows.append((uid, int(b), own[of].tobytes(), runs[of].tobytes(), before[at].tobytes(), after[at].tobytes(), None, None, None, None))
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-            del rows, keys, doc, own, place, number, kind, before, after, chosen
+                keys, doc = tokens(block)
+                number = core.units.number(keys)
+                kind = core.class_of[number]
+                chosen = np.flatnonzero(train[block.first + doc] & (number >= len(core.units.keys)))
+                before, after = before_each(kind, doc, 0)[chosen], np.append(kind[1:], 0)[chosen]
+                held.append(merged(np.concatenate([keys[chosen], keys[chosen]]), np.concatenate([before, after + classes]), np.ones(2 * len(chosen), np.int64), classes))
+                size += len(held[-1][0])
+                if size > at_once:
+                    held = [merged(*map(np.concatenate, zip(*held, strict=True)), classes)]
+                    size = len(held[0][0])
+                    if size > at_once // 2:
+                        yield sent(*held[0])
+                        held, size = [], 0
             tidy()
+        if held:
+            yield sent(*merged(*map(np.concatenate, zip(*held, strict=True)), classes))
+        tidy()
 
-    return texts.select("text", "train", "doc_id", "held_out").mapInArrow(run, ASKED)
+    return texts.select("text", "train").mapInArrow(run, CELLS)
+
+
+def read_cells(data: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, cells of each, and cells and counts in a row."""
+    raw = zstandard.ZstdDecompressor().decompress(data.as_buffer())
+    m, n = np.frombuffer(raw, np.int64, 2)
+    keys, counts = np.frombuffer(raw, tk.U, m, 16), np.frombuffer(raw, np.int64, n, 16 + 8 * m)
+    sizes = np.frombuffer(raw, np.int32, m, 16 + 8 * m + 8 * n)
+    return keys, sizes, np.frombuffer(raw, np.uint8, n, 16 + 12 * m + 8 * n), counts
 
 
 def choose(vectors: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -311,44 +333,77 @@ def choose(vectors: np.ndarray, table: np.ndarray) -> np.ndarray:
     return np.argmax(gain, 1)
 
 
-def answer(asked: DataFrame, counts: DataFrame, core: Core, least_count: int) -> DataFrame:
-    """(uid, bucket, counts, classes) for the keys of each asking row, and rows without uid: tokens and types of each class in the bucket."""
+CLASSED = "bucket int, keys binary, counts binary, kinds binary, class_tokens array<long>, class_types array<long>"
+
+
+def assign(cells: DataFrame, counts: DataFrame, core: Core, least_count: int) -> DataFrame:
+    """counts with the class of each word, and tokens and types of each class in the bucket."""
     classes = len(core.table)
 
-    def look(key, requests, known):
+    def look(key, found, known):
         k, c = joined(known["keys"], tk.U), joined(known["counts"], np.int64)
         number = core.units.number(k)
-        kind = core.class_of[number]
-        middle = (number >= len(core.units.keys)) & (c >= least_count)
-        row = np.where(middle, np.cumsum(middle) - 1, -1)
-        vectors = np.zeros(int(middle.sum()) * 2 * classes)
-        found = []
-        for keys, runs, before, after in zip(*(requests[x] for x in ("keys", "runs", "before", "after")), strict=True):
+        kind = core.class_of[number].copy()
+        middle = np.flatnonzero((number >= len(core.units.keys)) & (c >= least_count))
+        row = np.full(len(k), -1)
+        row[middle] = np.arange(len(middle))
+        vectors = np.zeros(len(middle) * 2 * classes)
+        for data in found["data"] if len(middle) else []:
+            own, sizes, cell, n = read_cells(data)  # all of them training words of this bucket
+            to = np.repeat(row[np.searchsorted(k, own)], sizes)
+            np.add.at(vectors, (to * 2 * classes + cell)[to >= 0], n[to >= 0])
+        kind[middle] = choose(vectors.reshape(-1, 2 * classes), core.table)
+        per = [np.bincount(kind, w, classes).astype(np.int64) for w in (c, None)]
+        del vectors
+        tidy()
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([k.tobytes()]), pa.array([c.tobytes()]), pa.array([kind.astype(np.uint8).tobytes()]), *(pa.array([x], pa.list_(pa.int64())) for x in per)], names=[x.split()[0] for x in CLASSED.split(", ")])
+
+    return cells.groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInArrow(look, CLASSED)
+
+
+ASKED = "uid long, bucket int, keys binary, places binary, sizes binary, ids array<long>, held array<boolean>"
+
+
+def ask(texts: DataFrame, buckets: int, piece_bytes: int = 2 << 20) -> DataFrame:
+    """Rows without bucket, one a piece of the texts: its tokens as places among its distinct keys.  Rows with one, one a bucket and piece: distinct keys."""
+    names = [x.split()[0] for x in ASKED.split(", ")]
+    kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 3, pa.list_(pa.int64()), pa.list_(pa.bool_())]
+
+    def run(batches):
+        for batch in batches:
+            ids, held = batch.column(1), batch.column(2)
+            for block in tk.blocks(batch.column(0), piece_bytes):
+                uid = uuid.uuid4().int >> 65
+                keys, doc = tokens(block)
+                own, place = np.unique(keys, return_inverse=True)
+                cuts = np.searchsorted(bucket_of(own, buckets), np.arange(buckets + 1))
+                at = (block.first, block.n)
+                rows = [(uid, None, None, place.astype(np.int32).tobytes(), np.bincount(doc, minlength=block.n).tobytes(), ids.slice(*at).to_pylist(), held.slice(*at).to_pylist())]
+                rows += [(uid, int(b), own[cuts[b] : cuts[b + 1]].tobytes(), None, None, None, None) for b in np.flatnonzero(np.diff(cuts))]
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                del rows, keys, doc, own, place
+            tidy()
+
+    return texts.select("text", "doc_id", "held_out").mapInArrow(run, ASKED)
+
+
+def answer(asked: DataFrame, classed: DataFrame, core: Core) -> DataFrame:
+    """(uid, bucket, counts, classes) for the keys of each asking row."""
+
+    def look(key, requests, known):
+        k, c, kind = joined(known["keys"], tk.U), joined(known["counts"], np.int64), joined(known["kinds"], np.uint8)
+        counts, kinds = [], []
+        for keys in requests["keys"]:
             own = np.frombuffer(keys.as_buffer(), tk.U)
             at = np.minimum(np.searchsorted(k, own), max(len(k) - 1, 0))
             hit = k[at] == own if len(k) else np.zeros(len(own), bool)
-            found.append((own, at, hit))
-            if len(vectors):
-                to = np.repeat(np.where(hit, row[at], -1), np.frombuffer(runs.as_buffer(), np.int32))
-                for side, start in ((before, 0), (after, classes)):
-                    cell = to * 2 * classes + start + np.frombuffer(side.as_buffer(), np.uint8)
-                    cell, times = np.unique(cell[to >= 0], return_counts=True)
-                    vectors[cell] += times
-        kind = kind.copy()
-        kind[middle] = choose(vectors.reshape(-1, 2 * classes), core.table)
-        out_counts, out_kinds = [], []
-        for own, at, hit in found:
-            out_counts.append((np.where(hit, c[at], 0) if len(k) else np.zeros(len(own), np.int64)).tobytes())
             shape = core.class_of[core.units.number(own)]
-            out_kinds.append((np.where(hit, kind[at], shape) if len(k) else shape).astype(np.uint8).tobytes())
-        out_counts.append(np.bincount(kind, c, classes).astype(np.int64).tobytes())
-        out_kinds.append(np.bincount(kind, minlength=classes).astype(np.int64).tobytes())
-        del vectors, found
+            counts.append((np.where(hit, c[at], 0) if len(k) else np.zeros(len(own), np.int64)).tobytes())
+            kinds.append((np.where(hit, kind[at], shape) if len(k) else shape).astype(np.uint8).tobytes())
         tidy()
-        uids = [*requests["uid"].to_pylist(), None]
-        return pa.table([pa.array(uids, pa.int64()), pa.array([key[0].as_py()] * len(uids), pa.int32()), pa.array(out_counts, pa.binary()), pa.array(out_kinds, pa.binary())], names=["uid", "bucket", "counts", "classes"])
+        return pa.table([requests["uid"], pa.array([key[0].as_py()] * len(counts), pa.int32()), pa.array(counts, pa.binary()), pa.array(kinds, pa.binary())], names=["uid", "bucket", "counts", "classes"])
 
-    return asked.groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInArrow(look, "uid long, bucket int, counts binary, classes binary")
+    return asked.groupBy("bucket").cogroup(classed.groupBy("bucket")).applyInArrow(look, "uid long, bucket int, counts binary, classes binary")
 
 
 READ = "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, classes binary"
@@ -397,22 +452,28 @@ def class_bigrams(documents: DataFrame, classes: int) -> np.ndarray:
     return out.reshape(classes, classes)
 
 
-def score_documents(docs: DataFrame, held_out: Column, classes: int = 64, unit_share: int = 2000, least_count: int = 10, pull: float = 10.0) -> DataFrame:
+def fit_classes(texts: DataFrame, classes: int, unit_share: int, least_count: int, bucket_bytes: int) -> tuple[Core, DataFrame, int]:
+    """The core, the table of words with count and class, and its number of buckets."""
+    buckets = 1 + (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // bucket_bytes
+    counts = stored(count_words(texts, buckets), "word-counts")
+    core = fit_core(counts, texts, classes, unit_share)
+    return core, stored(assign(neighbour_cells(texts, core, buckets), counts, core, least_count), "classed-words"), buckets
+
+
+def score_documents(docs: DataFrame, held_out: Column, classes: int = 64, unit_share: int = 2000, least_count: int = 10, pull: float = 10.0, bucket_bytes: int = 4 << 20) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row for each row of docs."""
     spark = docs.sparkSession
     shared_dir(spark)
-    buckets = 4 * parts(spark)
-    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"), (~held_out).alias("train"), F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"))
-    counts = stored(count_words(texts, buckets), "word-counts")
-    core = fit_core(counts, texts, classes, unit_share)
-    rows = stored(ask(texts, core, buckets), "asked")
-    answers = stored(answer(rows.where("bucket IS NOT NULL").select("uid", "bucket", "keys", "runs", "before", "after"), counts, core, least_count), "answers")
-    documents = stored(read_back(rows.where("bucket IS NULL").select("uid", "places", "sizes", "ids", "held"), answers.where("uid IS NOT NULL")), "classed")
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"), (~held_out).alias("train"), integral(docs, "doc_id"), held_out.alias("held_out"))
+    core, classed, buckets = fit_classes(texts, classes, unit_share, least_count, bucket_bytes)
+    rows = stored(ask(texts, buckets), "asked")
+    answers = stored(answer(rows.where("bucket IS NOT NULL").select("uid", "bucket", "keys"), classed.select("bucket", "keys", "counts", "kinds"), core), "answers")
+    documents = stored(read_back(rows.where("bucket IS NULL").select("uid", "places", "sizes", "ids", "held"), answers), "classed")
 
     class_tokens, class_types = np.zeros(classes), np.zeros(classes)
-    for r in answers.where("uid IS NULL").select("counts", "classes").toLocalIterator():
-        class_tokens += np.frombuffer(r["counts"], np.int64)
-        class_types += np.frombuffer(r["classes"], np.int64)
+    per_class = classed.select(F.posexplode(F.arrays_zip("class_tokens", "class_types")).alias("at", "of")).groupBy("at").agg(F.sum("of.class_tokens").alias("tokens"), F.sum("of.class_types").alias("types"))
+    for r in per_class.collect():  # a row a class
+        class_tokens[r["at"]], class_types[r["at"]] = r["tokens"], r["types"]
     table = class_bigrams(documents, classes)
     share = (table.sum(0) + 0.5) / (table.sum() + 0.5 * classes)
     step = (np.log10((table + pull * share) / (table.sum(1, keepdims=True) + pull)) - np.log10(class_tokens + 0.5 * (class_types + 1))).ravel()
