@@ -1,6 +1,14 @@
 import pytest
 
 LONG = "lorem ipsum dolor " * 9000
+#: More bytes than any block, chunk or piece that an operator cuts batches into.
+LONGER = " ".join(f"w{i % 977}x{i // 7}" for i in range(230_000))
+
+
+def thue_morse(n: int) -> tuple[str, str]:
+    """Two unlike strings of 2**n letters that a polynomial hash modulo a power of two can't tell apart."""
+    bits = [bin(i).count("1") % 2 for i in range(1 << n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
 
 
 @pytest.fixture(scope="session")
@@ -18,9 +26,12 @@ def odd_docs(spark):
         (5, "another text under the same id", "de", "a"),
         (6, " \n\n \t", "en", "a"),
         (7, "the quick brown fox jumps over the lazy dog again and again until the night comes down on all of them\nsecond line here", "en", "b"),
+        (8, LONGER, "en", "d"),
+        (9, "\n".join(thue_morse(10)), "en", "a"),
+        (10, " ".join(thue_morse(7)) + " " + " ".join(thue_morse(6)), "en", "a"),
     ]
-    rows = [(i, t, lang, source, len(t or ""), 0.5, "x", 7, "y", 1, "z", 2) for i, t, lang, source in base]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, row string, size long, kept string, label int, spans string, n_words long")
+    rows = [(i, t, lang, source, len(t or ""), 0.5, "x", 7, "y", 1, "z", 2, 3, 4, 5, 6, 7, 8, 9) for i, t, lang, source in base]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, row string, size long, kept string, label int, spans string, n_words long, __id int, __print int, __bad int, __own int, print int, own int, id int")
 
 
 @pytest.fixture(scope="session")

@@ -153,6 +153,53 @@ def test_near_group_of_many_edits(spark):
     assert got == sorted(brute.near_classes(docs))
 
 
+def test_one_row_of_each_class_stays(spark):
+    """Unlike texts under one id may be one class or two, and a class may lack an id."""
+    long = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(1, long, "a"), (1, long + " extra", "b"), (2, long + " more", "c"), (1, other, "d"), (1, other, "e"), (None, "no id here at all one", "f"), (None, "no id here at all one", "g"), (3, None, "h"), (4, "", "i")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id string")
+    kept = sorted((r["doc_id"] or 0, (r["text"] or "")[-8:]) for r in neardup.keep_first(docs, neardup.near_duplicates(docs)).collect())
+    assert len(kept) == 4 and [k[0] for k in kept] == [0, 1, 1, 3] and kept[0][1] == " all one"
+
+
+def test_longest_previous_factors():
+    """Against all pairs, with texts that hold the padding byte and contexts cut on both sides."""
+    rng = np.random.default_rng(8)
+    shape = suffixdedup.Shape(6, 2, 2)
+    for _ in range(60):
+        n = int(rng.integers(1, 30))
+        rows = np.zeros((n, shape.width + 2), np.uint8)
+        rows[:, : shape.width] = rng.integers(0, 2, (n, shape.width))
+        rows[:, shape.reach : shape.reach + shape.gram] = 1
+        left, right = rng.integers(0, shape.reach + 1, n), rng.integers(0, shape.reach + 1, n)
+        column = np.arange(shape.width)
+        rows[:, : shape.width][(column < shape.reach - left[:, None]) | (column >= shape.reach + shape.gram + right[:, None])] = 0
+        rows[:, shape.width], rows[:, shape.width + 1] = left, right
+        ids = rng.integers(0, 6, n)
+        end = shape.reach + shape.gram + right
+        seen = 0
+        for s, own, factor in suffixdedup.longest_previous_factors(rows, ids, shape):
+            assert sorted(own) == [i for i in range(n) if left[i] >= shape.reach - s and right[i] >= s]
+            suffix = {i: bytes(rows[i, s : end[i]]) for i in own}
+            assert [suffix[i] for i in own] == sorted(suffix.values())
+            for i, f in zip(own, factor, strict=True):
+                shared = [next((k for k, (x, y) in enumerate(zip(suffix[i], suffix[j])) if x != y), min(len(suffix[i]), len(suffix[j]))) for j in own if ids[j] < ids[i]]  # noqa: B905
+                want = max(shared, default=0)
+                assert f == (want if want >= shape.length else 0)
+            seen += 1
+        assert seen == shape.starts
+        bits = suffixdedup.resolve(rows, ids, shape, at_once=4)
+        for s, own, factor in suffixdedup.longest_previous_factors(rows, ids, shape):
+            assert {int(i) for i in own[factor >= shape.length]} == {i for i in range(n) if bits[i] >> s & 1}
+
+
+def test_hot_anchors_are_dealt_out_without_loss(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    few = suffixdedup.remove_repeats(docs, kept=False, hot=2, bucket_anchors=3000, chunk_bytes=1 << 16).drop("kept").collect()
+    assert sorted(map(repr, few)) == sorted(map(repr, suffixdedup.remove_repeats(docs, kept=False).drop("kept").collect()))
+
+
 def test_nearest_smaller_and_factors():
     rng = np.random.default_rng(2)
     for _ in range(30):
@@ -192,18 +239,17 @@ def test_suffix_kept_texts(spark):
     assert got == {(2, "before  after"), (1, shared), (3, "x" * 120)}
 
 
-def test_boilerplate_needs_sites_and_variety(spark):
+def test_boilerplate_needs_sites_beyond_copies(spark):
     rows = []
     for i in range(24):
         rows.append((i, f"own start number {i}\nshare this page now\nown end number {i}", f"s{i % 12}"))
         rows.append((100 + i, "a copied text begins\nand goes on here\nuntil it ends", f"s{i % 12}"))
         rows.append((200 + i, f"only on one site {i}\nread more about it\nlast {i}", "s0"))
     frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    found = linededup.occurrences(frame, 3)
-    lines = {r["line"] for r in linededup.boilerplate(found).collect()}
+    lines = {r["line"] for r in linededup.boilerplate(linededup.occurrences(frame)).collect()}
     want = frame.limit(1).select(F.xxhash64(F.lit("share this page now")).alias("h")).first()["h"]
     assert lines == {want}
-    done = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(frame).collect()}
+    done = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(frame).select("row.doc_id", "text").collect()}
     assert done[0] == "own start number 0\nown end number 0" and done[100] == rows[1][1]
 
 
@@ -222,6 +268,57 @@ def test_class_model_beats_unigrams(spark, sf_dir):
     assert rows["s"] > rows["b"]
 
 
+def test_scores_by_brute_force(spark, sf_dir):
+    """Classes of the middle words and scores, from the core's classes by the formulas of the module."""
+    import math
+    from collections import Counter
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    held = F.col("doc_id") % 5 == 0
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (~held).alias("train"))
+    core, classed, _ = classlm.fit_classes(texts, 8, 300, 10, 1 << 16)
+    rows = [(r["doc_id"], classlm.tokens(next(tk.blocks(pa.array([r["text"]]))))[0].tolist(), r["train"]) for r in texts.collect()]
+    counts, table = Counter(w for _, ws, train in rows if train for w in ws), core.table
+    number = lambda w: int(core.units.number(np.array([w], np.uint64))[0])
+    basic = {w: int(core.class_of[number(w)]) for _, ws, _ in rows for w in ws}
+    end = int(classlm.END[0])
+    vectors = {}
+    for _, ws, train in rows:
+        for before, w, after in zip([end, *ws[:-1]], ws, [*ws[1:], None], strict=True) if train else ():
+            if number(w) >= len(core.units.keys) and counts[w] >= 10:
+                v = vectors.setdefault(w, np.zeros((2, 8)))
+                v[0, basic[before]] += 1
+                v[1, basic[after]] += 1
+    smooth = table + 0.5
+    share = np.log(smooth / np.outer(smooth.sum(1), smooth.sum(0)))
+    got = {}
+    for r in classed.collect():
+        got |= dict(zip(np.frombuffer(r["keys"], np.uint64).tolist(), np.frombuffer(r["kinds"], np.uint8).tolist(), strict=True))
+    assert got.keys() == counts.keys() and len(vectors) > 20
+    for w, c in got.items():
+        gains = vectors[w][0] @ share + share @ vectors[w][1] if w in vectors else None
+        assert c == basic[w] if gains is None else c and gains[c] >= gains[1:].max() - 1e-6
+
+    kind = basic | got
+    pairs = Counter((kind[a], kind[b]) for _, ws, train in rows if train for a, b in zip([end, *ws[:-1]], ws, strict=True))
+    first, second, total = Counter(), Counter(), sum(pairs.values())
+    for (a, b), n in pairs.items():
+        first[a] += n
+        second[b] += n
+    class_tokens, class_types = Counter(), Counter()
+    for w, n in counts.items():
+        class_tokens[kind[w]] += n
+        class_types[kind[w]] += 1
+
+    def log10(a, b):
+        step = (pairs[kind[a], kind[b]] + 10 * (second[kind[b]] + 0.5) / (total + 4)) / (first[kind[a]] + 10)
+        return math.log10(step * (counts[b] + 0.5) / (class_tokens[kind[b]] + 0.5 * (class_types[kind[b]] + 1)))
+
+    want = {d: sum(log10(a, b) for a, b in zip([end, *ws[:-1]], ws, strict=True)) for d, ws, _ in rows}
+    found = {r["doc_id"]: r["score"] for r in classlm.score_documents(docs, held, 8, 300).collect()}
+    assert found == pytest.approx(want)
+
+
 def test_words_below_the_core_have_classes_of_their_own(spark):
     """Words of one shape, each too rare for the core, but seen in unlike places."""
     rng = np.random.default_rng(9)
