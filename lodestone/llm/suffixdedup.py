@@ -46,7 +46,7 @@ _NOTE = "uid long, bucket int, kind int, data binary"
 class Shape:
     length: int = 50
     gram: int = 24
-    pieces: int = 4
+    pieces: int = 9
 
     @property
     def reach(self) -> int:
