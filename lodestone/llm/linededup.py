@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import WORD, shared_dir, stored, table
+from lodestone.llm.common import WORD, discard, shared_dir, stored, table
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -49,7 +49,9 @@ def wide_lines(found: DataFrame, min_sites: int = 10, min_words: int = 3, short_
     sketched = stored(sketched.where(could).withColumn("near", near), "line-spread")
     exact = found.join(sketched.where("near").select("line"), "line", "left_semi").select("line", "site").distinct().groupBy("line").agg(F.count("*").alias("s"))
     spread = sketched.join(exact, "line", "left").select("line", "needs", F.coalesce("s", "sites").alias("sites"))
-    return stored(spread.where(F.col("sites") >= F.col("needs")).select("line", "sites"), "wide-lines")
+    wide = stored(spread.where(F.col("sites") >= F.col("needs")).select("line", "sites"), "wide-lines")
+    discard(often, sketched)
+    return wide
 
 
 def boilerplate(found: DataFrame, min_sites: int = 10, min_words: int = 3, short_factor: int = 2, most_wide: float = 0.5) -> DataFrame:
@@ -58,17 +60,20 @@ def boilerplate(found: DataFrame, min_sites: int = 10, min_words: int = 3, short
     carried = stored(found.join(wide.select("line"), "line", "left_semi"), "wide-occurrences")
     each = carried.groupBy("print", "at").agg(F.max("share").alias("share"))
     copies = stored(each.groupBy("print").agg(F.sum("share").alias("share")).where(F.col("share") > most_wide + 1e-9).select("print"), "copied-texts")
-    return wide_lines(carried.join(copies, "print", "left_anti"), min_sites, min_words, short_factor)
+    lines = wide_lines(carried.join(copies, "print", "left_anti"), min_sites, min_words, short_factor)
+    discard(wide, carried, copies)
+    return lines
 
 
 def dedup_lines(docs: DataFrame, min_sites: int = 10, min_words: int = 3, short_factor: int = 2, most_wide: float = 0.5) -> DataFrame:
     """(row, text, n_lines, n_removed): row holds the columns of docs as they came, text what is left."""
     shared_dir(docs.sparkSession)
     found = stored(occurrences(docs.select("text", "source")), "line-occurrences")
-    lines = boilerplate(found, min_sites, min_words, short_factor, most_wide).select("line")
-    bad = stored(found.join(lines, "line", "left_semi").groupBy("print").agg(F.collect_set("line").alias("bad")), "lines-to-go")  # a text's own lines
+    lines = boilerplate(found, min_sites, min_words, short_factor, most_wide)
+    bad = stored(found.join(lines.select("line"), "line", "left_semi").groupBy("print").agg(F.collect_set("line").alias("bad")), "lines-to-go")  # a text's own lines
+    discard(found, lines)
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.xxhash64("text").alias("print"))
-    joined = packed.join(bad, "print", "left")
+    joined = packed.join(bad.hint("merge"), "print", "left")  # bad grows with the texts, so the plan is the same at every size
     split = F.split("row.text", "\n")
     kept = F.when(F.col("bad").isNull(), split).otherwise(F.filter(split, lambda x: ~F.array_contains("bad", F.xxhash64(x))))
     n_lines = F.coalesce(F.size(split), F.lit(0)).cast("long")
