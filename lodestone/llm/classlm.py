@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import textkit as tk
-from lodestone.llm.common import folds, integral, shared_dir, stored, table, tidy
+from lodestone.llm.common import discard, folds, integral, shared_dir, stored, table, tidy
 
 SHAPES = 1024
 END = np.array([(1 << 63) | (SHAPES - 1)], tk.U)  # its shape is its own
@@ -457,7 +457,9 @@ def fit_classes(texts: DataFrame, classes: int, unit_share: int, least_count: in
     buckets = 1 + (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // bucket_bytes
     counts = stored(count_words(texts, buckets), "word-counts")
     core = fit_core(counts, texts, classes, unit_share)
-    return core, stored(assign(neighbour_cells(texts, core, buckets), counts, core, least_count), "classed-words"), buckets
+    classed = stored(assign(neighbour_cells(texts, core, buckets), counts, core, least_count), "classed-words")
+    discard(counts)
+    return core, classed, buckets
 
 
 def score_documents(docs: DataFrame, held_out: Column, classes: int = 64, unit_share: int = 2000, least_count: int = 10, pull: float = 10.0, bucket_bytes: int = 4 << 20) -> DataFrame:
@@ -474,6 +476,7 @@ def score_documents(docs: DataFrame, held_out: Column, classes: int = 64, unit_s
     per_class = classed.select(F.posexplode(F.arrays_zip("class_tokens", "class_types")).alias("at", "of")).groupBy("at").agg(F.sum("of.class_tokens").alias("tokens"), F.sum("of.class_types").alias("types"))
     for r in per_class.collect():  # a row a class
         class_tokens[r["at"]], class_types[r["at"]] = r["tokens"], r["types"]
+    discard(classed, rows, answers)
     table = class_bigrams(documents, classes)
     share = (table.sum(0) + 0.5) / (table.sum() + 0.5 * classes)
     step = (np.log10((table + pull * share) / (table.sum(1, keepdims=True) + pull)) - np.log10(class_tokens + 0.5 * (class_types + 1))).ravel()

@@ -22,10 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor shares, from spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder every executor shares, from spark.checkpoint.dir.  Where that is unset, a temporary one in local mode (tests), and an error on a cluster."""
     bounded_batches(spark)
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="lodestone-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -53,7 +55,24 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     """Cuts the lineage with a table in the shared folder, so that a lost executor costs no recomputation."""
     path = scratch(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _folder(df.sparkSession, path).deleteOnExit(_path(df.sparkSession, path))  # what is not discarded goes with the application
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def _path(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _folder(spark: SparkSession, path: str):
+    return _path(spark, path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing still to be computed reads."""
+    for df in tables:
+        _folder(df.sparkSession, df.stored_at).delete(_path(df.sparkSession, df.stored_at), True)
 
 
 def parts(spark: SparkSession) -> int:

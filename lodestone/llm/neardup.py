@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm import textkit as tk
-from lodestone.llm.common import annotate, shared_dir, stored, table, tidy
+from lodestone.llm.common import annotate, discard, shared_dir, stored, table, tidy
 
 SHINGLE = 5
 _Q = tk.U(0x9E3779B97F4A7C15)
@@ -278,9 +278,11 @@ def components(edges: DataFrame) -> DataFrame:
         moved = labels.join(beside, labels["node"] == beside["a"]).select("node", "label", F.least("label", "next").alias("next"))
         jump = labels.select(F.col("node").alias("next"), F.col("label").alias("far"))
         moved = stored(moved.join(jump, "next").select("node", F.least("next", "far").alias("label"), (F.least("next", "far") != F.col("label")).alias("changed")), "labels")
-        labels = moved.select("node", "label")
+        discard(labels)
         if moved.where("changed").isEmpty():
-            return labels
+            discard(both)
+            return moved.select("node", "label")
+        labels = moved
 
 
 def near_duplicates(docs: DataFrame, least: float = 0.8, bands: int = 24, rows: int = 4) -> DataFrame:
@@ -298,9 +300,12 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, bands: int = 24, rows:
     blobs = stored(multiset_blobs(chosen).groupBy("print").agg(F.any_value("blob").alias("blob")), "multisets")
 
     labels = classes_of(members, blobs, least)
+    discard(members, blobs)
     named = nodes.select("print", "doc_id").join(labels.withColumnRenamed("node", "print"), "print", "left").withColumn("label", F.coalesce("label", "print"))
     classes = named.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    by_print = stored(named.join(stored(classes, "class-names"), "label").select("print", "class_id", "label"), "classes")
+    names = stored(classes, "class-names")
+    by_print = stored(named.join(names, "label").select("print", "class_id", "label"), "classes")
+    discard(nodes, names)
     return signed.select("doc_id", "print").join(by_print, "print").select("doc_id", "print", "class_id", "label")
 
 
