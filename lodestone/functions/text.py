@@ -2,21 +2,35 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from string import ascii_lowercase
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Accented Latin letters and what each folds to.
-_ACCENTED = "àáâãäåāăąçćčďèéêëēėęěìíîïīįłñńňòóôõöōőřśšťùúûüūůűýÿžźż"
-_PLAIN = "aaaaaaaaacccdeeeeeeeeiiiiiilnnnooooooorsstuuuuuuuyyzzz"
 
+def _plain_letters() -> dict[str, str]:
+    """Small Latin letters that decompose to a letter of ASCII and marks, by Unicode's own tables; and one that has no decomposition."""
+    found = {"ł": "l"}
+    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+        parts = unicodedata.normalize("NFD", chr(code))
+        if chr(code).islower() and len(parts) > 1 and parts[0] in ascii_lowercase and all(map(unicodedata.combining, parts[1:])):
+            found[chr(code)] = parts[0]
+    return found
+
+
+PLAIN_LETTERS = _plain_letters()
+MARK = r"\p{Mn}"
 TOKEN = r"[\p{L}\p{N}]+"
 
 
 def fold(text: Column) -> Column:
-    """Lower case without accents; null is empty.  ASCII text skips the letter-by-letter translation."""
+    """Lower case without accents, composed or not; null is empty.  ASCII text skips the letter-by-letter translation."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    return F.when(F.octet_length(low) == F.length(low), low).otherwise(F.translate(low, _ACCENTED, _PLAIN))
+    return F.when(F.octet_length(low) == F.length(low), low).otherwise(F.regexp_replace(F.translate(low, "".join(PLAIN_LETTERS), "".join(PLAIN_LETTERS.values())), MARK, ""))
 
 
 def tokens(text: Column) -> Column:
@@ -26,16 +40,12 @@ def tokens(text: Column) -> Column:
 
 def query_tokens(query: str) -> list[str]:
     """Tokens of a query string, on the driver, by the rules of `tokens`."""
-    import re
-
-    table = str.maketrans(_ACCENTED, _PLAIN)
-    return re.findall(r"[^\W_]+", query.lower().translate(table))
+    plain = query.lower().translate(str.maketrans(PLAIN_LETTERS))
+    return re.findall(r"[^\W_]+", "".join(c for c in plain if unicodedata.category(c) != "Mn"))
 
 
 def sanitize_query(query: str) -> str:
     """Search operators become spaces; a query without a letter or digit is empty."""
-    import re
-
     if not re.search(r"[a-zA-Z0-9]", query or ""):
         return ""
     return re.sub(r"\s+", " ", re.sub(r"[\"'*^:(){}\[\]~+]", " ", query)).strip()
@@ -43,8 +53,6 @@ def sanitize_query(query: str) -> str:
 
 def camel_words(token: str) -> list[str]:
     """Words of a camelCase name: breaks stand before a capital that follows a small letter or digit, or begins a word."""
-    import re
-
     return [w for w in re.split(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", token) if w]
 
 
@@ -80,21 +88,44 @@ def osa_distance(a: str, b: str, cap: int | None = None) -> int:
     return row[-1]
 
 
+def osa_distances(left: list[str], right: list[str]) -> np.ndarray:
+    """osa_distance of each pair, all pairs together cell by cell."""
+    n, sizes = len(left), [np.array([len(x) for x in side], np.int64) for side in (left, right)]
+    a, b = (np.full((n, max(1, int(s.max(initial=0)))), fill, np.int64) for s, fill in zip(sizes, (-1, -2), strict=True))
+    for codes, side in ((a, left), (b, right)):
+        for i, x in enumerate(side):
+            codes[i, : len(x)] = np.frombuffer(x.encode("utf-32-le"), "<u4")
+    width = b.shape[1]
+    before, row = None, np.broadcast_to(np.arange(width + 1), (n, width + 1)).copy()
+    out = np.where(sizes[0] == 0, sizes[1], 0)
+    for i in range(a.shape[1]):
+        new = np.empty_like(row)
+        new[:, 0] = i + 1
+        for j in range(width):
+            best = np.minimum(np.minimum(row[:, j + 1], new[:, j]) + 1, row[:, j] + (a[:, i] != b[:, j]))
+            if i and j:
+                swapped = (a[:, i] == b[:, j - 1]) & (a[:, i - 1] == b[:, j])
+                best = np.where(swapped, np.minimum(best, before[:, j - 1] + 1), best)
+            new[:, j + 1] = best
+        before, row = row, new
+        ends = np.flatnonzero(sizes[0] == i + 1)
+        out[ends] = row[ends, sizes[1][ends]]
+    return out
+
+
 def osa(left: Column, right: Column) -> Column:
-    """osa_distance of lower-cased columns, in Arrow batches."""
+    """osa_distance of lower-cased columns, in Arrow batches; pairs of short names are taken together."""
 
     @F.pandas_udf("int")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        seen: dict[tuple[str, str], int] = {}
-        out = []
-        for x, y in zip(a, b, strict=True):
-            if x is None or y is None:
-                out.append(None)
-                continue
-            if (x, y) not in seen:
-                seen[x, y] = osa_distance(x, y)
-            out.append(seen[x, y])
-        return pd.Series(out, dtype="Int32")
+        known = [(x, y) for x, y in zip(a, b, strict=True) if x is not None and y is not None]
+        pairs = sorted(set(known), key=lambda p: (max(map(len, p)), p))
+        short = [p for p in pairs if max(map(len, p)) <= 128]
+        found = {p: osa_distance(*p) for p in pairs[len(short) :]}
+        for at in range(0, len(short), 1024):
+            part = short[at : at + 1024]
+            found |= dict(zip(part, osa_distances([x for x, _ in part], [y for _, y in part]).tolist(), strict=True))
+        return pd.Series([found.get((x, y)) for x, y in zip(a, b, strict=True)], dtype="Int32")
 
     return run(F.lower(left), F.lower(right))
 
@@ -124,6 +155,9 @@ SECRET_RULES = (
 SECRET_MARKS = ("private key-----", "aiza", "sk-", "hf_", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "akia", "abia", "acca", "asia", "bearer", "eyj", "://", "key", "token", "secret", "passw", "auth=")
 #: Parts of a key name that mark its value as secret.
 SENSITIVE_PARTS = ("password", "passwd", "secret", "apikey", "privatekey", "token", "credential", "cookie", "session", "authorization", "authentication")
+#: A key is sensitive if its small letters without - and _ match the first pattern, or match the second while the key as written matches the third.
+SENSITIVE_KEY = "|".join(SENSITIVE_PARTS) + "|^auth$|^signature$|^(?!.*(certain|concert))(.*certificate|cert|.*cert$)"
+SENSITIVE_AUTH = ("^auth", "Token|Header|_|-")
 
 
 def redact(text: Column) -> Column:
@@ -138,10 +172,7 @@ def redact(text: Column) -> Column:
 
 def is_sensitive_key(key: Column) -> Column:
     plain = F.regexp_replace(F.lower(F.coalesce(key, F.lit(""))), "[-_]", "")
-    by_part = plain.rlike("|".join(SENSITIVE_PARTS))
-    by_auth = (plain == "auth") | (plain.startswith("auth") & key.rlike("Token|Header|_|-"))
-    by_cert = ~plain.rlike("certain|concert") & (plain.contains("certificate") | plain.endswith("cert") | plain.startswith("cert"))
-    return F.coalesce(by_part | by_auth | by_cert | (plain == "signature"), F.lit(False))
+    return F.coalesce(plain.rlike(SENSITIVE_KEY) | (plain.rlike(SENSITIVE_AUTH[0]) & key.rlike(SENSITIVE_AUTH[1])), F.lit(False))
 
 
 def format_count(n: Column) -> Column:

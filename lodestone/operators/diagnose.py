@@ -33,13 +33,16 @@ def hook_gate(events: DataFrame, command_pattern: str, marker: str) -> DataFrame
 def ground(logs: DataFrame, symbols: DataFrame, migrations: DataFrame, most: int = 5) -> DataFrame:
     """(log_id, place, name, match, target): a migration entry, else the row whose title is the name, else the shortest title that begins with it.
 
-    Names of a log are at most `most`; both lookups are equi-joins on the name or on its first three letters.
+    Names of a log are at most `most`.  Titles meet names by the prefixes of the lengths that names have, so both lookups are equi-joins on whole strings.
     """
     names = logs.select("log_id", F.posexplode(F.slice(extract_symbols(F.col("log")), 1, most)).alias("place", "name"))
-    best = symbols.select(F.lower("title").alias("t"), F.substring(F.lower("title"), 1, 3).alias("stem"), "title", "is_primary", F.col("id").alias("sid"))
+    best = symbols.select(F.lower("title").alias("t"), "title", "is_primary", F.col("id").alias("sid"))
     exact = best.groupBy("t").agg(F.min_by(F.struct("title", "sid"), F.struct((~F.col("is_primary")).cast("int"), "sid")).alias("e"))
-    like = names.select("name").distinct().join(best, F.substring(F.lower("name"), 1, 3) == F.col("stem")).where(F.startswith(F.col("t"), F.lower("name")))
-    like = like.groupBy("name").agg(F.min_by(F.struct("title", "sid"), F.struct((~F.col("is_primary")).cast("int"), F.length("title"), "t", "sid")).alias("s"))
-    joined = names.join(F.broadcast(migrations), names["name"] == migrations["old"], "left").join(exact, F.lower(names["name"]) == exact["t"], "left").join(like, "name", "left")
+    wanted = names.select(F.lower("name").alias("prefix")).distinct()
+    lengths = wanted.agg(F.collect_set(F.length("prefix")).alias("lengths"))  # one row of as many numbers as names have lengths
+    starts = best.crossJoin(F.broadcast(lengths)).select("*", F.explode(F.filter("lengths", lambda n: n <= F.length("t"))).alias("n")).withColumn("prefix", F.expr("left(t, n)"))
+    like = starts.join(wanted, "prefix", "left_semi").groupBy("prefix").agg(F.min_by(F.struct("title", "sid"), F.struct((~F.col("is_primary")).cast("int"), F.length("title"), "t", "sid")).alias("s"))
+    names = names.withColumn("prefix", F.lower("name"))
+    joined = names.join(migrations, names["name"] == migrations["old"], "left").join(exact, F.lower(names["name"]) == exact["t"], "left").join(like, "prefix", "left")
     match = F.when(F.col("replacement").isNotNull(), "migration").when(F.col("e").isNotNull(), "exact").when(F.col("s").isNotNull(), "suggestion").otherwise("none")
     return joined.select("log_id", "place", "name", match.alias("match"), F.coalesce("replacement", "e.title", "s.title").alias("target"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import kinds as K
+from lodestone.sources.catalog import ensure_checkpoint_dir
 
 
 def framework_is(column: Column, name: str) -> Column:
@@ -40,7 +41,23 @@ def embedding_candidates(rows: DataFrame, key: str, kinds: tuple[str, ...] = K.P
     """Primary rows, type kinds and documented rows, in the order in which they should be embedded."""
     documented = F.coalesce(F.col("abstract"), F.lit("")) != ""
     chosen = rows.where(F.col("is_primary") | F.lower("kind").isin(*[k.lower() for k in kinds]) | documented)
-    return chosen.withColumn("place", F.row_number().over(Window.orderBy(F.col("is_primary").desc(), documented.desc(), "title", key)))
+    return numbered(chosen.withColumn("__documented", documented), [F.col("is_primary").desc(), F.col("__documented").desc(), F.col("title"), F.col(key)], "place").drop("__documented")
+
+
+def all_for_embedding(rows: DataFrame, key: str) -> DataFrame:
+    """Every row in the order primary first, then by title."""
+    return numbered(rows, [F.col("is_primary").desc(), F.col("title"), F.col(key)], "place")
+
+
+def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """rows with their number from 1 in a total order.  Ranges are sorted apart, and each counts on from the rows of the ranges before it."""
+    ensure_checkpoint_dir(rows.sparkSession)
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()).checkpoint()
+    part = F.shiftright("__at", 33)
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n")).withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0)))  # a row a range
+    joined = placed.withColumn("__part", part).join(starts.drop("__n"), "__part")
+    return joined.withColumn(name, F.col("__start") + F.col("__at").bitwiseAND((1 << 33) - 1) + 1).drop("__part", "__start", "__at")
 
 
 def needs_enrichment(rows: DataFrame, frameworks: list[str], kinds: list[str]) -> DataFrame:
@@ -48,12 +65,10 @@ def needs_enrichment(rows: DataFrame, frameworks: list[str], kinds: list[str]) -
 
 
 def page(rows: DataFrame, order: list[Column], number: int, size: int, clamp: bool = True) -> DataFrame:
-    """Rows of a page; a number behind the last page gives the last when clamped.  `total` and `page` come along."""
-    ranked = rows.withColumn("__n", F.row_number().over(Window.orderBy(*order))).crossJoin(F.broadcast(rows.agg(F.count("*").alias("total"))))
-    at = F.lit(max(1, number))
-    if clamp:
-        at = F.least(at, F.greatest(F.lit(1), F.ceil(F.col("total") / size)))
-    return ranked.withColumn("page", at.cast("int")).where((F.col("__n") > (F.col("page") - 1) * size) & (F.col("__n") <= F.col("page") * size)).drop("__n")
+    """Rows of a page; a number behind the last page gives the last when clamped.  `total` and `page` come along.  A page near the start is a top-k, not a sort of everything."""
+    total = rows.count()
+    at = max(1, min(number, -(-total // size)) if clamp else number)
+    return rows.orderBy(*order).offset((at - 1) * size).limit(size).withColumn("page", F.lit(at).cast("int")).withColumn("total", F.lit(total).cast("long"))
 
 
 def keep_first(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -8,13 +8,15 @@ Statistics always cover the whole table; filters apply to the scored rows only.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.sources.catalog import ensure_checkpoint_dir
 
 K1, B, FLOOR = 1.2, 0.75, 1e-6
 
@@ -103,7 +105,10 @@ def search(rows: DataFrame, columns: Mapping[str, float], query: str, where: Col
 def search_any(rows: DataFrame, columns: Mapping[str, float], query: str, title: str, primary: str, where: Column | None = None) -> DataFrame:
     """Any of the first six prefixes of two letters or more; `tier` is the title's closeness to the query, and `rank` (lower first) favours primary rows."""
     words = [t for t in T.query_tokens(T.sanitize_query(query)) if len(t) >= 2][:6]
-    found = bm25(rows, columns, [Phrase((w,), True) for w in words], match="any", where=where)
+    return tiered(bm25(rows, columns, [Phrase((w,), True) for w in words], match="any", where=where), query, title, primary)
+
+
+def tiered(found: DataFrame, query: str, title: str, primary: str) -> DataFrame:
     name, q = F.lower(title), query.lower()
     tier = F.when(name == q, 0).when(name.startswith(q + "("), 1).when(name.startswith("func " + q + "("), 2).otherwise(3)
     return found.withColumn("tier", tier).withColumn("rank", -F.col("score") - 4.0 * F.col(primary).cast("int"))
@@ -125,36 +130,97 @@ def boosted(found: DataFrame, title: str, query: str, mapped: Sequence[str] = ()
     return found.withColumn("score", F.col("score") + extra)
 
 
-# A stored index: postings clustered by term, so that a prefix reads few row groups.
+# A stored index: postings clustered by term, so that a term or prefix reads few row groups.
 
 
 def build_index(rows: DataFrame, key: str, columns: Sequence[str], path: str) -> None:
-    """postings (term, col, doc, pos) sorted by term, and lengths (doc, dl) under path."""
+    """Under path: postings (term, col, doc, pos) in order of term, those of a common term in several files; lengths (doc, dl); totals (rows_all, mean)."""
     per = [rows.select(F.col(key).alias("doc"), F.lit(c).alias("col"), F.posexplode(T.tokens(F.col(c))).alias("pos", "term")) for c in columns]
     postings = per[0]
     for more in per[1:]:
         postings = postings.unionByName(more)
-    postings.select("term", "col", "doc", "pos").repartitionByRange("term").sortWithinPartitions("term", "doc", "col", "pos").write.mode("overwrite").parquet(f"{path}/postings")
+    postings.select("term", "col", "doc", "pos").repartitionByRange("term", "doc").sortWithinPartitions("term", "doc", "col", "pos").write.mode("overwrite").parquet(f"{path}/postings")
     rows.select(F.col(key).alias("doc"), sum((F.size(T.tokens(F.col(c))) for c in columns), F.lit(0)).alias("dl")).write.mode("overwrite").parquet(f"{path}/lengths")
+    lengths = rows.sparkSession.read.parquet(f"{path}/lengths")
+    lengths.agg(F.count("*").alias("rows_all"), F.avg("dl").alias("mean")).write.mode("overwrite").parquet(f"{path}/totals")
+
+
+def index_once(rows: DataFrame, key: str, columns: Sequence[str], name: str) -> str:
+    """The folder of an index that this application built under a name before, or builds now."""
+    spark = rows.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/index-{spark.sparkContext.applicationId}-{hashlib.md5(name.encode()).hexdigest()}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/totals/_SUCCESS")
+    folder = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not folder.exists(at):
+        build_index(rows, key, columns, path)
+        folder.deleteOnExit(at.getParent().getParent())
+    return path
+
+
+def _matches(term: Column, word: str, prefix: bool) -> Column:
+    return term.startswith(word) if prefix else term == word
 
 
-def search_index(spark, path: str, weights: Mapping[str, float], prefixes: Sequence[str], match: str = "all") -> DataFrame:
-    """(doc, score) from a stored index for single-token prefixes; the prefix filters reach the Parquet scan."""
-    postings, lengths = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths")
-    each = [postings.where(F.col("term").startswith(p)).select("doc", "col", F.lit(i).alias("i")) for i, p in enumerate(prefixes)]
-    found = each[0]
-    for more in each[1:]:
-        found = found.unionByName(more)
+def occurrences(postings: DataFrame, phrases: Sequence[Phrase], weights: Mapping[str, float]) -> DataFrame:
+    """(doc, i, f): weighted occurrences of each phrase in each row that has it.  Single words and prefixes share one scan with their filters pushed; longer phrases join on places."""
     weight = F.element_at(F.create_map(*[F.lit(x) for pair in weights.items() for x in (pair[0], float(pair[1]))]), F.col("col"))
-    tf = found.groupBy("doc", "i").agg(F.sum(weight).alias("f"))
+    postings = postings.where(F.col("col").isin(*weights))
+    found = []
+    single = {i: _matches(F.col("term"), p.words[0], p.prefix) for i, p in enumerate(phrases) if len(p.words) == 1}
+    if single:
+        wanted = F.lit(False)
+        for test in single.values():
+            wanted = wanted | test
+        which = F.explode(F.array_compact(F.array(*(F.when(test, i) for i, test in single.items()))))
+        found.append(postings.where(wanted).select("doc", which.alias("i"), weight.alias("w")))
+    for i, p in enumerate(phrases):
+        if len(p.words) > 1:
+            word = lambda j, p=p: postings.where(_matches(F.col("term"), p.words[j], p.prefix and j + 1 == len(p.words))).select("doc", "col", (F.col("pos") - j).alias("pos"))
+            places = word(0)
+            for j in range(1, len(p.words)):
+                places = places.join(word(j), ["doc", "col", "pos"])
+            found.append(places.select("doc", F.lit(i).alias("i"), weight.alias("w")))
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    return every.groupBy("doc", "i").agg(F.sum("w").alias("f"))
+
+
+def search_index(spark: SparkSession, path: str, weights: Mapping[str, float], groups: Sequence[Sequence[Phrase]], match: str = "all") -> DataFrame:
+    """(doc, score, hits) from a stored index that holds the columns of weights and no others; hits counts the groups met.  match: 'all' groups, 'any', or 'each' row that meets one."""
+    postings, lengths, totals = (spark.read.parquet(f"{path}/{name}") for name in ("postings", "lengths", "totals"))
+    phrases = [p for group in groups for p in group]
+    if not phrases:
+        return lengths.limit(0).select("doc", F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("hits"))
+    of = F.element_at(F.array(*(F.lit(g) for g, group in enumerate(groups) for _ in group)), F.col("i") + 1)
+    tf = occurrences(postings, phrases, weights)
     df = tf.groupBy("i").agg(F.count("*").alias("n"))
-    totals = lengths.agg(F.count("*").alias("rows_all"), F.avg("dl").alias("mean"))
     joined = tf.join(F.broadcast(df), "i").join(lengths, "doc").crossJoin(F.broadcast(totals))  # df has a row a phrase, totals one row
     others = F.col("rows_all") - F.col("n")
     idf = F.when(others > F.col("n"), F.greatest(F.ln((others + 0.5) / (F.col("n") + 0.5)), F.lit(FLOOR))).otherwise(FLOOR)
     part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
-    scored = joined.groupBy("doc").agg(F.sum(part).alias("score"), F.count("*").alias("hits"))
-    return (scored.where(F.col("hits") == len(prefixes)) if match == "all" else scored).drop("hits")
+    scored = joined.groupBy("doc").agg(F.sum(part).alias("score"), F.countDistinct(of).alias("hits"))
+    return scored.where(F.col("hits") == len(groups)) if match == "all" else scored
+
+
+def find(rows: DataFrame, key: str, index: str, weights: Mapping[str, float], query: str, where: Column | None = None) -> DataFrame:
+    """What `search` finds, from a stored index: the rows with all tokens of the query, or, if there are none, those with any at half the score, out of one pass over their postings."""
+    groups = plan_query(query)
+    found = search_index(rows.sparkSession, index, weights, groups, "any").withColumnRenamed("doc", key)
+    kept = (rows if where is None else rows.where(where)).join(found, key).select(*rows.columns, "score", F.col("hits").alias("__hits"))
+    if len(groups) < 2:
+        return kept.drop("__hits")
+    most = kept.agg(F.max("__hits").alias("__most"))  # one row
+    whole = F.col("__most") == len(groups)
+    chosen = kept.crossJoin(F.broadcast(most)).where(~whole | (F.col("__hits") == len(groups)))
+    return chosen.withColumn("score", F.when(whole, F.col("score")).otherwise(F.col("score") * 0.5)).drop("__hits", "__most")
+
+
+def find_any(rows: DataFrame, key: str, index: str, weights: Mapping[str, float], query: str, title: str, primary: str, where: Column | None = None) -> DataFrame:
+    """What `search_any` finds, from a stored index."""
+    words = [t for t in T.query_tokens(T.sanitize_query(query)) if len(t) >= 2][:6]
+    found = search_index(rows.sparkSession, index, weights, [[Phrase((w,), True)] for w in words], "any").withColumnRenamed("doc", key)
+    return tiered((rows if where is None else rows.where(where)).join(found.drop("hits"), key).select(*rows.columns, "score"), query, title, primary)
 
 
 def index_drift(rows: DataFrame, spark, path: str) -> DataFrame:

@@ -22,7 +22,7 @@ def rule_terms(rules: DataFrame, slash_is_phrase: bool = False) -> DataFrame:
     lower = F.lower(term)
     phrase = F.contains(lower, F.lit(" ")) | F.contains(lower, F.lit(":")) | (F.contains(lower, F.lit("/")) if slash_is_phrase else F.lit(False))
     exact_case = F.coalesce(F.col("case_sensitive"), F.lit(False)) & term.rlike("[A-Z]")
-    literal = F.concat(F.lit(r"\Q"), F.when(exact_case, term).otherwise(lower), F.lit(r"\E"))
+    literal = F.regexp_replace(F.when(exact_case, term).otherwise(lower), r"([^\p{L}\p{N}\s])", r"\\$1")
     flags = F.when(exact_case, F.lit("")).otherwise(F.lit("(?i)"))
     pattern = F.concat(flags, F.lit(r"(^|\b|\W)"), literal, F.lit(r"(\b|\W|$)"))
     rows = rules.select("*", F.explode("terms").alias("term"))

@@ -18,9 +18,11 @@ def count_by(rows: DataFrame, column: str, where: Column | None = None) -> DataF
 def distribution(rows: DataFrame, column: Column, top: int = 12) -> DataFrame:
     """(value, n, place): the `top` largest groups, and one row `other` with the rest if there is any."""
     counts = rows.groupBy(column.alias("value")).agg(F.count("*").alias("n"))
-    placed = counts.withColumn("place", F.row_number().over(Window.orderBy(F.col("n").desc(), "value")))
-    bucket = F.when(F.col("place") <= top, F.col("value")).otherwise("other")
-    return placed.groupBy(bucket.alias("value"), F.least("place", F.lit(top + 1)).alias("place")).agg(F.sum("n").alias("n"))
+    order = [F.col("n").desc(), F.col("value")]
+    best = counts.orderBy(*order).limit(top).withColumn("place", F.row_number().over(Window.orderBy(*order)))  # at most `top` rows
+    every, kept = counts.agg(F.sum("n").alias("all"), F.count("*").alias("groups")), best.agg(F.sum("n").alias("kept"))  # one row each
+    other = every.crossJoin(kept).where(F.col("groups") > top).select(F.lit("other").alias("value"), (F.col("all") - F.col("kept")).alias("n"), F.lit(top + 1).alias("place"))
+    return best.unionByName(other)
 
 
 def unknown_share(rows: DataFrame, kind: str = "kind") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import kinds as K
 from lodestone.operators.resolve import framework_slug
+from lodestone.sources.catalog import ensure_checkpoint_dir
 
 
 def upsert(rows: DataFrame, key: str, order: list[str], keep_if_empty: tuple[str, ...] = ("abstract",), arrays: tuple[str, ...] = ("platforms",), kind: str = "kind", primary: str = "is_primary") -> DataFrame:
@@ -33,11 +34,22 @@ def upsert(rows: DataFrame, key: str, order: list[str], keep_if_empty: tuple[str
     return rows.groupBy(key).agg(*out).select(*rows.columns)
 
 
-def replace_by_id(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Insert or replace: rows of `new` win."""
+def replace_by_id(old: DataFrame, new: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """Insert or replace: rows of `new` win, of several with one key the last in order (any, without one)."""
+    new = new.dropDuplicates([key]) if order is None else new.groupBy(key).agg(F.max_by(F.struct(*new.columns), F.col(order)).alias("r")).select("r.*")
     return old.join(new.select(key), key, "left_anti").unionByName(new)
 
 
+def cleared(vectors: DataFrame, meta: DataFrame, keys: tuple[str, ...] = ("has_embeddings", "semantic_item_count", "embedding_model", "embedding_provider", "embedded_at")) -> tuple[DataFrame, DataFrame]:
+    """No vectors, and meta (key, value) without what describes them."""
+    return vectors.limit(0), meta.where(~F.col("key").isin(*keys))
+
+
+def meta_upsert(meta: DataFrame, key: str = "key", value: str = "value", order: str = "at") -> DataFrame:
+    """The last value of each key."""
+    return meta.groupBy(F.col(key).alias("key")).agg(F.max_by(value, order).alias("value"))
+
+
 def corrected(rows: DataFrame, corrections: DataFrame, key: str, column: str) -> DataFrame:
     """rows with `column` replaced where corrections (key, column) has a value."""
     fix = corrections.select(F.col(key), F.col(column).alias("__new"))
@@ -83,20 +95,23 @@ def media_rows(pages: DataFrame, base_url: str) -> DataFrame:
     return picked.select("ref_id", F.coalesce("r.alt", "r.title", F.lit("")).alias("alt"), url.alias("url"), mime.alias("mime"))
 
 
-def walk_tree(spark: SparkSession, nodes: DataFrame, depth: int = 64) -> DataFrame:
+def walk_tree(spark: SparkSession, nodes: DataFrame) -> DataFrame:
     """Depth-first rows of an edge table (node, parent, ordinal, title, path, type): `place` orders them as a walk would meet them.
 
-    A node that comes again below itself ends its branch, so cycles stop.  Group markers and nodes without title, path or type carry
-    their children but no row; of equal paths the first in the walk stays.
+    A node that several parents share, or that comes again below itself, is met once, at the first of its places.  Rounds go on until no place gets earlier; a longer walk never comes
+    before its own beginning, so cycles end.  Group markers and nodes without title, path or type carry their children but no row; of equal paths the first in the walk stays.
     """
-    level = nodes.where("parent IS NULL").select("*", F.array("ordinal").alias("walk"), F.array("node").alias("seen"))
-    every = level
-    for _ in range(depth):
-        below = nodes.alias("c").join(level.select(F.col("node").alias("p"), "walk", "seen").alias("l"), F.col("c.parent") == F.col("l.p"))
-        level = below.where(~F.array_contains("l.seen", F.col("c.node"))).select("c.*", F.array_append("l.walk", F.col("c.ordinal")).alias("walk"), F.array_append("l.seen", F.col("c.node")).alias("seen")).checkpoint()
-        if level.isEmpty():
-            break
-        every = every.unionByName(level)
+    ensure_checkpoint_dir(spark)
+    placed = lambda walk: F.min(F.struct(walk.alias("walk"), "title", "path", "type")).alias("r")
+    best = nodes.where("parent IS NULL").groupBy("node").agg(placed(F.array("ordinal"))).select("node", "r.*").checkpoint()
+    front = best
+    while not front.isEmpty():
+        up = front.select(F.col("node").alias("parent"), F.col("walk").alias("above"))
+        below = nodes.join(up, "parent").groupBy("node").agg(placed(F.array_append("above", F.col("ordinal")))).select("node", "r.*")
+        known = best.select("node", F.col("walk").alias("had"))
+        front = below.join(known, "node", "left").where("had IS NULL OR walk < had").drop("had").checkpoint()
+        best = best.unionByName(front).groupBy("node").agg(placed(F.col("walk"))).select("node", "r.*").checkpoint()
+    every = best
     listed = every.where("title IS NOT NULL AND title <> '' AND path IS NOT NULL AND path <> '' AND type IS NOT NULL AND type <> '' AND type <> 'groupMarker'")
     first = listed.withColumn("path", F.regexp_replace("path", "^doc://[^/]+", "")).groupBy(F.lower("path").alias("path_key")).agg(F.min_by(F.struct("node", "title", "path", "type", "walk"), F.col("walk")).alias("r"))
     return first.select("r.*").withColumn("kind", K.resolve(F.col("type"), F.lit(None).cast("string"), F.lit(None).cast("string"))).withColumnRenamed("walk", "place")
@@ -108,6 +123,13 @@ def repairs(rows: DataFrame, names: DataFrame, key: str) -> DataFrame:
     return slugged.join(names, "slug").where(F.lower("framework") != F.lower("canonical")).select(key, "framework", "canonical")
 
 
+def kind_repairs(rows: DataFrame, pages: DataFrame, key: str) -> DataFrame:
+    """(key, kind, found) for unclassified rows whose page (path, symbolKind, roleHeading) tells a kind: what a repair would write, so reading it is the dry run."""
+    of_page = pages.select(F.lower("path").alias("page_path"), K.resolve(F.col("symbolKind"), F.col("roleHeading"), F.lit(None).cast("string")).alias("found")).where(~K.is_unknown(F.col("found")))
+    unknown = rows.where(K.is_unknown(F.col("kind"))).select(key, "kind", F.lower("path").alias("page_path"))
+    return unknown.join(of_page.groupBy("page_path").agg(F.min("found").alias("found")), "page_path").select(key, "kind", "found")
+
+
 def enriched(rows: DataFrame, pages: DataFrame) -> DataFrame:
     """Empty abstracts filled from pages (path, text)."""
     fill = pages.select(F.lower("path").alias("__path"), F.col("text").alias("__text")).dropDuplicates(["__path"])

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lodestone.functions import vectors as V
 
@@ -29,11 +32,66 @@ def nearest(rows: DataFrame, query: Sequence[float], key: str, k: int, vector: s
     return found.orderBy(F.col("sim").desc(), key).limit(k)
 
 
-def nearest_by_row(rows: DataFrame, queries: DataFrame, key: str, k: int, vector: str = "embedding") -> DataFrame:
-    """Top k for each query row (qid, qvec): a bounded, broadcast query set against all rows, cut to k a query in every task by the window's group limit."""
-    pairs = rows.crossJoin(F.broadcast(queries)).withColumn("sim", V.cosine(F.col(vector), F.col("qvec")))
-    ranked = pairs.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("sim").desc(), key)))
-    return ranked.where(F.col("place") <= k).drop("qvec")
+def nearest_by_row(rows: DataFrame, queries: DataFrame, key: str, k: int, vector: str = "embedding", block: int = 1024) -> DataFrame:
+    """(qid, key, sim, place): the best k rows for each query row (qid, qvec), a query itself left out where qid is the key.
+
+    Queries are taken in blocks of `block` vectors, so that what a task holds is bounded; a batch of rows meets a block in one matrix product and keeps its own best k.
+    """
+    kind, number, found = rows.schema[key].dataType.simpleString(), queries.schema["qid"].dataType.simpleString(), None
+    schema = f"qid {number}, {key} {kind}, sim double"
+    of_query = to_arrow_type(queries.schema["qid"].dataType)
+    held: list = []
+
+    def scan(part: list) -> DataFrame:
+        by_width: dict[int, tuple[list, np.ndarray]] = {}
+        for width in {len(v) for _, v in part}:
+            own = [(q, v) for q, v in part if len(v) == width]
+            by_width[width] = ([q for q, _ in own], unit_rows(np.array([v for _, v in own], np.float64)))
+
+        def run(batches):
+            for batch in batches:
+                vectors = batch.column(1)
+                size = np.diff(vectors.offsets.to_numpy())
+                flat, starts = vectors.values.to_numpy(zero_copy_only=False), vectors.offsets.to_numpy()
+                ids = batch.column(0)
+                for width, (qids, matrix) in by_width.items():
+                    at = np.flatnonzero((size == width) & ~vectors.is_null().to_numpy(zero_copy_only=False))
+                    if not len(at) or not width:
+                        continue
+                    sims = np.round(unit_rows(flat[starts[at, None] + np.arange(width)].astype(np.float64)) @ matrix.T, 12)  # so that equal ones tie
+                    out_q, out_k, out_s = [], [], []
+                    for j, qid in enumerate(qids):
+                        cut = min(k + 1, len(at))
+                        least = np.partition(sims[:, j], len(at) - cut)[len(at) - cut]
+                        best = np.flatnonzero(sims[:, j] >= least)  # ties come along; the order over all batches decides
+                        out_q += [qid] * len(best)
+                        out_k.append(at[best])
+                        out_s.append(sims[best, j])
+                    yield pa.RecordBatch.from_arrays([pa.array(out_q, of_query), ids.take(pa.array(np.concatenate(out_k))), pa.array(np.concatenate(out_s))], names=["qid", key, "sim"])
+
+        return rows.where(F.col(vector).isNotNull()).select(key, F.col(vector).cast("array<float>").alias("v")).mapInArrow(run, schema)
+
+    for r in queries.select("qid", "qvec").where("qvec IS NOT NULL").toLocalIterator():
+        held.append((r["qid"], r["qvec"]))
+        if len(held) == block:
+            found = scan(held) if found is None else found.unionByName(scan(held))
+            held = []
+    if held or found is None:
+        found = scan(held) if found is None else found.unionByName(scan(held))
+    ranked = found.where(F.col("qid") != F.col(key)).withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("sim").desc(), key)))
+    return ranked.where(F.col("place") <= k)
+
+
+def unit_rows(matrix: np.ndarray) -> np.ndarray:
+    """Rows of length 1; zero rows stay zero, so that their similarity is 0."""
+    size = np.linalg.norm(matrix, axis=1, keepdims=True)
+    return np.divide(matrix, size, out=np.zeros_like(matrix), where=size > 0)
+
+
+def margins(ranked: DataFrame) -> DataFrame:
+    """One row from (qid, sim, relevant): how near the best relevant and the best other result of a query are, on average, and the mean difference."""
+    per = ranked.groupBy("qid").agg(F.max(F.when(F.col("relevant"), F.col("sim"))).alias("target"), F.max(F.when(~F.col("relevant"), F.col("sim"))).alias("distractor"))
+    return per.agg(F.avg("target").alias("target"), F.avg("distractor").alias("distractor"), F.avg(F.col("target") - F.col("distractor")).alias("margin"))
 
 
 def width_histogram(rows: DataFrame, vector: str = "embedding") -> DataFrame:

@@ -5,19 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.operators import fulltext
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Deals a table that comes in fewer splits than there are cores over all cores; a table of many splits, as at scale, is left as it is."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+def document_index(spark: SparkSession, sf_dir: str) -> str:
+    return fulltext.index_once(documents(spark, sf_dir), "doc_id", ["text"], f"documents of {sf_dir}")
+
+
+def symbol_index(spark: SparkSession, sf_dir: str) -> str:
+    return fulltext.index_once(symbols(spark, sf_dir), "id", ["title", "framework", "kind", "abstract"], f"symbols of {sf_dir}")
 
 
 KIND_OF_TYPE = {"ECONOMY": "struct", "PROMO": "Class", "LARGE": "func", "SMALL": "symbol", "STANDARD": "article", "MEDIUM": "property"}

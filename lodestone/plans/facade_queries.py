@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from lodestone.functions import logs, markup
 from lodestone.operators import hybrid
-from lodestone.plans.bindings import bm25_sql, symbols, table, with_symbols
+from lodestone.plans.bindings import bm25_sql, symbol_index, symbols, table, with_symbols
 from lodestone.plans.registry import query
-from lodestone.plans.search_queries import WIDE
+from lodestone.plans.search_queries import FLAT, WIDE
 from lodestone.plans.vector_queries import DOUBLES, RULES, first_vector, rules
 from lodestone.streaming import jobs
 
@@ -27,16 +29,65 @@ _BOTH = with_symbols(", ") + bm25_sql("sym", "id", WIDE, [(["red"], True), (["ge
 
 @query("x06_hybrid_search", _BOTH)
 def x06(spark, d):
-    out = hybrid.search(symbols(spark, d), _vectors(spark, d), "red gear", first_vector(spark, d), limit=10, floor=0.1)
+    out = hybrid.search(symbols(spark, d), _vectors(spark, d), "red gear", first_vector(spark, d), limit=10, floor=0.1, index=symbol_index(spark, d))
     return out.select("id", "title", F.round("score", 6).alias("score"), F.round("rrf", 9).alias("rrf"), "source")
 
 
 @query("x06_lexical_gate", with_symbols(", ") + bm25_sql("sym", "id", WIDE, [(["red"], True), (["gear"], True)], "n0 AND n1", ("title",)) + " SELECT id, round(score + CASE WHEN lower(title) = 'red gear' THEN 100.0::DOUBLE ELSE 0 END, 6) AS score FROM (SELECT * FROM scored ORDER BY score DESC, id LIMIT 40) ORDER BY score DESC, id LIMIT 10")
 def x06_gate(spark, d):
-    out = hybrid.search(symbols(spark, d), _vectors(spark, d).limit(50), "red gear", first_vector(spark, d), limit=10)
+    out = hybrid.search(symbols(spark, d), _vectors(spark, d).limit(50), "red gear", first_vector(spark, d), limit=10, index=symbol_index(spark, d))
     return out.select("id", F.round("score", 6).alias("score"))
 
 
+def name_rules(spark):
+    """A rule that the query meets by its phrase, one it does not meet, and an intent."""
+    kind = "place int, rule string, terms array<string>, case_sensitive boolean, symbols array<string>, frameworks array<string>"
+    rules_ = spark.createDataFrame([(0, "round part", ["round part"], False, ["@gear", "ring(x:)"], ["Core"]), (1, "flat part", ["flat part"], False, ["bolt"], ["Core"])], kind)
+    return rules_, spark.createDataFrame([("paint", ["blue", "part"], ["blue plate"])], "intent string, words array<string>, tokens array<string>")
+
+
+def _hits(token: str, n: int) -> str:
+    """CTEs of one prefix search over symbols under names of its own: h{n} (id, score)."""
+    names = {"tok": f"tok{n}", "counted": f"counted{n}", "stats": f"stats{n}", "flagged": f"flagged{n}", "scored": f"scored{n}"}
+    sql = bm25_sql("sym", "id", WIDE, [([token], True)], "n0")
+    for a, b in names.items():
+        sql = re.sub(rf"\b{a}\b", b, sql)
+    return sql
+
+
+_INJECT = with_symbols(", ") + ", ".join(_hits(t, n) for n, t in enumerate(("old", "gear", "ring"))) + """,
+  a AS (SELECT id, score FROM scored0 ORDER BY score DESC, id LIMIT 40),
+  x AS (SELECT id, 1000.0::DOUBLE AS score FROM sym WHERE lower(title) = 'old' ORDER BY is_primary DESC, id LIMIT 5),
+  a2 AS (SELECT * FROM x UNION ALL SELECT * FROM a WHERE id NOT IN (SELECT id FROM x)),
+  b AS (SELECT id, score * 0.9::DOUBLE AS score FROM (SELECT id, score FROM scored1 ORDER BY score DESC, id LIMIT 20) WHERE id NOT IN (SELECT id FROM a2)),
+  c AS (SELECT id, score * 0.9::DOUBLE AS score FROM (SELECT id, score FROM scored2 ORDER BY score DESC, id LIMIT 20) WHERE id NOT IN (SELECT id FROM a2 UNION ALL SELECT id FROM b)),
+  u AS (SELECT * FROM a2 UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c)
+  SELECT id, round(score + CASE WHEN lower(title) = 'old' THEN 100.0::DOUBLE ELSE 0 END + CASE WHEN lower(title) IN ('gear', 'ring') THEN 50.0::DOUBLE ELSE 0 END, 6) AS score FROM u JOIN sym USING (id)"""
+
+
+@query("x03_injection", _INJECT)
+def x03(spark, d):
+    mapped = hybrid.mapped_names("a round part", name_rules(spark)[0])
+    return hybrid.lexical(symbols(spark, d), "old", 40, mapped, index=symbol_index(spark, d)).select("id", F.round("score", 6).alias("score"))
+
+
+def _any_list(token: str, n: int, most: int) -> str:
+    words = token.split()
+    sql = bm25_sql("sym", "id", FLAT, [([w], True) for w in words], " OR ".join(f"n{i}" for i in range(len(words))), ("title", "is_primary"))
+    for a in ("tok", "counted", "stats", "flagged", "scored"):
+        sql = re.sub(rf"\b{a}\b", f"{a}{n}", sql)
+    return sql + f""", l{n} AS (SELECT id, tier, row_number() OVER (ORDER BY tier, rank, id) - 1 AS rank FROM (SELECT id, CASE WHEN lower(title) = '{token}' THEN 0 WHEN starts_with(lower(title), '{token}(') THEN 1 WHEN starts_with(lower(title), 'func {token}(') THEN 2 ELSE 3 END AS tier,
+      -score - 4.0::DOUBLE * CAST(is_primary AS INTEGER) AS rank FROM scored{n}) QUALIFY row_number() OVER (ORDER BY tier, rank, id) <= {most})"""
+
+
+@query("x05_rrf_lists", with_symbols(", ") + ", ".join(_any_list(t, n, m) for n, (t, m) in enumerate((("gear", 8), ("ring", 8), ("blue plate", 8), ("blue round part", 20)))) + """,
+  u AS (SELECT id, rank, 1.35::DOUBLE AS w FROM l0 UNION ALL SELECT id, rank, 1.35 FROM l1 UNION ALL SELECT id, rank, 1.35 FROM l2 UNION ALL SELECT id, rank, CASE WHEN tier = 0 THEN 1.5 ELSE 1.0 END FROM l3),
+  s AS (SELECT id, round(sum(w / (61 + rank)), 5) AS rrf, count(*) AS lists FROM u GROUP BY id)
+  SELECT id, title, rrf, lists FROM s JOIN sym USING (id) ORDER BY rrf DESC, is_primary DESC, id LIMIT 10""")
+def x05(spark, d):
+    return hybrid.ranked_tokens(symbols(spark, d), "blue round part", *name_rules(spark), index=symbol_index(spark, d))
+
+
 _PAGES = "SELECT DISTINCT path, 'about ' || path AS content FROM sym WHERE id % 2 = 0"
 
 

@@ -8,7 +8,7 @@ from lodestone.functions import kinds as K
 from lodestone.functions import text as T
 from lodestone.operators import diagnose, filters, fulltext, patterns, resolve
 from lodestone.operators.fulltext import Phrase
-from lodestone.plans.bindings import bm25_sql, documents, symbols, table, tokens_sql, with_symbols
+from lodestone.plans.bindings import bm25_sql, document_index, documents, symbol_index, symbols, table, tokens_sql, with_symbols
 from lodestone.plans.registry import query
 
 WIDE = {"title": 10.0, "framework": 2.0, "kind": 1.0, "abstract": 0.5}
@@ -16,6 +16,16 @@ FLAT = {"title": 10.0, "framework": 2.5, "kind": 1.0, "abstract": 2.0}
 TOP = " SELECT doc_id, round(score, 6) AS score FROM (SELECT * FROM scored ORDER BY score DESC, doc_id LIMIT 20)"
 
 
+def found(spark, d, text):
+    """From the stored index; the scan is checked against it in the tests."""
+    return fulltext.find(documents(spark, d).select("doc_id"), "doc_id", document_index(spark, d), {"text": 1.0}, text)
+
+
+@query("f08_bm25_scan", "WITH " + bm25_sql("documents", "doc_id", {"text": 1.0}, [(["ention"], True), (["of", "the"], False)], "n0 AND n1") + TOP)
+def f08_scan(spark, d):
+    return top(fulltext.bm25(documents(spark, d), {"text": 1.0}, [Phrase.of("ention"), Phrase(("of", "the"))]))
+
+
 def top(found, key="doc_id", k=20):
     return found.orderBy(F.col("score").desc(), key).limit(k).select(key, F.round("score", 6).alias("score"))
 
@@ -28,41 +38,41 @@ def f01(spark, d):
 
 @query("f08_bm25_prefix", "WITH " + bm25_sql("documents", "doc_id", {"text": 1.0}, [(["ention"], True)], "n0") + TOP)
 def f08(spark, d):
-    return top(fulltext.bm25(documents(spark, d), {"text": 1.0}, [Phrase.of("ention")]))
+    return top(fulltext.search_index(spark, document_index(spark, d), {"text": 1.0}, [[Phrase.of("ention")]]).withColumnRenamed("doc", "doc_id"))
 
 
 @query("f06_bm25_and", "WITH " + bm25_sql("documents", "doc_id", {"text": 1.0}, [(["ention"], True), (["the"], True)], "n0 AND n1") + TOP)
 def f06(spark, d):
-    return top(fulltext.search(documents(spark, d), {"text": 1.0}, "ention the"))
+    return top(found(spark, d, "ention the"))
 
 
 @query("f07_bm25_or_fallback", "WITH " + bm25_sql("documents", "doc_id", {"text": 1.0}, [(["ciones"], True), (["zzzqqq"], True), (["heit"], True)], "n0 OR n1 OR n2") + " SELECT doc_id, round(score * 0.5, 6) AS score FROM (SELECT * FROM scored ORDER BY score DESC, doc_id LIMIT 20)")
 def f07(spark, d):
-    return top(fulltext.search(documents(spark, d), {"text": 1.0}, "ciones zzzqqq heit"))
+    return top(found(spark, d, "ciones zzzqqq heit"))
 
 
 @query("f05_phrase", "WITH " + bm25_sql("documents", "doc_id", {"text": 1.0}, [(["of", "the"], False)], "n0") + TOP)
 def f05(spark, d):
-    return top(fulltext.bm25(documents(spark, d), {"text": 1.0}, [Phrase(("of", "the"))]))
+    return top(fulltext.search_index(spark, document_index(spark, d), {"text": 1.0}, [[Phrase(("of", "the"))]]).withColumnRenamed("doc", "doc_id"))
 
 
 @query("f05_camel", "WITH " + bm25_sql("documents", "doc_id", {"text": 1.0}, [(["inthe"], True), (["in", "the"], False)], "n0 OR n1") + TOP)
 def f05_camel(spark, d):
-    return top(fulltext.search(documents(spark, d), {"text": 1.0}, "inThe"))
+    return top(found(spark, d, "inThe"))
 
 
 @query("f08_bm25_weighted", with_symbols(", ") + bm25_sql("sym", "id", WIDE, [(["red"], True), (["gear"], True)], "(n0 OR n1) AND lower(framework) = 'brand#3'", ("n0", "n1")) + """,
 have_all AS (SELECT id, score FROM scored WHERE n0 AND n1), every AS (SELECT * FROM have_all UNION ALL SELECT id, score * 0.5 FROM scored WHERE NOT EXISTS (SELECT 1 FROM have_all))
 SELECT id, round(score, 6) AS score FROM (SELECT * FROM every ORDER BY score DESC, id LIMIT 20)""")
 def f08w(spark, d):
-    return top(fulltext.search(symbols(spark, d), WIDE, "red gear", where=filters.framework_is(F.col("framework"), "brand#3")), "id")
+    return top(fulltext.find(symbols(spark, d), "id", symbol_index(spark, d), WIDE, "red gear", where=filters.framework_is(F.col("framework"), "brand#3")), "id")
 
 
 @query("f09_bm25_tiered", with_symbols(", ") + bm25_sql("sym", "id", FLAT, [(["red"], True), (["ring"], True)], "n0 OR n1", ("title", "is_primary")) + """ SELECT id, tier, round(r, 6) AS rank FROM (
   SELECT id, CASE WHEN lower(title) = 'red ring' THEN 0 WHEN starts_with(lower(title), 'red ring(') THEN 1 WHEN starts_with(lower(title), 'func red ring(') THEN 2 ELSE 3 END AS tier, -score - 4.0 * CAST(is_primary AS INTEGER) AS r FROM scored
   ORDER BY tier, r, id LIMIT 20)""")
 def f09(spark, d):
-    found = fulltext.search_any(symbols(spark, d), FLAT, "red ring", F.col("title"), "is_primary")
+    found = fulltext.find_any(symbols(spark, d), "id", symbol_index(spark, d), FLAT, "red ring", F.col("title"), "is_primary")
     return found.orderBy("tier", "rank", "id").limit(20).select("id", "tier", F.round("rank", 6).alias("rank"))
 
 
@@ -72,7 +82,7 @@ every AS (SELECT * FROM ex UNION ALL SELECT id, score, 'fts' FROM scored WHERE i
 SELECT id, stage, round(score + 100, 6) AS score FROM (SELECT * FROM every ORDER BY score DESC, id LIMIT 20)""")
 def f10(spark, d):
     rows = symbols(spark, d)
-    found = fulltext.search(rows, WIDE, "red gear")
+    found = fulltext.find(rows, "id", symbol_index(spark, d), WIDE, "red gear")
     joined = fulltext.boosted(fulltext.with_exact_titles(found, rows, F.col("title"), "is_primary", "id", "red gear"), F.col("title"), "red gear")
     return joined.orderBy(F.col("score").desc(), "id").limit(20).select("id", "stage", F.round("score", 6).alias("score"))
 
@@ -105,7 +115,7 @@ def f13(spark, d):
 
 @query("f15_lexical_boosted", with_symbols(", ") + bm25_sql("sym", "id", WIDE, [(["blue"], True)], "n0", ("title",)) + " SELECT id, round(s, 6) AS score FROM (SELECT id, score + CASE WHEN lower(title) IN ('blue bolt', 'blue gear') THEN 50.0::DOUBLE ELSE 0 END AS s FROM scored ORDER BY s DESC, id LIMIT 20)")
 def f15(spark, d):
-    return top(fulltext.boosted(fulltext.search(symbols(spark, d), WIDE, "blue"), F.col("title"), "blue", ["blue bolt", "Blue Gear"]), "id")
+    return top(fulltext.boosted(fulltext.find(symbols(spark, d), "id", symbol_index(spark, d), WIDE, "blue"), F.col("title"), "blue", ["blue bolt", "Blue Gear"]), "id")
 
 
 @query("f16_offline_fallback", with_symbols(" SELECT id FROM sym WHERE contains(lower(title), 'gizmo') OR contains(lower(abstract), 'gizmo') ORDER BY id LIMIT 50"))
@@ -281,7 +291,7 @@ def g01(spark, d):
 
 @query("g02_ground", with_symbols(f""", s2 AS (SELECT id, replace(title, ' ', '') AS title, is_primary FROM sym), {NAMES_SQL},
   ex AS (SELECT lower(title) AS t, arg_min(title, (CASE WHEN is_primary THEN 0 ELSE 1 END) * 1000000000 + id) AS title FROM s2 GROUP BY 1),
-  near AS (SELECT name, first(title ORDER BY is_primary DESC, length(title), lower(title), id) AS title FROM (SELECT DISTINCT name FROM placed) JOIN s2 ON starts_with(lower(title), lower(name)) AND length(name) >= 3 GROUP BY name)
+  near AS (SELECT name, first(title ORDER BY is_primary DESC, length(title), lower(title), id) AS title FROM (SELECT DISTINCT name FROM placed) JOIN s2 ON starts_with(lower(title), lower(name)) GROUP BY name)
   SELECT log_id, place, p.name, CASE WHEN m.new IS NOT NULL THEN 'migration' WHEN ex.title IS NOT NULL THEN 'exact' WHEN near.title IS NOT NULL THEN 'suggestion' ELSE 'none' END AS match, coalesce(m.new, ex.title, near.title) AS target
   FROM placed p LEFT JOIN (VALUES ('oldRing', 'newRing')) m(old, new) ON p.name = m.old LEFT JOIN ex ON lower(p.name) = ex.t LEFT JOIN near ON p.name = near.name WHERE place < 5"""))
 def g02(spark, d):

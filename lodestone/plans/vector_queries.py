@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import vectors as V
 from lodestone.operators import fulltext, fusion, vectorsearch
 from lodestone.operators.fulltext import Phrase
-from lodestone.plans.bindings import bm25_sql, documents, symbols, table, with_symbols
+from lodestone.plans.bindings import bm25_sql, document_index, symbols, table, with_symbols
 from lodestone.plans.registry import query
 
 
@@ -87,18 +87,33 @@ def v18(spark, d):
     return symbols(spark, d).select("id", vectorsearch.plain_id(F.concat(F.lit("sym-"), F.col("id").cast("string"))).alias("plain"))
 
 
-@query("v19_mrr_recall", f"""WITH qs AS (SELECT vec_id AS qid, label AS ql, {DOUBLES} AS qv FROM embeddings WHERE vec_id < 10),
-  r AS (SELECT qid, ql, label, row_number() OVER (PARTITION BY qid ORDER BY {_SIM} DESC, vec_id) AS place FROM embeddings, qs WHERE vec_id <> qid),
-  f AS (SELECT qid, coalesce(min(place) FILTER (label = ql), 1000000000) AS rank FROM r GROUP BY qid)
+_NEAR = f"""qs AS (SELECT vec_id AS qid, label AS ql, {DOUBLES} AS qv FROM embeddings WHERE vec_id % 20 = 0),
+  r AS (SELECT qid, ql, vec_id, label, {_SIM} AS sim, row_number() OVER (PARTITION BY qid ORDER BY {_SIM} DESC, vec_id) AS place FROM embeddings, qs WHERE vec_id <> qid)"""
+
+
+def _near(spark, d, k):
+    """The k nearest rows of every row whose id is divisible by 20, with whether their labels agree."""
+    rows = table(spark, d, "embeddings")
+    own = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("label").alias("ql"), F.col("embedding").alias("qvec"))
+    near = vectorsearch.nearest_by_row(rows, own, "vec_id", k)
+    return near.join(rows.select("vec_id", "label"), "vec_id").join(own.select("qid", "ql"), "qid").withColumn("relevant", F.col("label") == F.col("ql"))
+
+
+@query("v05_knn_rows", f"WITH {_NEAR} SELECT qid, vec_id, round(sim, 5) AS sim, place FROM r WHERE place <= 10")
+def v05_rows(spark, d):
+    return _near(spark, d, 10).select("qid", "vec_id", F.round("sim", 5).alias("sim"), F.col("place").cast("long").alias("place"))
+
+
+@query("v19_mrr_recall", f"""WITH {_NEAR}, f AS (SELECT qid, coalesce(min(place) FILTER (label = ql AND place <= 100), 1000000000) AS rank FROM r GROUP BY qid)
   SELECT count(*) AS queries, round(avg(1.0::DOUBLE / rank), 6) AS mrr, avg(CAST(rank <= 1 AS INTEGER)) AS recall_1, avg(CAST(rank <= 3 AS INTEGER)) AS recall_3, avg(CAST(rank <= 5 AS INTEGER)) AS recall_5 FROM f""")
 def v19(spark, d):
-    rows = table(spark, d, "embeddings")
-    qs = rows.where("vec_id < 10").select(F.col("vec_id").alias("qid"), F.col("label").alias("ql"), F.col("embedding").alias("qvec"))
-    pairs = rows.crossJoin(F.broadcast(qs)).where("vec_id <> qid").withColumn("sim", V.cosine(F.col("embedding"), F.col("qvec")))  # ten queries
-    ranked = pairs.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("sim").desc(), "vec_id")))
-    first = ranked.groupBy("qid").agg(F.coalesce(F.min(F.when(F.col("label") == F.col("ql"), F.col("place"))), F.lit(1_000_000_000)).alias("rank"))
-    out = vectorsearch.retrieval_quality(first)
-    return out.withColumn("mrr", F.round("mrr", 6))
+    first = _near(spark, d, 100).groupBy("qid").agg(F.coalesce(F.min(F.when(F.col("relevant"), F.col("place"))), F.lit(1_000_000_000)).alias("rank"))
+    return vectorsearch.retrieval_quality(first).withColumn("mrr", F.round("mrr", 6))
+
+
+@query("v19_margin", f"WITH {_NEAR}, m AS (SELECT qid, max(sim) FILTER (label = ql) AS t, max(sim) FILTER (label <> ql) AS o FROM r WHERE place <= 100 GROUP BY qid) SELECT round(avg(t), 5) AS target, round(avg(o), 5) AS distractor, round(avg(t - o), 5) AS margin FROM m")
+def v19_margin(spark, d):
+    return vectorsearch.margins(_near(spark, d, 100)).select(*(F.round(c, 5).alias(c) for c in ("target", "distractor", "margin")))
 
 
 RULES = [
@@ -149,8 +164,7 @@ def x02(spark, d):
 
 
 def _lists(spark, d):
-    docs = documents(spark, d)
-    lexical = fulltext.bm25(docs, {"text": 1.0}, [Phrase.of("ention")]).orderBy(F.col("score").desc(), "doc_id").limit(20).select("doc_id", "score")
+    lexical = fulltext.search_index(spark, document_index(spark, d), {"text": 1.0}, [[Phrase.of("ention")]]).select(F.col("doc").alias("doc_id"), "score").orderBy(F.col("score").desc(), "doc_id").limit(20)
     near = vectorsearch.nearest(table(spark, d, "embeddings"), first_vector(spark, d), "vec_id", 20).select(F.col("vec_id").alias("doc_id"), F.col("sim").alias("score"))
     order = [F.col("score").desc(), F.col("doc_id")]
     return fusion.ranked(lexical, order), fusion.ranked(near, order)
@@ -174,27 +188,3 @@ def x04(spark, d):
 def x04_semantic(spark, d):
     out = fusion.fuse(*_lists(spark, d), "doc_id", 0.7, 1.8)
     return out.select("doc_id", F.round("score", 6).alias("score"), F.round("rrf", 9).alias("rrf"), "source")
-
-
-WORDS = [("red", 1.35), ("gear", 1.35), ("bolt", 1.35), ("old", 1.0)]
-
-
-@query("x03_injection", with_symbols(""", every AS (SELECT id, lower(title) AS t, token, o FROM sym, (VALUES ('gear', 0), ('ring', 1)) v(token, o) WHERE contains(lower(title), token)),
-  cut AS (SELECT id, o, row_number() OVER (PARTITION BY token ORDER BY length(t), id) AS n FROM every)
-  SELECT id, round(0.9 * (100.0 - n), 6)::DOUBLE AS score FROM (SELECT id, n, row_number() OVER (PARTITION BY id ORDER BY o) AS f FROM cut WHERE n <= 10) WHERE f = 1"""))
-def x03(spark, d):
-    tokens = spark.createDataFrame([("gear", 0), ("ring", 1)], "token string, o int")
-    every = symbols(spark, d).join(F.broadcast(tokens), F.contains(F.lower("title"), F.col("token")))
-    cut = every.withColumn("n", F.row_number().over(Window.partitionBy("token").orderBy(F.length("title"), "id"))).where("n <= 10")
-    first = cut.withColumn("f", F.row_number().over(Window.partitionBy("id").orderBy("o"))).where("f = 1")
-    return first.select("id", F.round(0.9 * (100.0 - F.col("n")), 6).alias("score"))
-
-
-@query("x05_rrf_lists", with_symbols(""", w AS (SELECT * FROM (VALUES ('red', 1.35::DOUBLE), ('gear', 1.35), ('bolt', 1.35), ('old', 1.0)) t(word, weight)),
-  l AS (SELECT id, word, weight, row_number() OVER (PARTITION BY word ORDER BY is_primary DESC, length(title), id) - 1 AS rank FROM sym, w WHERE contains(title, word))
-  SELECT id, round(sum(weight / (61 + rank)), 5) AS rrf, count(*) AS lists FROM l WHERE rank < 8 GROUP BY id"""))
-def x05(spark, d):
-    words = spark.createDataFrame(WORDS, "word string, weight double")
-    found = symbols(spark, d).join(F.broadcast(words), F.contains("title", F.col("word")))
-    cut = found.withColumn("rank", F.row_number().over(Window.partitionBy("word").orderBy(F.col("is_primary").desc(), F.length("title"), "id")) - 1).where("rank < 8")
-    return fusion.fuse_lists(cut, "id")

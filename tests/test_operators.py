@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import diagnose, filters, fulltext, fusion, ingest, patterns, resolve
+from lodestone.operators import diagnose, filters, fulltext, fusion, ingest, patterns, resolve, vectorsearch
 from lodestone.operators.fulltext import Phrase
 from lodestone.sources import catalog, embedder
 
@@ -56,13 +56,52 @@ def test_index_agrees_with_scan(spark, sf_dir, tmp_path):
     weights = {"text": 2.0, "lang": 1.0}
     for match in ("all", "any"):
         scan = fulltext.bm25(docs, weights, [Phrase(("th",), True), Phrase(("en",), True)], match=match)
-        index = fulltext.search_index(spark, str(tmp_path), weights, ["th", "en"], match)
+        index = fulltext.search_index(spark, str(tmp_path), weights, [[Phrase(("th",), True)], [Phrase(("en",), True)]], match).withColumnRenamed("doc", "doc_id")
         a = {r["doc_id"]: round(r["score"], 9) for r in scan.collect()}
-        b = {r["doc"]: round(r["score"], 9) for r in index.collect()}
+        b = {r["doc_id"]: round(r["score"], 9) for r in index.collect()}
         assert a == b and a
     assert not fulltext.index_drift(docs, spark, str(tmp_path)).first()["drift"]
-    plan = fulltext.search_index(spark, str(tmp_path), weights, ["th"])._jdf.queryExecution().toString()
+    plan = fulltext.search_index(spark, str(tmp_path), weights, [[Phrase(("th",), True)]])._jdf.queryExecution().toString()
     assert "StringStartsWith(term,th)" in plan
+    for query in ("the of", "th zzzqqq", "ofThe", "zzzqqq", "!", "en"):
+        scan = {r["doc_id"]: round(r["score"], 9) for r in fulltext.search(docs, weights, query, where=F.col("doc_id") % 2 == 0).collect()}
+        assert scan == {r["doc_id"]: round(r["score"], 9) for r in fulltext.find(docs, "doc_id", str(tmp_path), weights, query, F.col("doc_id") % 2 == 0).collect()}
+
+
+def test_shared_and_deep_nodes_are_met_once(spark):
+    deep = [(f"d{i}", f"d{i - 1}" if i else None, 0, f"t{i}", f"/d{i}", "class") for i in range(70)]
+    shared = [("r", None, 1, "r", "/r", "class")] + [(f"l{i}{x}", p, j, f"l{i}{x}", f"/l{i}{x}", "class") for i in range(12) for j, x in enumerate("ab") for p in (["r"] if i == 0 else [f"l{i - 1}a", f"l{i - 1}b"])]
+    got = ingest.walk_tree(spark, spark.createDataFrame(deep + shared, "node string, parent string, ordinal int, title string, path string, type string")).collect()
+    assert len(got) == 70 + 1 + 24
+    assert {r["node"]: r["place"] for r in got}["l2b"] == [1, 0, 0, 1]
+
+
+def test_grounding_takes_names_of_two_letters(spark):
+    symbols = spark.createDataFrame([(1, "abcdef", False), (2, "abc", True), (3, "zz", True)], "id int, title string, is_primary boolean")
+    logs = spark.createDataFrame([(0, "'ab' was deprecated, 'ZZ' is unavailable")], "log_id int, log string")
+    none = spark.createDataFrame([], "old string, replacement string")
+    assert {(r["name"], r["match"], r["target"]) for r in diagnose.ground(logs, symbols, none).collect()} == {("ab", "suggestion", "abc"), ("ZZ", "exact", "zz")}
+
+
+def test_replacing_keeps_one_row_a_key(spark):
+    old, new = spark.createDataFrame([(1, "a", 0), (2, "b", 0)], "id int, v string, at int"), spark.createDataFrame([(2, "c", 1), (2, "d", 2), (3, "e", 1)], "id int, v string, at int")
+    assert sorted((r["id"], r["v"]) for r in ingest.replace_by_id(old, new, "id", "at").collect()) == [(1, "a"), (2, "d"), (3, "e")]
+    assert ingest.replace_by_id(old, new, "id").count() == 3
+
+
+def test_nearest_rows_against_all_pairs(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    vectors = [(i, rng.integers(-2, 3, 3 if i % 7 else 2).astype(float).tolist() if i % 11 else None) for i in range(90)]
+    rows = spark.createDataFrame(vectors, "id int, embedding array<float>")
+    queries = rows.where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("embedding").alias("qvec"))
+    got = {(r["qid"], r["place"]): (r["id"], round(r["sim"], 9)) for r in vectorsearch.nearest_by_row(rows, queries, "id", 4, block=2).collect()}
+    for q, v in vectors:
+        if q % 20 == 0 and v:
+            unit = lambda x: np.array(x) / (np.linalg.norm(x) or 1)
+            best = sorted((-round(float(unit(v) @ unit(w)), 9), i) for i, w in vectors if w and len(w) == len(v) and i != q)[:4]
+            assert [got[q, n] for n in range(1, 5)] == [(i, -s) for s, i in best]
 
 
 def test_soft_kind_filter_falls_back(spark):
