@@ -65,3 +65,53 @@ def redact_json(raw: Column) -> Column:
         return column.map(one)
 
     return run(raw)
+
+
+def text_line(ts: Column, level: Column, module: Column, message: Column, fields: Column | None = None, error: Column | None = None) -> Column:
+    """`[time] [LEVEL] [module] message {fields}`, and the error in a line of its own."""
+    nothing = F.lit("")
+    tag = F.when(F.coalesce(module, nothing) != "", F.concat(F.lit(" ["), module, F.lit("]"))).otherwise(nothing)
+    more = nothing if fields is None else F.when(F.to_json(fields) != "{}", F.concat(F.lit(" "), F.to_json(fields))).otherwise(nothing)
+    below = nothing if error is None else F.when(F.coalesce(error, nothing) != "", F.concat(F.lit("\n"), error)).otherwise(nothing)
+    return F.concat(F.lit("["), ts, F.lit("] ["), F.upper(F.coalesce(level, F.lit("info"))), F.lit("]"), tag, F.lit(" "), T.redact(message), more, below)
+
+
+MAX_CAUSES = 5
+
+
+def serialized_error(value, depth: int = 0) -> dict:
+    """name, masked message, stack, code and cause of an error given as JSON; causes go at most MAX_CAUSES deep."""
+    if depth >= MAX_CAUSES:
+        return {"name": "Error", "message": "[MaxDepthExceeded]"}
+    if isinstance(value, str):
+        return {"name": "Error", "message": redact_value(value)}
+    if isinstance(value, bool | int | float):
+        return {"name": "Error", "message": json.dumps(value)}
+    if not isinstance(value, dict):
+        return {"name": "Error", "message": "Unknown error"}
+    text = next((value[k] for k in ("message", "msg") if isinstance(value.get(k), str)), "Unknown error")
+    out = {"name": value["name"] if isinstance(value.get("name"), str) and value["name"] else "Error", "message": redact_value(text)}
+    if isinstance(value.get("stack"), str):
+        out["stack"] = redact_value(value["stack"])
+    if isinstance(value.get("code"), str | int):
+        out["code"] = value["code"]
+    if value.get("cause") is not None:
+        out["cause"] = serialized_error(value["cause"], depth + 1)
+    return out
+
+
+def error_json(raw: Column) -> Column:
+    """serialized_error over JSON text; text that is no JSON is the message."""
+
+    def one(text: str | None) -> str:
+        try:
+            value = None if text is None else json.loads(text)
+        except ValueError:
+            value = text
+        return json.dumps(serialized_error(value), ensure_ascii=False, separators=(",", ":"))
+
+    @F.pandas_udf("string")
+    def run(column: pd.Series) -> pd.Series:
+        return column.map(one)
+
+    return run(raw)

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodestone.functions.kinds import ARTICLE_KINDS
+
 
 def _wrapped(mark: str) -> Callable[[dict], str]:
     return lambda n: f"{mark}{inline(n.get('inlineContent'))}{mark}"
@@ -71,6 +73,18 @@ def blocks(value, most: int | None = None) -> str:
     return "\n\n".join(x for x in made if x)
 
 
+def short_blocks(value, most: int = 6, items: int = 8) -> str:
+    """The first blocks only, headings of level 2 to 5, and the first items of lists."""
+    cut = []
+    for n in _nodes(value)[:most]:
+        if n.get("type") == "heading":
+            n = n | {"level": min(5, max(2, n.get("level") or 2))}
+        elif n.get("type") in ("unorderedList", "orderedList"):
+            n = n | {"items": _nodes(n.get("items"))[:items]}
+        cut.append(n)
+    return blocks(cut)
+
+
 def declaration(sections) -> str | None:
     """The first declaration as fenced code."""
     for section in _nodes(sections):
@@ -101,7 +115,62 @@ def discussion(sections) -> str | None:
     return "\n\n".join(t for t in texts if t) or None
 
 
-RENDERERS = {"inline": inline, "blocks": blocks, "declaration": declaration, "deprecation": deprecation, "parameters": parameters, "discussion": discussion}
+def trimmed(text: str, most: int) -> str:
+    return text if len(text) <= most else text[: max(0, most - 3)] + "..."
+
+
+def topics(page: dict, most: int = 5) -> str | None:
+    """The references that each topic names, `most` of them with the start of their abstract, and how many are left."""
+    out, references = [], page.get("references") or {}
+    for section in _nodes(page.get("topicSections")):
+        named = section.get("identifiers") or []
+        found = [references[i] for i in named[:most] if isinstance(references.get(i), dict)]
+        lines = [f"• **{r.get('title')}** - {trimmed(''.join(p.get('text') or '' for p in _nodes(r.get('abstract'))), 100)}" for r in found]
+        if len(named) > most:
+            lines.append(f"*... and {len(named) - most} more items*")
+        out.append("\n".join([f"### {section.get('title') or ''}".rstrip(), *lines]))
+    return "\n\n".join(out) or None
+
+
+def shown_platforms(items) -> str:
+    return ", ".join(f"{p.get('name')} {p.get('introducedAt')}{' (Beta)' if p.get('beta') else ''}" for p in _nodes(items)) or "All platforms"
+
+
+def page(value, concise: bool = False) -> str:
+    """A page as Markdown, section by section; a concise one has neither discussion nor topics."""
+    value = value if isinstance(value, dict) else {}
+    meta, parts = value.get("metadata") or {}, value.get("primaryContentSections")
+    facts = (("Type", meta.get("symbolKind") or meta.get("roleHeading") or meta.get("role") or "Unknown"), ("Platforms", shown_platforms(meta.get("platforms"))))
+    sections = [f"# {meta.get('title') or 'Symbol'}", "\n".join(f"**{name}:** {text}" for name, text in facts), deprecation(value.get("deprecationSummary"))]
+    told, overview = declaration(parts), "".join(p.get("text") or "" for p in _nodes(value.get("abstract")))
+    sections += [told and f"## Declaration\n{told}", parameters(parts), overview and f"## Overview\n{overview}"]
+    if not concise:
+        more, listed = discussion(parts), topics(value)
+        sections += [more and f"## Discussion\n{more}", listed and f"## Topics\n{listed}"]
+    return "\n\n".join(s for s in sections if s)
+
+
+def result_lines(row: dict) -> str:
+    """One search result as Markdown."""
+    platforms_ = ", ".join(row.get("platforms") or []) or "All platforms"
+    framework = row.get("framework")
+    lines = [
+        f"### {row.get('title')}{f' ({framework})' if framework else ''}", f"   • **Kind:** {row.get('kind') or 'unknown'}", f"   • **Path:** `{row.get('path')}`", f"   • **Platforms:** {platforms_}",
+        *([f"   {row['abstract']}"] if row.get("abstract") else []), *([f"   ![Visual Preview]({row['media_url']})"] if row.get("media_url") else []),
+    ]
+    return "\n".join(lines)
+
+
+def results(query: str, rows: list[dict], facts: dict[str, str]) -> str:
+    """A page of results, symbols before articles; rows are the top-k of a search, so few."""
+    head = [f'# Search Results for "{query}"', "\n".join(f"**{k}:** {v}" for k, v in (facts | {"Matches Found": str(len(rows))}).items())]
+    for title, articles in (("Symbols", False), ("Articles & Guides", True)):
+        own = [result_lines(r) for r in rows if ((r.get("kind") or "").lower() in ARTICLE_KINDS) == articles]
+        head += [f"## {title}", *own] if own else []
+    return "\n\n".join(head)
+
+
+RENDERERS = {"topics": topics, "page": page, "page_concise": lambda v: page(v, True), "inline": inline, "blocks": blocks, "short_blocks": short_blocks, "declaration": declaration, "deprecation": deprecation, "parameters": parameters, "discussion": discussion}
 
 
 def render(raw: Column, how: str) -> Column:

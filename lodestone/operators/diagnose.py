@@ -46,3 +46,9 @@ def ground(logs: DataFrame, symbols: DataFrame, migrations: DataFrame, most: int
     joined = names.join(migrations, names["name"] == migrations["old"], "left").join(exact, F.lower(names["name"]) == exact["t"], "left").join(like, "prefix", "left")
     match = F.when(F.col("replacement").isNotNull(), "migration").when(F.col("e").isNotNull(), "exact").when(F.col("s").isNotNull(), "suggestion").otherwise("none")
     return joined.select("log_id", "place", "name", match.alias("match"), F.coalesce("replacement", "e.title", "s.title").alias("target"))
+
+
+def quoted_migrations(logs: DataFrame, migrations: DataFrame) -> DataFrame:
+    """(log_id, name, replacement) of every quoted name in a log that a migration entry knows, each once."""
+    names = logs.select("log_id", F.explode(F.array_distinct(F.regexp_extract_all("log", F.lit("'([A-Za-z_][A-Za-z0-9_]*)'"), F.lit(1)))).alias("name"))
+    return names.join(migrations.select(F.col("old").alias("name"), "replacement"), "name").select("log_id", "name", "replacement")

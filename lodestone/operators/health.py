@@ -41,12 +41,14 @@ def zero_filled(names: DataFrame, counts: DataFrame, key: str, values: Sequence[
     return joined.select(*names.columns, *(F.coalesce(v, F.lit(0)).alias(v) for v in values))
 
 
-def discover(names: DataFrame, counts: DataFrame, key: str, needle: str = "", drop_empty_at: int = 20, threshold: int = 25) -> DataFrame:
-    """Names with counts, filtered by a substring, empty ones dropped once `drop_empty_at` names have rows; largest first."""
+def discover(names: DataFrame, counts: DataFrame, key: str, needle: str = "", drop_empty_at: int = 20, threshold: int = 25, abstract: str | None = None) -> DataFrame:
+    """Names with counts, filtered by a substring of the name (or of a column `abstract` of names), empty ones dropped once `drop_empty_at` names have rows; largest first."""
     filled = zero_filled(names, counts, key, ["n"])
     with_rows = filled.agg(F.count_if(F.col("n") > 0).alias("__filled"))
     kept = filled.crossJoin(F.broadcast(with_rows)).where((F.col("n") > 0) | (F.col("__filled") < drop_empty_at)).drop("__filled")
-    kept = kept.where(F.contains(F.lower(key), F.lit(needle.lower()))) if needle else kept
+    if needle:
+        shown = F.concat_ws("\n", key, abstract) if abstract else F.col(key)
+        kept = kept.where(F.contains(F.lower(shown), F.lit(needle.lower())))
     return kept.withColumn("cross_reference", F.col("n") < threshold).orderBy(F.col("n").desc(), key)
 
 
@@ -88,5 +90,18 @@ def doctor(symbols: DataFrame, vectors: DataFrame, indexed: DataFrame | None = N
     return out
 
 
+def stamp_check(built_at: DataFrame, now: Column, stale_after: int = 30) -> DataFrame:
+    """The freshness check from a frame with the newest stamp in `ts`: warns when it is stale or missing."""
+    age, state = freshness(F.max("ts"), now, stale_after)
+    made = built_at.agg(age.cast("double").alias("value"), F.when(state == "fresh", "ok").otherwise("warn").alias("status"))
+    return made.select(F.lit("freshness").alias("check_name"), "status", "value", F.when(F.col("status") == "ok", "").otherwise("build again").alias("hint"))
+
+
+def index_info(symbols: DataFrame, vectors: DataFrame) -> DataFrame:
+    """One row of what version reports show."""
+    info = symbols.agg(F.count("*").alias("n"), F.countDistinct("framework").alias("frameworks"), F.countDistinct(F.lower("kind")).alias("kinds"), F.count_if("is_primary").alias("primaries"))
+    return info.crossJoin(vectors.agg(F.count("*").alias("vectors")))  # one row each
+
+
 def summary(report: DataFrame) -> DataFrame:
     return report.groupBy("status").agg(F.count("*").alias("n"))

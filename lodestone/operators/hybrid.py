@@ -17,6 +17,11 @@ FLOORS = {"hosted": (0.62, 0.65), "local": (0.62, 0.68), "default": (0.55, 0.65)
 LEAST_VECTORS = 100
 
 
+def floor_of(provider: str | None, prefer_semantic: bool) -> float:
+    """The least similarity that counts, by provider."""
+    return FLOORS.get((provider or "").strip().lower(), FLOORS["default"])[0 if prefer_semantic else 1]
+
+
 def clamp_limit(limit, default: int = 20, most: int = 100) -> int:
     try:
         return max(1, min(most, int(limit)))
@@ -64,13 +69,13 @@ def mode_of(vectors: DataFrame, query_vector: Sequence[float] | None, stored_mod
 
 
 def search(rows: DataFrame, vectors: DataFrame, query: str, query_vector: Sequence[float] | None = None, limit: int = 20, mapped: Sequence[str] = (), framework: str | None = None,
-           platform: str | None = None, kind: str | None = None, prefer_semantic: bool = False, lexical_only: bool = False, floor: float | None = None, stored_model: str | None = None, query_model: str | None = None, index: str | None = None) -> DataFrame:
+           platform: str | None = None, kind: str | None = None, prefer_semantic: bool = False, lexical_only: bool = False, floor: float | None = None, stored_model: str | None = None, query_model: str | None = None, index: str | None = None, provider: str | None = None) -> DataFrame:
     """(id, title, framework, kind, path, score, rrf, source), best first.  Rows that only vectors found get their platforms from the symbol table before the platform filter."""
     limit = clamp_limit(limit)
     found = lexical(rows, query, 4 * limit, mapped, framework, index).select("id", "score")
     order = [F.col("score").desc(), F.col("id")]
     if mode_of(vectors, query_vector, stored_model, query_model, lexical_only) == "hybrid":
-        low = FLOORS["default"][0 if prefer_semantic else 1] if floor is None else floor
+        low = floor_of(provider, prefer_semantic) if floor is None else floor
         where = filters.framework_is(F.col("framework"), framework) if framework else None
         near = vectorsearch.nearest(vectors, query_vector, "id", 2 * limit, where=where, floor=low).select(vectorsearch.plain_id(F.col("id").cast("string")).cast(rows.schema["id"].dataType).alias("id"), (F.col("sim") * 50).alias("score"))
         a, b = (0.7, 1.8) if prefer_semantic else (1.0, 1.0)

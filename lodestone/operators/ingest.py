@@ -82,6 +82,12 @@ def page_rows(pages: DataFrame, framework: Column, default_platforms: Column | N
     return every.withColumn("is_primary", K.is_primary(F.col("kind"))).withColumn("id", F.col("path"))
 
 
+def topic_references(pages: DataFrame) -> DataFrame:
+    """(page, topic, place, ref_id, title) for pages (page, topicSections array<struct<title,identifiers>>, references map): what each topic names, in order; unknown names fall out."""
+    each = pages.select("page", "references", F.posexplode("topicSections").alias("n", "s")).select("page", "references", F.col("s.title").alias("topic"), F.posexplode("s.identifiers").alias("place", "ref_id"))
+    return each.withColumn("r", F.try_element_at("references", "ref_id")).where("r IS NOT NULL").select("page", "topic", "place", "ref_id", F.col("r.title").alias("title"))
+
+
 def media_rows(pages: DataFrame, base_url: str) -> DataFrame:
     """(ref_id, alt, url, mime) of image and video references: the 2x light variant, else a light one, else the first."""
     refs = pages.select(F.explode("references").alias("ref_id", "r")).where(F.col("r.type").isin("image", "video") | (F.col("r.kind") == "image"))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+from difflib import SequenceMatcher
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,3 +104,64 @@ def candidate_paths(framework: Column, path: Column) -> Column:
     more = F.array(base(framework, own), base(F.lower(framework), F.lower(own)), base(F.lower(framework), own))
     plain = F.array(own, F.lower(own))
     return F.when(own == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(F.when(inside, F.array().cast("array<string>")).otherwise(more), plain)))
+
+
+def close_titles(rows: DataFrame, name: str, most: int = 4, least: float = 0.65) -> DataFrame:
+    """Primary rows whose title is much like the name: longest common blocks, twice their length over the length of both."""
+
+    @F.pandas_udf("double")
+    def ratio(titles: pd.Series) -> pd.Series:
+        matcher = SequenceMatcher()
+        matcher.set_seq2(name)
+
+        def one(title: str) -> float:
+            matcher.set_seq1(title)
+            return matcher.ratio() if matcher.real_quick_ratio() >= least and matcher.quick_ratio() >= least else 0.0
+
+        return titles.fillna("").map(one)
+
+    best = rows.where("is_primary").groupBy("title").agg(F.min("id").alias("id")).withColumn("ratio", ratio("title")).where(F.col("ratio") >= least)
+    return best.orderBy(F.col("ratio").desc(), "title").limit(most)
+
+
+def disambiguate(rows: DataFrame, query: str, framework: str | None = None, suggest: Callable[[str], DataFrame] | None = None) -> DataFrame:
+    """(id, title, framework, path, status, source): the row a path or title means, or up to six candidates, or suggestions.
+
+    A path answers by itself.  Of the rows whose title or last path segment is the name, one answers if it is the only one, if all (or the framework asked for) are of one framework (primary rows
+    first), or if it is the only primary one; else they are candidates.  Suggestions come from `suggest` (a search, up to five), and where that has none from close titles.
+    """
+    raw = query.strip()
+    within = rows if not framework else rows.where(F.lower("framework") == framework.strip().lower())
+    shown = ["id", "title", "framework", "path"]
+    told = lambda df, status, source: df.select(*shown, F.lit(status).alias("status"), (F.lit(source) if isinstance(source, str) else source).alias("source"))
+    if not raw:
+        return told(rows.limit(0), "empty", "")
+    at = raw[raw.find("/documentation/") :] if raw.startswith("doc://") and "/documentation/" in raw else raw
+    at = f"/{at}" if at.lower().startswith("documentation/") else at
+    if "/" in at:
+        whole = at.rstrip("/") if at.startswith("/") else "/documentation/" + at.strip("/")
+        found = within.where(F.lower("path") == whole.lower()).orderBy(F.col("is_primary").desc(), "id").limit(1)
+        if not found.isEmpty():
+            return told(found, "resolved", "exact-path" if at.startswith("/") else "relative-path")
+    title = raw.lstrip("@").lower()
+    name = re.sub(r"[^A-Za-z0-9_]", "", title.split("(", 1)[0])
+    t, leaf = F.lower("title"), F.lower(F.element_at(F.split(F.element_at(F.split("path", "/"), -1), r"\("), 1))
+    same = t.isin(title, raw.lower())
+    if len(name) >= 2:
+        like = same | t.startswith(f"{name}(") | t.startswith(f"func {name}(") | t.startswith(f"static func {name}(") | t.startswith(f"var {name}:") | (leaf == name)
+        order = [(~same).cast("int"), F.col("is_primary").desc(), F.length("path"), F.col("id")]
+        hits = within.where(like)
+        facts = hits.agg(F.count("*").alias("n"), F.countDistinct("framework").alias("frameworks"), F.count_if("is_primary").alias("primaries")).first()  # three numbers
+        if facts["n"]:
+            if facts["n"] == 1 or framework or facts["frameworks"] == 1:
+                first = [F.col("is_primary").desc(), *order]
+                return told(hits.orderBy(*first).limit(1), "resolved", "title")
+            if facts["primaries"] == 1:
+                return told(hits.where("is_primary"), "resolved", "primary-title")
+            one = hits.groupBy("framework", "path").agg(F.min_by(F.struct("id", "title", "is_primary"), F.struct((~F.col("is_primary")).cast("int"), "id")).alias("r")).select("framework", "path", "r.*")
+            return told(one.orderBy(*order).limit(6), "ambiguous", "candidate")
+    if suggest is not None:
+        found = suggest(raw.lstrip("@")).limit(5)
+        if not found.isEmpty():
+            return told(found, "not_found", "search")
+    return told(close_titles(within, raw.lstrip("@")).select("id").join(rows, "id"), "not_found", "fuzzy")

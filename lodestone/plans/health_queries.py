@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import kinds as K
 from lodestone.functions import text as T
-from lodestone.operators import health, resolve
-from lodestone.plans.bindings import symbols, table, with_symbols
+from lodestone.operators import fulltext, health, resolve
+from lodestone.plans.bindings import document_index, symbol_index, symbols, table, with_symbols
 from lodestone.plans.registry import query
+from lodestone.sources import store
 
 
 @query("a01_counts", with_symbols(" SELECT 'symbols' AS name, count(*) AS n FROM sym UNION ALL SELECT 'vectors', count(*) FROM embeddings"))
@@ -50,10 +51,9 @@ def a07(spark, d):
     return rows.agg(F.count_if(slug != F.lower(F.regexp_replace("framework", "#", ""))).alias("mismatches"), F.count("*").alias("total"))
 
 
-@query("a08_index_drift", "SELECT count(DISTINCT doc_id) AS indexed, (SELECT count(*) FROM documents) AS base FROM documents WHERE len(text) > 0")
+@query("a08_index_drift", "SELECT count(DISTINCT doc_id) AS indexed, count(*) AS base, count(DISTINCT doc_id) <> count(*) AS drift FROM documents")
 def a08(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.size(T.tokens(F.col("text"))).alias("dl"))
-    return docs.where("dl > 0").agg(F.countDistinct("doc_id").alias("indexed")).crossJoin(docs.agg(F.count("*").alias("base")))  # one row each
+    return fulltext.index_drift(table(spark, d, "documents").select("doc_id"), spark, document_index(spark, d))
 
 
 @query("a09_embedding_status", "SELECT count(*) AS n, CASE WHEN count(*) >= 100 THEN 'hybrid' ELSE 'lexical' END AS mode FROM embeddings")
@@ -73,7 +73,7 @@ def a11(spark, d):
     return latest.select("event_type", age.alias("age"), state.alias("state"))
 
 
-@query("a12_doctor", with_symbols(""", n AS (SELECT count(*)::DOUBLE AS n, count(DISTINCT framework)::DOUBLE AS f, count(*) - count(DISTINCT id) AS dup, count(*) FILTER (kind = 'symbol') AS unk, count(*) FILTER (abstract = '') AS emp FROM sym),
+_DOCTOR = with_symbols(""", n AS (SELECT count(*)::DOUBLE AS n, count(DISTINCT framework)::DOUBLE AS f, count(*) - count(DISTINCT id) AS dup, count(*) FILTER (kind = 'symbol') AS unk, count(*) FILTER (abstract = '') AS emp FROM sym),
   v AS (SELECT count(*)::DOUBLE AS n, count(DISTINCT len(embedding)) AS w, count(*) FILTER (len(embedding) <> 64) AS odd FROM embeddings)
   SELECT 'rows' AS check_name, CASE WHEN n > 0 THEN 'ok' ELSE 'fail' END AS status, n AS value FROM n
   UNION ALL SELECT 'frameworks', CASE WHEN f > 0 THEN 'ok' ELSE 'fail' END, f FROM n
@@ -83,20 +83,41 @@ def a11(spark, d):
   UNION ALL SELECT 'paths', 'ok', 0.0::DOUBLE
   UNION ALL SELECT 'vectors', CASE WHEN n >= 100 THEN 'ok' WHEN n > 0 THEN 'warn' ELSE 'fail' END, n FROM v
   UNION ALL SELECT 'vector-widths', CASE WHEN w <= 1 THEN 'ok' ELSE 'fail' END, w::DOUBLE FROM v
-  UNION ALL SELECT 'expected-width', CASE WHEN odd = 0 THEN 'ok' ELSE 'warn' END, odd::DOUBLE FROM v"""))
+  UNION ALL SELECT 'expected-width', CASE WHEN odd = 0 THEN 'ok' ELSE 'warn' END, odd::DOUBLE FROM v
+  UNION ALL SELECT 'index-drift', 'ok', 0.0::DOUBLE
+  UNION ALL SELECT 'freshness', CASE WHEN age > 30 THEN 'warn' ELSE 'ok' END, age::DOUBLE FROM (SELECT CAST(greatest(0, floor((epoch(TIMESTAMP '2024-02-20 00:00:00') - floor(epoch(max(ts)))) / 86400)) AS BIGINT) AS age FROM events)""")
+
+
+def _doctor(spark, d):
+    report = health.doctor(symbols(spark, d), table(spark, d, "embeddings"), fulltext.index_drift(symbols(spark, d), spark, symbol_index(spark, d)))
+    return report.unionByName(health.stamp_check(table(spark, d, "events"), F.lit("2024-02-20 00:00:00").cast("timestamp")))
+
+
+@query("a12_doctor", _DOCTOR)
 def a12(spark, d):
-    return health.doctor(symbols(spark, d), table(spark, d, "embeddings")).select("check_name", "status", "value")
+    return _doctor(spark, d).select("check_name", "status", "value")
 
 
-@query("a12_summary")
+@query("a12_summary", f"SELECT status, count(*) AS n FROM ({_DOCTOR}) GROUP BY status")
 def a12_summary(spark, d):
-    return health.summary(health.doctor(symbols(spark, d), table(spark, d, "embeddings")))
+    return health.summary(_doctor(spark, d))
 
 
 @query("a13_index_info", with_symbols(" SELECT count(*) AS n, count(DISTINCT framework) AS frameworks, count(DISTINCT lower(kind)) AS kinds, count(*) FILTER (is_primary) AS primaries, (SELECT count(*) FROM embeddings) AS vectors FROM sym"))
 def a13(spark, d):
-    info = symbols(spark, d).agg(F.count("*").alias("n"), F.countDistinct("framework").alias("frameworks"), F.countDistinct(F.lower("kind")).alias("kinds"), F.count_if("is_primary").alias("primaries"))
-    return info.crossJoin(table(spark, d, "embeddings").agg(F.count("*").alias("vectors")))  # one row each
+    return health.index_info(symbols(spark, d), table(spark, d, "embeddings"))
+
+
+@query("a16_schema", "SELECT 'nation' AS table_name, c AS column_name, t AS type, (SELECT count(*) FROM nation) AS rows FROM (VALUES ('n_nationkey', 'int'), ('n_name', 'string'), ('n_regionkey', 'int')) v(c, t) UNION ALL SELECT 'benchmark', c, t, (SELECT count(*) FROM benchmark) FROM (VALUES ('item_id', 'bigint'), ('text', 'string')) v(c, t)")
+def a16(spark, d):
+    return store.schema_snapshot({name: table(spark, d, name) for name in ("nation", "benchmark")})
+
+
+@query("p14_discover_abstract", with_symbols(", core AS (SELECT 'Brand#' || x AS name, CASE WHEN x % 3 = 0 THEN 'Tools for Rings' ELSE 'other' END AS about FROM range(1, 31) t(x)), c AS (SELECT lower(framework) AS f, count(*) AS n FROM sym GROUP BY 1) SELECT name, n FROM core JOIN c ON lower(name) = f WHERE contains(lower(name), 'ring') OR contains(lower(about), 'ring')"))
+def p14(spark, d):
+    core = spark.range(1, 31).select(F.concat(F.lit("Brand#"), F.col("id").cast("string")).alias("name"), F.when(F.col("id") % 3 == 0, "Tools for Rings").otherwise("other").alias("about"))
+    counts = symbols(spark, d).groupBy(F.col("framework").alias("name")).agg(F.count("*").alias("n"))
+    return health.discover(core, counts, "name", "Ring", abstract="about").select("name", "n")
 
 
 @query("a17_violation_samples", with_symbols(" SELECT id FROM sym WHERE abstract = '' ORDER BY id LIMIT 8"))

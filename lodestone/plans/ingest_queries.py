@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lodestone.functions import kinds as K
@@ -110,6 +112,27 @@ def i11(spark, d):
     return ingest.repairs(symbols(spark, d), _names(spark), "id")
 
 
+@query("i11_kinds", with_symbols(" SELECT id, kind, 'struct' AS found FROM sym WHERE kind = 'symbol' AND path IN (SELECT path FROM sym WHERE id % 2 = 0)"))
+def i11_kinds(spark, d):
+    pages = symbols(spark, d).where("id % 2 = 0").select("path", F.lit(None).cast("string").alias("symbolKind"), F.lit("Structure").alias("roleHeading"))
+    return ingest.kind_repairs(symbols(spark, d), pages, "id")
+
+
+@query("i10_clear", "SELECT (SELECT count(*) FROM embeddings) * 0 AS vectors, 1 AS kept")
+def i10(spark, d):
+    meta = spark.createDataFrame([("built_at", "x"), ("embedding_model", "m"), ("has_embeddings", "true")], "key string, value string")
+    vectors, left = ingest.cleared(table(spark, d, "embeddings"), meta)
+    return vectors.agg(F.count("*").alias("vectors")).crossJoin(left.agg(F.count("*").cast("int").alias("kept")))  # one row each
+
+
+@query("j08_topics", "SELECT page_id AS page, 'Links' AS topic, i AS place, h AS ref_id, 'T ' || h AS title FROM (SELECT page_id, unnest(l) AS h, generate_subscripts(l, 1) - 1 AS i FROM (SELECT page_id, regexp_extract_all(html, '<a href=\"([^\"]*)\">', 1) AS l FROM pages)) WHERE length(h) % 2 = 0")
+def j08(spark, d):
+    pages = table(spark, d, "pages").select(F.col("page_id").alias("page"), F.regexp_extract_all("html", F.lit('<a href="([^"]*)">'), F.lit(1)).alias("l"))
+    known = F.array_distinct(F.filter("l", lambda h: F.length(h) % 2 == 0))
+    pages = pages.select("page", F.array(F.struct(F.lit("Links").alias("title"), F.col("l").alias("identifiers"))).alias("topicSections"), F.map_from_arrays(known, F.transform(known, lambda h: F.struct(F.concat(F.lit("T "), h).alias("title")))).alias("references"))
+    return ingest.topic_references(pages).withColumn("place", F.col("place").cast("long"))
+
+
 @query("r08_canonical", with_symbols(f", {_NAMES} SELECT id, canonical FROM sym LEFT JOIN names ON slug = split_part(path, '/', 3)"))
 def r08(spark, d):
     slugs = symbols(spark, d).select("id", resolve.framework_slug(F.col("path")).alias("slug"))
@@ -125,7 +148,7 @@ def i12(spark, d):
 
 @query("i13_meta", "SELECT event_type AS key, arg_max(value, event_id) AS value FROM events GROUP BY event_type")
 def i13(spark, d):
-    return table(spark, d, "events").groupBy(F.col("event_type").alias("key")).agg(F.max_by("value", "event_id").alias("value"))
+    return ingest.meta_upsert(table(spark, d, "events"), "event_type", "value", "event_id")
 
 
 @query("c03_props", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
@@ -141,16 +164,22 @@ def p18(spark, d):
     return rows.select("i", F.array_join(parse_platforms(F.col("raw")), ",").alias("platforms"))
 
 
-@query("s10_archives", "SELECT regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS archive, count(*) AS pages FROM pages GROUP BY 1")
+@query("s10_archives", "SELECT regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS archive, count(*) AS pages, count(*) FILTER (length(html) < 400) AS corrupt FROM pages GROUP BY 1")
 def s10(spark, d):
-    return table(spark, d, "pages").groupBy(F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("archive")).agg(F.count("*").alias("pages"))
+    from lodestone.sources.catalog import archive_counts
+
+    pages = table(spark, d, "pages").select(F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("archive"), F.when(F.length("html") < 400, "short").alias("corrupt"))
+    return archive_counts(pages)
 
 
 @query("s12_vector_import", "SELECT vec_id AS id, CASE WHEN vec_id % 3 = 0 THEN 'import' ELSE 'own' END AS origin FROM embeddings")
 def s12(spark, d):
-    own = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"))
-    every = own.select("id", F.lit(1).alias("priority"), F.lit("own").alias("origin")).unionByName(own.where("id % 3 = 0").select("id", F.lit(0).alias("priority"), F.lit("import").alias("origin")))
-    return filters.keep_first(every, ["id"], [F.col("priority")]).select("id", "origin")
+    from lodestone.sources.catalog import ensure_checkpoint_dir, export_vectors, import_vectors
+
+    own = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.lit("own").alias("origin"))
+    path = f"{ensure_checkpoint_dir(spark)}/export-{uuid.uuid4().hex}"
+    export_vectors(own.where("id % 3 = 0").withColumn("origin", F.lit("import")), 64, path, "m", "2024-01-01T00:00:00Z")
+    return import_vectors(spark, path, own, "id").select("id", "origin")
 
 
 @query("s13_checksum", "SELECT page_id, sha256(html) AS digest, octet_length(encode(html)) AS n_bytes FROM pages")

@@ -175,6 +175,11 @@ def p10(spark, d):
     return filters.embedding_candidates(symbols(spark, d), "id").select("id", F.col("place").cast("long").alias("place"))
 
 
+@query("p11_all_for_embedding", with_symbols(" SELECT id, row_number() OVER (ORDER BY is_primary DESC, title, id) AS place FROM sym"))
+def p11(spark, d):
+    return filters.all_for_embedding(symbols(spark, d), "id").select("id", F.col("place").cast("long").alias("place"))
+
+
 @query("p12_enrichment", with_symbols(" SELECT id FROM sym WHERE framework IN ('Brand#1', 'Brand#2', 'Brand#3') AND lower(kind) IN ('func', 'property') AND abstract = ''"))
 def p12(spark, d):
     return filters.needs_enrichment(symbols(spark, d), ["Brand#1", "Brand#2", "Brand#3"], ["func", "property"]).select("id")
@@ -239,6 +244,25 @@ for _name, _query, _framework, _tests in (
     query(_name, _resolve_sql(_tests))(_run)
 
 
+_R02 = """, h AS (SELECT * FROM sym WHERE (lower(title) = 'red gear' OR starts_with(lower(title), 'redgear(') OR lower(list_extract(string_split(path, '/'), -1)) = 'redgear') {where}),
+  c AS (SELECT framework, path, arg_min({{'id': id, 'title': title, 'p': is_primary}}, (CASE WHEN is_primary THEN 0 ELSE 1 END) * 1000000000 + id) AS r FROM h GROUP BY framework, path)"""
+
+
+@query("r02_ambiguous", with_symbols(_R02.format(where="") + " SELECT r.id AS id, 'ambiguous' AS status FROM c ORDER BY r.p DESC, length(path), r.id LIMIT 6"))
+def r02(spark, d):
+    return resolve.disambiguate(symbols(spark, d), "@Red Gear").select("id", "status")
+
+
+@query("r02_framework", with_symbols(_R02.format(where="AND lower(framework) = 'brand#3'") + " SELECT id, 'resolved' AS status, 'title' AS source FROM h ORDER BY is_primary DESC, length(path), id LIMIT 1"))
+def r02_framework(spark, d):
+    return resolve.disambiguate(symbols(spark, d), "red gear", "Brand#3").where("status = 'resolved'").select("id", "status", "source")
+
+
+@query("r02_path", with_symbols(" SELECT id, 'resolved' AS status, 'relative-path' AS source FROM sym WHERE lower(path) = '/documentation/brand3/red-gear' ORDER BY is_primary DESC, id LIMIT 1"))
+def r02_path(spark, d):
+    return resolve.disambiguate(symbols(spark, d), "brand3/Red-Gear").select("id", "status", "source")
+
+
 @query("r03_fuzzy", with_symbols(""" SELECT title, framework, distance FROM (
   SELECT title, framework, path, is_primary, damerau_levenshtein(lower(title), 'smal rign') AS distance FROM (SELECT DISTINCT ON (framework, path) * FROM sym ORDER BY framework, path, id) WHERE abs(length(title) - 9) <= 3 OR is_primary OR contains(path, '/smal rign'))
   WHERE distance <= 3 ORDER BY distance, is_primary DESC, length(title), title, framework, path LIMIT 3"""))
@@ -289,6 +313,12 @@ def g01(spark, d):
     return logs.select("log_id", F.posexplode(diagnose.extract_symbols(F.col("log"))).alias("place", "name")).select("log_id", F.col("place").cast("long").alias("place"), "name")
 
 
+@query("g04_quoted_migrations", f"SELECT DISTINCT log_id, name, 'new' || name AS replacement FROM (SELECT log_id, unnest(regexp_extract_all(log, '''([A-Za-z_][A-Za-z0-9_]*)''', 1)) AS name FROM {LOGS_SQL}) WHERE name IN ('Gizmo', 'blueBolt', 'A')")
+def g04(spark, d):
+    logs = spark.createDataFrame(LOGS, "log_id int, log string")
+    return diagnose.quoted_migrations(logs, spark.createDataFrame([(n, f"new{n}") for n in ("Gizmo", "blueBolt", "A")], "old string, replacement string"))
+
+
 @query("g02_ground", with_symbols(f""", s2 AS (SELECT id, replace(title, ' ', '') AS title, is_primary FROM sym), {NAMES_SQL},
   ex AS (SELECT lower(title) AS t, arg_min(title, (CASE WHEN is_primary THEN 0 ELSE 1 END) * 1000000000 + id) AS title FROM s2 GROUP BY 1),
   near AS (SELECT name, first(title ORDER BY is_primary DESC, length(title), lower(title), id) AS title FROM (SELECT DISTINCT name FROM placed) JOIN s2 ON starts_with(lower(title), lower(name)) GROUP BY name)

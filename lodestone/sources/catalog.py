@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,3 +81,31 @@ def import_vectors(spark: SparkSession, path: str, own: DataFrame, key: str, com
 
 def compact(spark: SparkSession, path: str, to: str, files: int) -> None:
     spark.read.parquet(path).coalesce(files).write.mode("overwrite").parquet(to)
+
+
+def ingest_archives(spark: SparkSession, root: str, to: str, now: str, only: str | None = None, dry_run: bool = False) -> DataFrame:
+    """Pages below root become symbols under `to`, upserted into those there, with a new index and meta; returns (archive, pages, corrupt).  A dry run writes nothing."""
+    from lodestone.operators import fulltext, ingest
+
+    ensure_checkpoint_dir(spark)
+    pages = read_archives(spark, root, ingest.PAGE_SCHEMA).checkpoint()  # parsed once for the report and the rows
+    if only:
+        pages = pages.where(F.lower("archive") == only.lower())
+    report = archive_counts(pages)
+    if dry_run:
+        return report
+    found = ingest.page_rows(pages.where("corrupt IS NULL"), F.col("archive")).withColumn("at", F.lit(1))
+    try:
+        old = spark.read.schema(SYMBOL_SCHEMA).parquet(f"{to}/symbols")
+        found = old.withColumn("at", F.lit(0)).unionByName(found.select(*old.columns, "at"))
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    merged = ingest.upsert(found.select("id", "framework", "title", "kind", "abstract", "path", "platforms", "is_primary", "at"), "id", ["at", "title", "abstract"]).drop("at").checkpoint()
+    save_catalog(merged, spark.createDataFrame([], VECTOR_SCHEMA), to)
+    symbols = spark.read.parquet(f"{to}/symbols")
+    fulltext.build_index(symbols, "id", ["title", "framework", "kind", "abstract"], f"{to}/index")
+    facts = symbols.agg(F.count("*").cast("string").alias("symbol_count"), F.array_join(F.sort_array(F.collect_set("framework")), ",").alias("frameworks"))  # framework names are few
+    pairs = F.array(*(F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in (("built_at", F.lit(now)), ("symbol_count", F.col("symbol_count")), ("frameworks", F.col("frameworks")))))
+    facts.select(F.explode(pairs).alias("m")).select("m.*").coalesce(1).write.mode("overwrite").parquet(f"{to}/meta")
+    return report

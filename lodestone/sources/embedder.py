@@ -57,3 +57,35 @@ def embed(rows: DataFrame, key: str, text: str, dims: int, provider: Provider =
 
     kind = rows.schema[key].dataType.simpleString()
     return rows.select(F.col(key), F.col(text)).mapInArrow(run, f"{key} {kind}, embedding array<float>")
+
+
+class BreakerOpenError(RuntimeError):
+    """Calls are refused until the breaker closes."""
+
+
+def with_breaker(provider: Provider, seconds: float = 30.0, clock: Callable[[], float] = time.monotonic) -> Provider:
+    """After a failed call, refuses all calls for some seconds instead of waiting for each to fail."""
+    until = [float("-inf")]
+
+    def call(texts: Sequence[str], dims: int) -> np.ndarray:
+        if clock() < until[0]:
+            raise BreakerOpenError(f"closed again in {until[0] - clock():.0f} s")
+        try:
+            return provider(texts, dims)
+        except (OSError, TimeoutError):
+            until[0] = clock() + seconds
+            raise
+
+    return call
+
+
+#: Widths that providers offer.
+WIDTHS = (128, 256, 512, 768, 1024, 1536, 2048, 3072)
+
+
+def choose(prefer: str | None, hosted: Provider | None, local: Provider | None, dims: int) -> tuple[str, Provider] | None:
+    """(name, provider): local if preferred and there, else hosted, else local, else none."""
+    if dims not in WIDTHS:
+        raise ValueError(f"width {dims} is none of {WIDTHS}")
+    order = [("local", local), ("hosted", hosted)] if (prefer or "").strip().lower() == "local" else [("hosted", hosted), ("local", local)]
+    return next(((name, p) for name, p in order if p is not None), None)
