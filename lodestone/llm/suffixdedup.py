@@ -146,8 +146,8 @@ class Chunk:
         return cls(text, sizes, ids, np.cumsum(unpack(row["anchors"], np.int32), dtype=np.int64), shape, buckets)
 
     def counts(self) -> np.ndarray:
-        """How often the chunk holds each distinct hash, up to 127."""
-        return np.minimum(np.bincount(self.which, minlength=len(self.keys)), 127)
+        """How often the chunk holds each distinct hash, as the power of two that is not below it."""
+        return np.ceil(np.log2(np.bincount(self.which, minlength=len(self.keys)))).astype(np.int64)
 
     def spread(self) -> np.ndarray:
         """For each distinct hash, whether several documents of the chunk hold it."""
@@ -344,7 +344,7 @@ def shared_anchors(chunks: DataFrame, shape: Shape, buckets: int, hot: int) -> D
         _, of = np.unique(np.concatenate(hashes), return_inverse=True)
         mark = np.concatenate(marks)
         shared = np.bincount(of, 1 + (mark > 127)) >= 2
-        flags = (shared * (1 + 2 * (np.bincount(of, mark & 127) >= hot)))[of].astype(np.uint8)
+        flags = (shared * (1 + 2 * (np.bincount(of, np.exp2(mark & 127)) >= hot)))[of].astype(np.uint8)
         answers = [f.tobytes() for f in np.split(flags, np.cumsum([len(h) for h in hashes])[:-1])]
         n = len(answers)
         return pa.table({"uid": group["uid"], "bucket": pa.array(np.full(n, key[0].as_py(), np.int32)), "kind": pa.array(np.zeros(n, np.int32)), "data": pa.array(answers, pa.binary())})
