@@ -46,7 +46,7 @@ _NOTE = "uid long, bucket int, kind int, data binary"
 class Shape:
     length: int = 50
     gram: int = 24
-    pieces: int = 9
+    pieces: int = 4
 
     @property
     def reach(self) -> int:
@@ -418,7 +418,7 @@ def covered_bytes(chunk: Chunk, found: Contexts, bits: np.ndarray) -> np.ndarray
     return total[shape.length :] > total[:n]
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 24, chunk_bytes: int = 2 << 20, kept: bool = True, bucket_anchors: int = 100_000, hot: int = 4096) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 24, chunk_bytes: int = 2 << 20, kept: bool = True, bucket_anchors: int = 100_000, hot: int = 1 << 15) -> DataFrame:
     """(doc_id, n_bytes, spans, kept_sha256, kept): spans are removed runs of bytes; kept (binary) is null unless asked for.  An anchor that stands `hot` times or more is dealt out."""
     spark, shape = docs.sparkSession, Shape(length, gram)
     if not 0 < shape.reach <= 31:
