@@ -1,7 +1,8 @@
 """Zstandard WARC archives: one frame for each record behind a dictionary in the leading skippable frame.
 
 Writing.  Equal payloads of at least `least` bytes share one response, that of the smallest page_id; the others revisit it.  Every
-partition becomes one archive in the shared folder.  Spark's text writer puts the frames down byte by byte and an empty
+partition becomes one or more archives in the shared folder: a new one, with a dictionary of its own, begins as soon as the last holds `most`
+bytes, so an archive holds at most that, its training sample (1 MiB) and one record, however large the partition.  Spark's text writer puts the frames down byte by byte and an empty
 skippable frame between them (its eight bytes are the line separator), so the files are plain .zst and no executor touches a
 local disk or a file API of its own.
 
@@ -74,8 +75,8 @@ def train_dictionary(samples: list[bytes], size: int) -> bytes | None:
         return None
 
 
-def frames(records: Iterator[bytes], sample_bytes: int = 1 << 20, dict_bytes: int = 16 << 10, level: int = 3) -> Iterator[bytes]:
-    """The dictionary frame, then a frame for each record.  Only the first sample_bytes are held to train on."""
+def frames(records: Iterator[bytes], sample_bytes: int = 1 << 20, dict_bytes: int = 16 << 10, level: int = 3, most: int = 64 << 20) -> Iterator[bytes]:
+    """One archive: the dictionary frame, then a frame for each record until `most` bytes are written.  Only the first sample_bytes are held to train on; what is not written stays in records."""
     held, size = [], 0
     for record in records:
         held.append(record)
@@ -86,11 +87,16 @@ def frames(records: Iterator[bytes], sample_bytes: int = 1 << 20, dict_bytes: in
     if trained:
         yield struct.pack("<II", _DICTIONARY, len(trained)) + trained
     pack = zstandard.ZstdCompressor(level=level, write_checksum=True, dict_data=zstandard.ZstdCompressionDict(trained) if trained else None)
+    written = 0
     for record in held:
-        yield pack.compress(record)
+        frame = pack.compress(record)
+        written += len(frame)
+        yield frame
     held.clear()
-    for record in records:
-        yield pack.compress(record)
+    while written < most and (record := next(records, None)) is not None:
+        frame = pack.compress(record)
+        written += len(frame)
+        yield frame
 
 
 def frame_end(data: memoryview, at: int) -> int:
@@ -191,8 +197,8 @@ def plan_records(pages: DataFrame, least: int = 100) -> DataFrame:
     return joined.select("page_id", "url", "payload", "digest", revisit.alias("refers_to"))
 
 
-def write_archives(pages: DataFrame, path: str, least: int = 100, date: str = "2024-01-01T00:00:00Z") -> None:
-    """Writes one archive for each partition of the planned records."""
+def write_archives(pages: DataFrame, path: str, least: int = 100, date: str = "2024-01-01T00:00:00Z", most: int = 64 << 20) -> None:
+    """Writes the planned records, a partition after another into archives of about `most` bytes: <path>/archive=<number in its partition>/<part>."""
 
     def run(batches):
         def each():
@@ -200,16 +206,25 @@ def write_archives(pages: DataFrame, path: str, least: int = 100, date: str = "2
                 for row in batch.to_pylist():
                     yield build_record(row["page_id"], row["url"], row["payload"], row["digest"], row["refers_to"], date)
 
-        held: list[bytes] = []
-        for frame in frames(each()):
-            held.append(frame)
-            if len(held) == 256 or len(frame) > 1 << 22:
-                yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], names=["frame"])
-                held = []
-        yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], names=["frame"])
-
-    framed = plan_records(pages, least).mapInArrow(run, "frame binary")
-    framed.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", _BETWEEN).text(path)
+        def batch(number: int, first: int, held: list[bytes]) -> pa.RecordBatch:
+            places = pa.array(range(first, first + len(held)), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([number] * len(held), pa.int32()), places, pa.array(held, pa.binary())], names=["archive", "place", "frame"])
+
+        waiting, number, place = each(), 0, 1
+        while place:
+            held, place, size = [], 0, 0
+            for frame in frames(waiting, most=most):
+                held.append(frame)
+                size += len(frame)
+                if len(held) == 256 or size > 1 << 22:
+                    yield batch(number, place, held)
+                    held, place, size = [], place + len(held), 0
+            yield batch(number, place, held)
+            place += len(held)
+            number += 1
+
+    framed = plan_records(pages, least).mapInArrow(run, "archive int, place long, frame binary").sortWithinPartitions("archive", "place")
+    framed.select("archive", F.col("frame").cast("string").alias("value")).write.partitionBy("archive").option("lineSep", _BETWEEN).text(path)
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:

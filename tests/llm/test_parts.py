@@ -109,6 +109,18 @@ def test_warc_frames_and_dictionary():
         list(warc.records(b"no frame"))
 
 
+def test_warc_archives_roll(spark, tmp_path):
+    """Archives of a partition stay near the size asked for, each with a dictionary of its own, and hold every record once."""
+    pages = [(i, f"http://h/{i}", " ".join(str((i * 7919 + j * j) % 9973) for j in range(400))) for i in range(3000)] + [(3000, "u", "z" * 400_000), (3001, "u", None)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(frame, str(tmp_path / "out"), most=20_000)
+    files = sorted((tmp_path / "out").glob("archive=*/part-*"))
+    assert len(files) > 4 and all(f.stat().st_size < 20_000 + (1 << 20) for f in files)  # the sample a dictionary is trained on is at most 1 MiB
+    got = warc.read_archives(spark, str(tmp_path / "out")).collect()
+    assert sorted((r["page_id"], r["payload"].decode()) for r in got) == [(i, t or "") for i, _, t in pages]
+    assert len({r["archive"] for r in got}) == len(files)
+
+
 def test_trees_keep_the_order():
     rng = np.random.default_rng(1)
     x = rng.random((600, 2))
