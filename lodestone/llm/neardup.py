@@ -200,7 +200,9 @@ def classes_of(members: DataFrame, blobs: DataFrame, least: float, at_once: int
     # Elements outside the leader, rarest first in one order for all; with i and j places left behind a common element, a pair shares at most 1 + min(i, j) of them.
     counted = outside.join(closest.select("b", "token", "df"), ["b", "token"])  # shared ones; the others come first and only take up places
     place = F.row_number().over(Window.partitionBy("a", "b").orderBy(F.col("df").desc(), F.col("token").desc()))
-    left = labelled(counted.withColumn("left", place - 1).withColumnRenamed("a", "print"), labels).withColumnRenamed("print", "a")
+    # A partner holds at least `least` of x's size, so x alone needs least * size_a - common elements outside the leader: the commonest elements go before the join, not after it.
+    rare = counted.withColumn("left", place - 1).where(F.col("left") + 1 >= F.ceil(least * F.col("size_a") - 1e-9) - F.col("common"))
+    left = labelled(rare.withColumnRenamed("a", "print"), labels).withColumnRenamed("print", "a")
     x, y = _not_with_leader(left, labels).alias("x"), left.alias("y")
     needs = F.greatest(F.lit(1), F.ceil(least / (1 + least) * (F.col("x.size_a") + F.col("y.size_a")) - 1e-9) - F.least("x.common", "y.common"))
     possible = (F.col("x.label") != F.col("y.label")) & (F.least("x.left", "y.left") + 1 >= needs)
