@@ -169,7 +169,7 @@ def labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(labels.select(F.col("node").alias("print"), "label"), "print", "left").withColumn("label", F.coalesce("label", "print"))
 
 
-def classes_of(members: DataFrame, blobs: DataFrame, least: float, at_once: int = 64) -> DataFrame:
+def classes_of(members: DataFrame, blobs: DataFrame, least: float, at_once: int = 64, salts: int = 8) -> DataFrame:
     """(node, label) of the components of all links inside the bands of members (band, print), without making all pairs of a band.
 
     1. Every member meets the leader of its band: the member whose bands are fullest, which in a group of copies is the one the others derive from.
@@ -228,7 +228,9 @@ def classes_of(members: DataFrame, blobs: DataFrame, least: float, at_once: int
         open_members = _not_with_leader(placed.where("inner").withColumnRenamed("print", "a"), labels).withColumnRenamed("a", "print")
         if done is not None:
             open_members = open_members.join(done, ["band", "print"], "left_anti")
-        chosen = open_members.withColumn("n", F.row_number().over(Window.partitionBy("band").orderBy("print"))).where(F.col("n") <= at_once)
+        # Each of `salts` parts of a band gives its share, so no task sees a whole band; whatever is left over comes in a later round.
+        part = Window.partitionBy("band", F.pmod(F.xxhash64("print"), F.lit(salts))).orderBy("print")
+        chosen = open_members.withColumn("n", F.row_number().over(part)).where(F.col("n") <= max(1, at_once // salts))
         chosen = stored(labelled(chosen.select("band", "print", "sim", "size_a", "common"), labels), "inner")
         if chosen.isEmpty():
             return labels
