@@ -184,6 +184,7 @@ def classes_of(members: DataFrame, blobs: DataFrame, least: float, at_once: int
     weight = stored(members.join(sizes, "band").groupBy("print").agg(F.sum("n").alias("w")), "weights")
     leaders = stored(members.join(weight, "print").groupBy("band").agg(F.max(F.struct("w", "print"))["print"].alias("b")), "leaders")
     led = stored(members.join(leaders, "band"), "led")
+    discard(sizes, weight, leaders)
     checked = stored(verify(led.where("print <> b").select(F.col("print").alias("a"), "b").distinct(), blobs), "verified")
     edges = checked.where(F.col("sim") >= least).select("a", "b")
     labels = components(edges)
@@ -193,7 +194,7 @@ def classes_of(members: DataFrame, blobs: DataFrame, least: float, at_once: int
     closest = stored(closest, "closest")
     meets = outside.join(closest, ["b", "token"]).where("a <> c").select("a", "c").distinct()
     apart = _apart(meets.select("a", F.col("c").alias("b")), labels)
-    found = stored(verify(apart, blobs), "verified").where(F.col("sim") >= least).select("a", "b")
+    found = stored(verify(apart, blobs).where(F.col("sim") >= least).select("a", "b"), "links")
     edges = edges.unionByName(found)
     labels = components(edges)
 
@@ -209,19 +210,22 @@ def classes_of(members: DataFrame, blobs: DataFrame, least: float, at_once: int
     possible = possible & _may_link(*(F.col(f"{side}.{c}") for side in "xy" for c in ("sim", "size_a", "common")), least)
     meets = x.join(y, (F.col("x.b") == F.col("y.b")) & (F.col("x.token") == F.col("y.token")) & possible)
     meets = meets.select(F.least("x.a", "y.a").alias("a"), F.greatest("x.a", "y.a").alias("b")).distinct()
-    found = stored(verify(meets, blobs), "verified").where(F.col("sim") >= least).select("a", "b")
+    found = stored(verify(meets, blobs).where(F.col("sim") >= least).select("a", "b"), "links")
     if not found.isEmpty():
         edges = edges.unionByName(found)
         labels = components(edges)
+    discard(closest)
 
     # The smallest size a partner of x can have: one of the sizes there are (a set of numbers, not of members) that is at least `least` of x's.
-    bounded = checked.join(stored(checked.groupBy("b").agg(F.collect_set("size_a").alias("sizes")), "sizes"), "b")
+    lengths = stored(checked.groupBy("b").agg(F.collect_set("size_a").alias("sizes")), "sizes")
+    bounded = checked.join(lengths, "b")
     floor = F.ceil(least * F.col("size_a") - 1e-9)
     other = F.coalesce(F.array_min(F.filter("sizes", lambda n: n >= floor)), floor)
     needs = F.ceil(least / (1 + least) * (F.col("size_a") + other) - 1e-9) - F.col("common")
     inner = bounded.where(needs <= 0).select(F.col("a").alias("print"), "b", F.lit(True).alias("inner"))
     met = led.join(checked.select(F.col("a").alias("print"), "b", "sim", "size_a", "common"), ["print", "b"], "left").join(inner, ["print", "b"], "left")
     placed = stored(met.select("band", "print", "b", F.coalesce("sim", F.lit(1.0)).alias("sim"), "size_a", "common", F.coalesce("inner", F.lit(False)).alias("inner")), "placed")
+    discard(lengths, led)
     done = None
     while True:
         tagged = labelled(placed, labels)
@@ -244,7 +248,8 @@ def classes_of(members: DataFrame, blobs: DataFrame, least: float, at_once: int
 
         pairs = tagged.join(lists, "band").select("print", F.explode(F.transform(F.filter("others", possible), lambda o: o["print"])).alias("other"))
         pairs = pairs.select(F.least("print", "other").alias("a"), F.greatest("print", "other").alias("b")).distinct()
-        found = stored(verify(pairs, blobs), "verified").where(F.col("sim") >= least).select("a", "b")
+        found = stored(verify(pairs, blobs).where(F.col("sim") >= least).select("a", "b"), "links")
+        discard(lists)
         own = chosen.select("band", "print")
         done = own if done is None else done.unionByName(own)
         if not found.isEmpty():
