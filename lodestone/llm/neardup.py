@@ -169,7 +169,7 @@ def labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(labels.select(F.col("node").alias("print"), "label"), "print", "left").withColumn("label", F.coalesce("label", "print"))
 
 
-def classes_of(members: DataFrame, blobs: DataFrame, least: float, at_once: int = 64, salts: int = 8) -> DataFrame:
+def classes_of(members: DataFrame, blobs: DataFrame, least: float, at_once: int = 128, salts: int = 8) -> DataFrame:
     """(node, label) of the components of all links inside the bands of members (band, print), without making all pairs of a band.
 
     1. Every member meets the leader of its band: the member whose bands are fullest, which in a group of copies is the one the others derive from.
