@@ -19,15 +19,25 @@ def _vectors(spark, d):
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.concat(F.lit("Brand#"), F.col("label").cast("string")).alias("framework"), "embedding")
 
 
-_BOTH = with_symbols(", ") + bm25_sql("sym", "id", WIDE, [(["red"], True), (["gear"], True)], "n0 AND n1") + f""", q AS (SELECT {DOUBLES} AS qv FROM embeddings WHERE vec_id = 0),
-  l AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) - 1 AS rank FROM (SELECT id, score + CASE WHEN id IN (SELECT id FROM sym WHERE lower(title) = 'red gear') THEN 100.0::DOUBLE ELSE 0 END AS score FROM (SELECT * FROM scored ORDER BY score DESC, id LIMIT 40))),
-  s AS (SELECT id, sim * 50 AS score, row_number() OVER (ORDER BY sim DESC, id) - 1 AS rank FROM (SELECT vec_id AS id, list_cosine_similarity({DOUBLES}, qv) AS sim FROM embeddings, q) WHERE sim >= 0.1 QUALIFY row_number() OVER (ORDER BY sim DESC, id) <= 20),
+def lexical_sql(words: list[str], most: int, limit: int) -> str:
+    """SQL of a search for all words as prefixes that some row meets: the best `most`, boosted where the title is the query, the best `limit` of them."""
+    match = " AND ".join(f"n{i}" for i in range(len(words)))
+    return with_symbols(", ") + bm25_sql("sym", "id", WIDE, [([w], True) for w in words], match, ("title",)) + f""" SELECT id, title, round(score + CASE WHEN lower(title) = '{' '.join(words)}' THEN 100.0::DOUBLE ELSE 0 END, 6) AS score
+  FROM (SELECT * FROM scored ORDER BY score DESC, id LIMIT {most}) ORDER BY score DESC, id LIMIT {limit}"""
+
+
+def hybrid_sql(words: list[str], limit: int) -> str:
+    """SQL of the same search fused with the rows next to the first vector."""
+    match = " AND ".join(f"n{i}" for i in range(len(words)))
+    return with_symbols(", ") + bm25_sql("sym", "id", WIDE, [([w], True) for w in words], match) + f""", q AS (SELECT {DOUBLES} AS qv FROM embeddings WHERE vec_id = 0),
+  l AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) - 1 AS rank FROM (SELECT id, score + CASE WHEN id IN (SELECT id FROM sym WHERE lower(title) = '{' '.join(words)}') THEN 100.0::DOUBLE ELSE 0 END AS score FROM (SELECT * FROM scored ORDER BY score DESC, id LIMIT {4 * limit}))),
+  s AS (SELECT id, sim * 50 AS score, row_number() OVER (ORDER BY sim DESC, id) - 1 AS rank FROM (SELECT vec_id AS id, list_cosine_similarity({DOUBLES}, qv) AS sim FROM embeddings, q) WHERE sim >= 0.1 QUALIFY row_number() OVER (ORDER BY sim DESC, id) <= {2 * limit}),
   f AS (SELECT id, coalesce(l.score, s.score) AS score, coalesce(1.0::DOUBLE / (61 + l.rank), 0) + coalesce(1.0::DOUBLE / (61 + s.rank), 0) AS rrf, CASE WHEN s.rank IS NULL THEN 'fts' WHEN l.rank IS NULL THEN 'semantic' ELSE 'hybrid' END AS source FROM l FULL OUTER JOIN s USING (id)),
-  c AS (SELECT * FROM f ORDER BY rrf DESC, score DESC, id LIMIT 20)
-  SELECT c.id, title, round(score, 6) AS score, round(rrf, 9) AS rrf, source FROM c JOIN sym USING (id) ORDER BY rrf DESC, score DESC, c.id LIMIT 10"""
+  c AS (SELECT * FROM f ORDER BY rrf DESC, score DESC, id LIMIT {2 * limit})
+  SELECT c.id, title, round(score, 6) AS score, round(rrf, 9) AS rrf, source FROM c JOIN sym USING (id) ORDER BY rrf DESC, score DESC, c.id LIMIT {limit}"""
 
 
-@query("x06_hybrid_search", _BOTH)
+@query("x06_hybrid_search", hybrid_sql(["red", "gear"], 10))
 def x06(spark, d):
     out = hybrid.search(symbols(spark, d), _vectors(spark, d), "red gear", first_vector(spark, d), limit=10, floor=0.1, index=symbol_index(spark, d))
     return out.select("id", "title", F.round("score", 6).alias("score"), F.round("rrf", 9).alias("rrf"), "source")
@@ -109,7 +119,14 @@ def g10(spark, d):
     return hybrid.reference(rows, _pages(rows), _vectors(spark, d), target).select("id", F.col("step").cast("int").alias("step"))
 
 
-@query("g07_showcase")
+_SHOWCASE = " UNION ALL ".join(f"SELECT '{part}' AS part, id, title FROM ({sql})" for part, sql in (
+    ("wildcard", with_symbols(" SELECT id, title FROM sym WHERE title ILIKE 'red%' OR abstract ILIKE 'red%' ORDER BY (title ILIKE 'red%') DESC, is_primary DESC, length(title), title, id LIMIT 5")),
+    ("lexical", lexical_sql(["blue", "bolt"], 20, 5)),
+    ("hybrid", hybrid_sql(["old", "ring"], 5)),
+))
+
+
+@query("g07_showcase", _SHOWCASE)
 def g07(spark, d):
     rows = symbols(spark, d)
     from lodestone.operators import patterns
