@@ -271,10 +271,20 @@ def r03(spark, d):
     return resolve.suggestions(first, "smal rign").select("title", "framework", F.col("distance").cast("long").alias("distance"))
 
 
-@query("r04_edit_distance")
+_TARGET = "blue grae"
+#: Rows of the table of distances, one a letter of the title: m holds the cheapest way into a cell but by insertion, less its column, so a running minimum adds insertions.
+_OSA = f"""WITH RECURSIVE names AS (SELECT DISTINCT p_name AS title FROM part),
+  w AS (SELECT title, 0::BIGINT AS i, NULL::BIGINT[] AS back, range(0, {len(_TARGET) + 1}) AS last FROM names
+    UNION ALL SELECT title, i, last, list_transform(range(0, {len(_TARGET) + 1}), lambda k: k + list_min(m[1:k + 1])) FROM (SELECT title, i + 1 AS i, last, list_transform(range(0, {len(_TARGET) + 1}), lambda k:
+      CASE WHEN k = 0 THEN i + 1 ELSE least(last[k + 1] + 1, last[k] + CASE WHEN substr(title, i + 1, 1) = substr('{_TARGET}', k, 1) THEN 0 ELSE 1 END,
+        CASE WHEN i > 0 AND k > 1 AND substr(title, i + 1, 1) = substr('{_TARGET}', k - 1, 1) AND substr(title, i, 1) = substr('{_TARGET}', k, 1) THEN back[k - 1] + 1 ELSE 1000 END) END - k) AS m FROM w WHERE i < length(title)))
+  SELECT title, last[{len(_TARGET) + 1}] AS distance, round(1 - last[{len(_TARGET) + 1}]::DOUBLE / greatest(length(title), {len(_TARGET)}), 6) AS ratio FROM w WHERE i = length(title)"""
+
+
+@query("r04_edit_distance", _OSA)
 def r04(spark, d):
     names = symbols(spark, d).select("title").distinct()
-    return names.select("title", T.osa(F.col("title"), F.lit("blue grae")).alias("distance"), F.round(T.similarity_ratio(F.col("title"), F.lit("blue grae")), 6).alias("ratio"))
+    return names.select("title", T.osa(F.col("title"), F.lit(_TARGET)).alias("distance"), F.round(T.similarity_ratio(F.col("title"), F.lit(_TARGET)), 6).alias("ratio"))
 
 
 @query("r06_candidate_paths", "SELECT id, array_to_string(CASE WHEN f = lower(f) AND p = lower(p) THEN ['documentation/' || f || '/' || p, p] ELSE list_distinct_ordered END, '|') AS paths FROM (SELECT *, list_filter(['documentation/' || f || '/' || p, 'documentation/' || lower(f) || '/' || lower(p), CASE WHEN p <> lower(p) THEN 'documentation/' || lower(f) || '/' || p END, p, CASE WHEN p <> lower(p) THEN lower(p) END], lambda x: x IS NOT NULL) AS list_distinct_ordered FROM (SELECT p_partkey AS id, p_brand AS f, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE upper(p_name) END AS p FROM part))")

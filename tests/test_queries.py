@@ -17,6 +17,5 @@ def test_query_matches_sql(spark, sf_dir, con, name):
     assert_same(registry.QUERIES[name](spark, sf_dir), con, registry.ORACLE_SQL[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)))
-def test_query_runs(spark, sf_dir, name):
-    assert registry.QUERIES[name](spark, sf_dir).count() > 0
+def test_every_query_has_sql():
+    assert set(registry.QUERIES) == set(registry.ORACLE_SQL)
