@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import chat, classifier, classlm, decontam, linededup, mixing, neardup, quality, suffixdedup, warc
+from lodestone.llm import chat, classifier, classlm, decontam, linededup, mixing, neardup, quality, runs, suffixdedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": warc.op1_warc,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_minhash": neardup.op10_minhash,
     "op8_suffix_dedup": suffixdedup.op8_suffix_dedup,
     "op9_quality_classifier": classifier.op9_quality_classifier,
+    "op11_runs": runs.op11_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -27,4 +28,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_chat_formatting": chat.OP4_SQL,
     "op5_decontamination": decontam.OP5_SQL,
     "op7_mixing": mixing.OP7_SQL,
+    "op11_runs": runs.OP11_SQL,
 }
