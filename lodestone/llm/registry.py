@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import chat, classifier, classlm, decontam, linededup, mixing, neardup, quality, runs, suffixdedup, warc
+from lodestone.llm import chat, classifier, classlm, decontam, linededup, mixing, neardup, quality, runs, suffixdedup, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": warc.op1_warc,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": suffixdedup.op8_suffix_dedup,
     "op9_quality_classifier": classifier.op9_quality_classifier,
     "op11_runs": runs.op11_runs,
+    "op12_url_filters": urlfilter.op12_url_filters,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -29,4 +30,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_decontamination": decontam.OP5_SQL,
     "op7_mixing": mixing.OP7_SQL,
     "op11_runs": runs.OP11_SQL,
+    "op12_url_filters": urlfilter.OP12_SQL,
 }
