@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import chat, classifier, classlm, decontam, linededup, mixing, neardup, quality, runs, suffixdedup, urlfilter, warc
+from lodestone.llm import chat, classifier, classlm, convtrie, decontam, linededup, mixing, neardup, quality, runs, suffixdedup, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": warc.op1_warc,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_classifier": classifier.op9_quality_classifier,
     "op11_runs": runs.op11_runs,
     "op12_url_filters": urlfilter.op12_url_filters,
+    "op13_prefix_trie": convtrie.op13_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -31,4 +32,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_mixing": mixing.OP7_SQL,
     "op11_runs": runs.OP11_SQL,
     "op12_url_filters": urlfilter.OP12_SQL,
+    "op13_prefix_trie": convtrie.OP13_SQL,
 }

@@ -51,9 +51,9 @@ def test_against_sql(spark, path, odd_dir, name):
     assert_same(registry.QUERIES[name](spark, path), connect(path), registry.ORACLE_SQL[name])
 
 
-@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES.keys() - {"op13_prefix_trie"}))  # a row for each node
 def test_a_row_for_each_input(spark, odd_dir, empty_dir, name):
-    table = {"op1_warc": "pages", "op4_chat_formatting": "conversations"}.get(name, "documents")
+    table = {"op1_warc": "pages", "op12_url_filters": "pages", "op4_chat_formatting": "conversations"}.get(name, "documents")
     for p in (odd_dir, empty_dir):
         rows = spark.read.parquet(f"{p}/{table}.parquet")
         want = rows.select("conv_id").distinct().count() + 1 if table == "conversations" else rows.count()
