@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.sources import store
 from lodestone.sources.catalog import ensure_checkpoint_dir
 
 K1, B, FLOOR = 1.2, 0.75, 1e-6
@@ -145,10 +146,11 @@ def build_index(rows: DataFrame, key: str, columns: Sequence[str], path: str) ->
     lengths.agg(F.count("*").alias("rows_all"), F.avg("dl").alias("mean")).write.mode("overwrite").parquet(f"{path}/totals")
 
 
-def index_once(rows: DataFrame, key: str, columns: Sequence[str], name: str) -> str:
-    """The folder of an index that this application built under a name before, or builds now."""
+def index_once(rows: DataFrame, key: str, columns: Sequence[str], name: str, source: str) -> str:
+    """The folder of an index that this application built before under a name from the files now at `source`, or builds now: changed files mean a new index."""
     spark = rows.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/index-{spark.sparkContext.applicationId}-{hashlib.md5(name.encode()).hexdigest()}"
+    mark = hashlib.md5(f"{name} {store.snapshot(spark, source)}".encode()).hexdigest()
+    path = f"{ensure_checkpoint_dir(spark)}/index-{spark.sparkContext.applicationId}-{mark}"
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/totals/_SUCCESS")
     folder = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not folder.exists(at):
@@ -192,15 +194,29 @@ def search_index(spark: SparkSession, path: str, weights: Mapping[str, float], g
     phrases = [p for group in groups for p in group]
     if not phrases:
         return lengths.limit(0).select("doc", F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("hits"))
-    of = F.element_at(F.array(*(F.lit(g) for g, group in enumerate(groups) for _ in group)), F.col("i") + 1)
     tf = occurrences(postings, phrases, weights)
     df = tf.groupBy("i").agg(F.count("*").alias("n"))
     joined = tf.join(F.broadcast(df), "i").join(lengths, "doc").crossJoin(F.broadcast(totals))  # df has a row a phrase, totals one row
-    others = F.col("rows_all") - F.col("n")
-    idf = F.when(others > F.col("n"), F.greatest(F.ln((others + 0.5) / (F.col("n") + 0.5)), F.lit(FLOOR))).otherwise(FLOOR)
-    part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
-    scored = joined.groupBy("doc").agg(F.sum(part).alias("score"), F.countDistinct(of).alias("hits"))
-    return scored.where(F.col("hits") == len(groups)) if match == "all" else scored
+    return scored(joined, groups, match)
+
+
+def part(n: Column, rows_all: Column, f: Column, dl: Column, mean: Column) -> Column:
+    """What a phrase that stands in n of rows_all rows adds to the score of a row with weight f and length dl.  It grows with f and falls with dl."""
+    others = rows_all - n
+    idf = F.when(others > n, F.greatest(F.ln((others + 0.5) / (n + 0.5)), F.lit(FLOOR))).otherwise(FLOOR)
+    return idf * f * (K1 + 1) / (f + K1 * (1 - B + B * dl / mean))
+
+
+def group_of(groups: Sequence[Sequence[Phrase]]) -> Column:
+    """The group of phrase number `i`."""
+    return F.element_at(F.array(*(F.lit(g) for g, group in enumerate(groups) for _ in group)), F.col("i") + 1)
+
+
+def scored(joined: DataFrame, groups: Sequence[Sequence[Phrase]], match: str) -> DataFrame:
+    """(doc, score, hits) from (doc, i, f, n, dl, rows_all, mean)."""
+    parts = part(F.col("n"), F.col("rows_all"), F.col("f"), F.col("dl"), F.col("mean"))
+    out = joined.groupBy("doc").agg(F.sum(parts).alias("score"), F.countDistinct(group_of(groups)).alias("hits"))
+    return out.where(F.col("hits") == len(groups)) if match == "all" else out
 
 
 def find(rows: DataFrame, key: str, index: str, weights: Mapping[str, float], query: str, where: Column | None = None) -> DataFrame:

@@ -17,11 +17,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_index(spark: SparkSession, sf_dir: str) -> str:
-    return fulltext.index_once(documents(spark, sf_dir), "doc_id", ["text"], f"documents of {sf_dir}")
+    return fulltext.index_once(documents(spark, sf_dir), "doc_id", ["text"], "documents", f"{sf_dir}/documents.parquet")
 
 
 def symbol_index(spark: SparkSession, sf_dir: str) -> str:
-    return fulltext.index_once(symbols(spark, sf_dir), "id", ["title", "framework", "kind", "abstract"], f"symbols of {sf_dir}")
+    return fulltext.index_once(symbols(spark, sf_dir), "id", ["title", "framework", "kind", "abstract"], "symbols", f"{sf_dir}/part.parquet")
 
 
 KIND_OF_TYPE = {"ECONOMY": "struct", "PROMO": "Class", "LARGE": "func", "SMALL": "symbol", "STANDARD": "article", "MEDIUM": "property"}

@@ -8,6 +8,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.sources import store
+
 SYMBOL_SCHEMA = "id string, framework string, title string, kind string, abstract string, path string, platforms array<string>, is_primary boolean"
 VECTOR_SCHEMA = "id string, framework string, title string, kind string, summary string, path string, media_url string, media_type string, embedding array<float>"
 
@@ -33,9 +35,13 @@ def open_catalog(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {"symbols": spark.read.schema(SYMBOL_SCHEMA).parquet(f"{path}/symbols"), "vectors": spark.read.schema(VECTOR_SCHEMA).parquet(f"{path}/vectors")}
 
 
-def save_catalog(symbols: DataFrame, vectors: DataFrame, path: str) -> None:
+def save_symbols(symbols: DataFrame, path: str) -> None:
     """Symbols clustered by framework, the column most filters name; the write is atomic by Spark's commit protocol."""
     symbols.repartitionByRange("framework").sortWithinPartitions("framework", "path").write.mode("overwrite").parquet(f"{path}/symbols")
+
+
+def save_catalog(symbols: DataFrame, vectors: DataFrame, path: str) -> None:
+    save_symbols(symbols, path)
     vectors.write.mode("overwrite").parquet(f"{path}/vectors")
 
 
@@ -102,7 +108,9 @@ def ingest_archives(spark: SparkSession, root: str, to: str, now: str, only: str
         if "PATH_NOT_FOUND" not in str(e):
             raise
     merged = ingest.upsert(found.select("id", "framework", "title", "kind", "abstract", "path", "platforms", "is_primary", "at"), "id", ["at", "title", "abstract"]).drop("at").checkpoint()
-    save_catalog(merged, spark.createDataFrame([], VECTOR_SCHEMA), to)
+    save_symbols(merged, to)
+    if not store.exists(spark, f"{to}/vectors"):  # vectors that are there stay
+        spark.createDataFrame([], VECTOR_SCHEMA).write.parquet(f"{to}/vectors")
     symbols = spark.read.parquet(f"{to}/symbols")
     fulltext.build_index(symbols, "id", ["title", "framework", "kind", "abstract"], f"{to}/index")
     facts = symbols.agg(F.count("*").cast("string").alias("symbol_count"), F.array_join(F.sort_array(F.collect_set("framework")), ",").alias("frameworks"))  # framework names are few

@@ -28,6 +28,11 @@ def _files(spark: SparkSession, path: str):
     return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at, files = _files(spark, path)
+    return files.exists(at)
+
+
 def readable(spark: SparkSession, path: str) -> bool:
     """Whether the files under path open as Parquet: only footers are read."""
     at, files = _files(spark, path)
