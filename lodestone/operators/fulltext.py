@@ -9,7 +9,7 @@ Statistics always cover the whole table; filters apply to the scored rows only.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -147,15 +147,17 @@ def build_index(rows: DataFrame, key: str, columns: Sequence[str], path: str) ->
 
 
 def index_once(rows: DataFrame, key: str, columns: Sequence[str], name: str, source: str) -> str:
-    """The folder of an index that this application built before under a name from the files now at `source`, or builds now: changed files mean a new index."""
-    spark = rows.sparkSession
+    """The folder of an index that this application built before under a name from the files now at `source`, or builds now."""
+    return built_once(rows.sparkSession, name, source, lambda path: build_index(rows, key, columns, path))
+
+
+def built_once(spark: SparkSession, name: str, source: str, build: Callable[[str], object]) -> str:
+    """The folder that build(folder) filled before in this application under a name and for the files now at `source`, or fills now: changed files mean a new folder."""
     mark = hashlib.md5(f"{name} {store.snapshot(spark, source)}".encode()).hexdigest()
     path = f"{ensure_checkpoint_dir(spark)}/index-{spark.sparkContext.applicationId}-{mark}"
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/totals/_SUCCESS")
-    folder = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not folder.exists(at):
-        build_index(rows, key, columns, path)
-        folder.deleteOnExit(at.getParent().getParent())
+    if not store.exists(spark, f"{path}/built"):
+        build(path)
+        store.touch(spark, f"{path}/built")
     return path
 
 

@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import glob_pattern, osa
+from lodestone.operators import fuzzy
+
+_MOST_NAMES = 8192
 
 STAGES = ("exact", "nocase", "framework-path", "title", "suffix", "signature")
 
@@ -64,18 +67,35 @@ def _all():
 
 
 def max_distance(name: str) -> int:
-    return 1 if len(name) <= 4 else 2 if len(name) <= 8 else 3
+    return fuzzy.far(len(name))
+
+
+def _slug() -> Column:
+    return F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\(.*\)$", "")
+
 
+def name_index(rows: DataFrame, path: str) -> None:
+    """Stores the deletion variants of all titles and last path segments."""
+    fuzzy.build_variants(rows.select(F.explode(F.array("title", _slug())).alias("name")), "name", path)
 
-def suggestions(rows: DataFrame, query: str, framework: str | None = None, most: int = 3) -> DataFrame:
-    """Titles within the edit distance the name's length allows, nearest first.  levenshtein <= 2 * distance is a sound filter before the exact distance is computed."""
+
+def suggestions(rows: DataFrame, query: str, framework: str | None = None, most: int = 3, index: str | None = None) -> DataFrame:
+    """Titles within the edit distance the name's length allows, nearest first.  levenshtein <= 2 * distance is a sound filter before the exact distance is computed.
+
+    With `index`, a folder written by name_index, the exact distance is only taken of rows whose title or slug is among the close names.
+    """
     import re
 
     name = re.sub(r"\(.*\)$", "", [x for x in query.strip().split("/") if x][-1] if "/" in query else query.strip())
     far = max_distance(name)
     kept = rows if not framework else rows.where(F.lower("framework") == framework.lower())
     kept = kept.where((F.abs(F.length("title") - len(name)) <= far) | F.col("is_primary") | F.contains(F.lower("path"), F.lit(f"/{name.lower()}")))
-    slug = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\(.*\)$", "")
+    slug = _slug()
+    if index:
+        near = fuzzy.close_names(rows.sparkSession.createDataFrame([(name,)], "name string"), "name", index).select("name")
+        names = [r["name"] for r in near.limit(_MOST_NAMES + 1).collect()]
+        if len(names) <= _MOST_NAMES:  # more are left to the scan
+            kept = kept.where(F.col("title").isin(names) | slug.isin(names))
     could = lambda c: F.levenshtein(F.lower(c), F.lit(name.lower()), 2 * far) >= 0
     kept = kept.withColumn("slug", slug).where(could(F.col("title")) | could(F.col("slug"))).dropDuplicates(["framework", "path"])
     near = kept.withColumn("distance", F.least(osa(F.col("title"), F.lit(name)), F.when(F.col("slug") != "", osa(F.col("slug"), F.lit(name))).otherwise(999)))

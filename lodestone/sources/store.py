@@ -33,6 +33,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(at)
 
 
+def touch(spark: SparkSession, path: str) -> None:
+    """An empty file that marks its folder as whole; the folder goes when the application ends."""
+    at, files = _files(spark, path)
+    files.create(at, True).close()
+    files.deleteOnExit(at.getParent())
+
+
 def readable(spark: SparkSession, path: str) -> bool:
     """Whether the files under path open as Parquet: only footers are read."""
     at, files = _files(spark, path)
