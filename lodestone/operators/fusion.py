@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+import ahocorasick
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 RRF_K = 60
 
@@ -29,15 +33,80 @@ def rule_terms(rules: DataFrame, slash_is_phrase: bool = False) -> DataFrame:
     return rows.withColumn("is_phrase", phrase).withColumn("pattern", pattern).withColumn("phrase", F.trim(clean_text(term))).withColumn("lower_term", lower)
 
 
-def expand(queries: DataFrame, rules: DataFrame, slash_is_phrase: bool = False) -> DataFrame:
-    """(qid, query, rule, symbols, frameworks) for each rule that a query meets.  The rule table is small and fixed, so it is broadcast; queries are never paired with each other."""
+def _hit() -> Column:
+    """Whether a query meets a term, from the columns of both."""
     q = F.trim("query")
     by_phrase = F.contains(F.lower(q), F.col("lower_term")) | ((F.col("phrase") != "") & F.contains(clean_text(q), F.col("phrase")))
-    hit = F.when(F.col("is_phrase"), by_phrase).otherwise(F.expr("regexp_like(trim(query), pattern)"))
-    met = queries.join(F.broadcast(rule_terms(rules, slash_is_phrase)), hit & (q != ""))
+    return F.when(F.col("is_phrase"), by_phrase).otherwise(F.expr("regexp_like(trim(query), pattern)")) & (q != "")
+
+
+def expand(queries: DataFrame, rules: DataFrame, slash_is_phrase: bool = False) -> DataFrame:
+    """(qid, query, rule, symbols, frameworks) for each rule that a query meets.  The rule table is small and fixed, so it is broadcast; queries are never paired with each other."""
+    met = queries.join(F.broadcast(rule_terms(rules, slash_is_phrase)), _hit())
     return met.select("qid", "query", "rule", "symbols", "frameworks", "place").distinct()
 
 
+def _folded(text: str) -> str:
+    """Lower case letter by letter, so that a letter's neighbours don't matter."""
+    return "".join(map(str.lower, text)).replace("ς", "σ")
+
+
+def _cleaned(text: str) -> str:
+    return re.sub("[^a-z0-9_]+", " ", _folded(text))
+
+
+def expand_all(queries: DataFrame, rules: DataFrame, slash_is_phrase: bool = False, block: int = 50_000) -> DataFrame:
+    """What `expand` finds, for many rules: one Aho-Corasick automaton over the terms reads each query once; word borders and case are then checked where a term occurs.
+
+    Rules are taken in blocks of `block` terms, so that what a task holds is bounded: a block is one pass over the queries.
+    """
+    out, held = None, []
+    asked = queries.where(F.trim("query") != "").select("qid", "query")
+    schema = T.StructType([*asked.schema.fields, T.StructField("no", T.IntegerType())])
+    terms = rule_terms(rules, slash_is_phrase).select("rule", "symbols", "frameworks", "place", "is_phrase", "pattern", "phrase", "lower_term")
+
+    def scan(part: list) -> DataFrame:
+        texts, cleans = {}, {}
+        for no, r in enumerate(part):
+            texts.setdefault(_folded(r["lower_term"]), []).append(no)
+            if r["is_phrase"] and r["phrase"]:
+                cleans.setdefault(r["phrase"], []).append(no)
+
+        def run(frames):
+            automata = []
+            for words in (texts, cleans):
+                automaton = ahocorasick.Automaton()
+                for word, numbers in words.items():
+                    if word:
+                        automaton.add_word(word, numbers)
+                automaton.make_automaton()
+                automata.append(automaton)
+            always = texts.get("", [])
+
+            def met(query: str) -> list[int]:
+                found = set(always)
+                for automaton, text in zip(automata, (_folded(query), _cleaned(query)), strict=True):
+                    if len(automaton):
+                        for _, numbers in automaton.iter(text):
+                            found.update(numbers)
+                return sorted(found)
+
+            for frame in frames:
+                frame["no"] = frame["query"].map(met)
+                yield frame.explode("no").dropna(subset=["no"])
+
+        numbered = queries.sparkSession.createDataFrame([(no, *r) for no, r in enumerate(part)], T.StructType([T.StructField("no", T.IntegerType()), *terms.schema.fields]))
+        return asked.mapInPandas(run, schema).join(numbered, "no").where(_hit()).select("qid", "query", "rule", "symbols", "frameworks", "place")
+
+    for r in terms.toLocalIterator():
+        held.append(r)
+        if len(held) == block:
+            out, held = scan(held) if out is None else out.unionByName(scan(held)), []
+    if held or out is None:
+        out = scan(held) if out is None else out.unionByName(scan(held))
+    return out.distinct()
+
+
 def mapped_symbols(expanded: DataFrame, most: int = 1 << 30) -> DataFrame:
     """(qid, mapped): the clean names of all met rules, in rule order, each once."""
     ordered = expanded.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("place", "symbols"))).alias("r"))

@@ -81,8 +81,12 @@ def test_archives_become_a_store(spark, tmp_path):
     root, to = str(tmp_path / "in"), str(tmp_path / "out")
     assert [tuple(r) for r in catalog.ingest_archives(spark, root, to, "now", dry_run=True).collect()] == [("Core", 2, 1)]
     assert not (tmp_path / "out").exists()
-    for _ in range(2):
-        catalog.ingest_archives(spark, root, to, "now")
+    catalog.ingest_archives(spark, root, to, "now")
+    assert catalog.open_catalog(spark, to)["vectors"].count() == 0
+    one = spark.createDataFrame([("a", "Core", "Gear", "class", "s", "/p", None, None, [0.5, 1.0])], catalog.VECTOR_SCHEMA)
+    one.write.mode("overwrite").parquet(f"{to}/vectors")
+    catalog.ingest_archives(spark, root, to, "now")
+    assert catalog.open_catalog(spark, to)["vectors"].collect() == one.collect()  # a later ingest leaves them alone
     stored = catalog.open_catalog(spark, to)["symbols"]
     assert {(r["title"], r["kind"], r["is_primary"]) for r in stored.collect()} == {("Gear", "class", True), ("Ring", "protocol", True)}
     assert {r["key"]: r["value"] for r in spark.read.parquet(f"{to}/meta").collect()} == {"built_at": "now", "symbol_count": "2", "frameworks": "Core"}
