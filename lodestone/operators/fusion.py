@@ -56,13 +56,13 @@ def _cleaned(text: str) -> str:
 
 
 def expand_all(queries: DataFrame, rules: DataFrame, slash_is_phrase: bool = False, block: int = 50_000) -> DataFrame:
-    """What `expand` finds, for many rules: one Aho-Corasick automaton over the terms reads each query once; word borders and case are then checked where a term occurs.
+    """(qid, rule, symbols, frameworks, place) as `expand` finds them, for many rules: one Aho-Corasick automaton over the terms reads each query once; word borders and case are then checked where a term occurs.
 
-    Rules are taken in blocks of `block` terms, so that what a task holds is bounded: a block is one pass over the queries.
+    Rules are taken in blocks of `block` terms, so that what a task holds is bounded: a block is one pass over the queries.  Only ids leave it, and texts are joined again for the check.
     """
     out, held = None, []
     asked = queries.where(F.trim("query") != "").select("qid", "query")
-    schema = T.StructType([*asked.schema.fields, T.StructField("no", T.IntegerType())])
+    schema = T.StructType([asked.schema["qid"], T.StructField("no", T.IntegerType())])
     terms = rule_terms(rules, slash_is_phrase).select("rule", "symbols", "frameworks", "place", "is_phrase", "pattern", "phrase", "lower_term")
 
     def scan(part: list) -> DataFrame:
@@ -92,11 +92,12 @@ def expand_all(queries: DataFrame, rules: DataFrame, slash_is_phrase: bool = Fal
                 return sorted(found)
 
             for frame in frames:
-                frame["no"] = frame["query"].map(met)
+                frame["no"] = frame.pop("query").map(met)
                 yield frame.explode("no").dropna(subset=["no"])
 
         numbered = queries.sparkSession.createDataFrame([(no, *r) for no, r in enumerate(part)], T.StructType([T.StructField("no", T.IntegerType()), *terms.schema.fields]))
-        return asked.mapInPandas(run, schema).join(numbered, "no").where(_hit()).select("qid", "query", "rule", "symbols", "frameworks", "place")
+        found = asked.mapInPandas(run, schema).distinct().withColumnRenamed("qid", "of").join(numbered, "no")
+        return found.join(asked, F.col("of").eqNullSafe(F.col("qid"))).where(_hit()).select("qid", "rule", "symbols", "frameworks", "place")
 
     for r in terms.toLocalIterator():
         held.append(r)

@@ -132,15 +132,14 @@ def v05_cells(spark, d):
     return found.select("qid", F.col("id").alias("vec_id"), F.round("sim", 5).alias("sim"), F.col("place").cast("long").alias("place"))
 
 
-@query("x01_expand_all", r"""WITH rules AS (SELECT doc_id, regexp_extract(text, '^[^ \n]+ [^ \n]+', 0) AS term FROM documents), r AS (SELECT doc_id, term, trim(regexp_replace(lower(term), '[^a-z0-9_]+', ' ', 'g')) AS phrase FROM rules WHERE term <> ''),
+@query("x01_expand_all", r"""WITH rules AS (SELECT item_id, regexp_extract(text, '^[^ \n]+ [^ \n]+', 0) AS term FROM benchmark), r AS (SELECT item_id, term, trim(regexp_replace(lower(term), '[^a-z0-9_]+', ' ', 'g')) AS phrase FROM rules WHERE term <> ''),
   q AS (SELECT lower(trim(text, ' ')) AS low, regexp_replace(lower(trim(text, ' ')), '[^a-z0-9_]+', ' ', 'g') AS clean FROM documents WHERE trim(text, ' ') <> '')
-  SELECT r.doc_id AS rule, count(*) AS n FROM r JOIN q ON contains(low, lower(term)) OR (phrase <> '' AND contains(clean, phrase)) GROUP BY r.doc_id""")
+  SELECT r.item_id AS rule, count(*) AS n FROM r JOIN q ON contains(low, lower(term)) OR (phrase <> '' AND contains(clean, phrase)) GROUP BY r.item_id""")
 def x01_all(spark, d):
-    """How many documents hold the first two words of each document: as many rules as documents, in one pass over their texts."""
-    rows = documents(spark, d)
+    """How many documents hold the first two words of each benchmark item, in one pass over their texts."""
     term = F.regexp_extract("text", r"^[^ \n]+ [^ \n]+", 0)
-    rules = rows.select("doc_id", term.alias("term")).where("term <> ''").select(
-        F.col("doc_id").alias("rule"), F.array("term").alias("terms"), F.lit(False).alias("case_sensitive"), F.array().cast("array<string>").alias("symbols"), F.array().cast("array<string>").alias("frameworks"), F.lit(0).alias("place")
-    )
-    met = fusion.expand_all(rows.select(F.col("doc_id").alias("qid"), F.col("text").alias("query")), rules)
+    none = F.array().cast("array<string>")
+    rules = table(spark, d, "benchmark").select("item_id", term.alias("term")).where("term <> ''")
+    rules = rules.select(F.col("item_id").alias("rule"), F.array("term").alias("terms"), F.lit(False).alias("case_sensitive"), none.alias("symbols"), none.alias("frameworks"), F.lit(0).alias("place"))
+    met = fusion.expand_all(documents(spark, d).select(F.col("doc_id").alias("qid"), F.col("text").alias("query")), rules)
     return met.groupBy("rule").agg(F.count("*").alias("n"))

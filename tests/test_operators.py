@@ -211,10 +211,11 @@ def test_embedder_checks_width(spark):
 def test_expansion_by_automaton_equals_the_nested_loop(spark):
     schema = "place int, rule string, terms array<string>, case_sensitive boolean, symbols array<string>, frameworks array<string>"
     rules = [(0, "a", ["nav stack", "Nav: bar", "x/y"], False, ["@N"], []), (1, "b", ["Gear"], True, ["G"], ["F"]), (2, "c", ["gear", "c++", "ΟΔΟΣ"], False, ["g"], []), (3, "d", ["", "été", "in"], False, [], []), (4, "e", ["_x", "Straße", "a.b"], None, [], [])]
-    queries = [(1, "Use a NAV-STACK with gear"), (2, "Gears and GEAR"), (3, "Gear"), (4, "c++ or in_x"), (5, "  "), (6, None), (7, "nav: bar x/y"), (8, "ἡ οδος έ ΟΔΟΣ Été"), (9, "straße a.b a_b STRASSE"), (10, "inside"), (11, "win, in")]
+    queries = [(1, "Use a NAV-STACK with gear"), (2, "Gears and GEAR"), (3, "Gear"), (4, "c++ or in_x"), (5, "  "), (6, None), (7, "nav: bar x/y"), (8, "ἡ οδος έ ΟΔΟΣ Été"), (9, "straße a.b a_b STRASSE"), (10, "inside"), (11, "win, in"), (11, "gear"), (None, "gear"), (12, "in " * 50_000)]
     queries, rules = spark.createDataFrame(queries, "qid long, query string"), spark.createDataFrame(rules, schema)
     for slash in (False, True):
-        want = sorted(map(repr, fusion.expand(queries, rules, slash).collect()))
-        assert sorted(map(repr, fusion.expand_all(queries, rules, slash).select("qid", "query", "rule", "symbols", "frameworks", "place").collect())) == want
-        assert sorted(map(repr, fusion.expand_all(queries, rules, slash, block=3).select("qid", "query", "rule", "symbols", "frameworks", "place").collect())) == want
+        shown = ["qid", "rule", "symbols", "frameworks", "place"]
+        want = sorted(map(repr, fusion.expand(queries, rules, slash).select(*shown).distinct().collect()))
+        assert sorted(map(repr, fusion.expand_all(queries, rules, slash).select(*shown).collect())) == want
+        assert sorted(map(repr, fusion.expand_all(queries, rules, slash, block=3).select(*shown).collect())) == want
     assert fusion.expand_all(queries, rules.limit(0)).count() == 0
