@@ -12,13 +12,16 @@ from lodestone.plans.bindings import SYMBOLS, symbols, table, with_symbols
 from lodestone.plans.registry import query
 
 
-@query("i01_upsert", """WITH r AS (SELECT l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_returnflag = 'N' THEN 'symbol' ELSE l_returnflag END AS kind, l_returnflag = 'R' AS is_primary,
+UPSERT = """WITH r AS (SELECT l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_returnflag = 'N' THEN 'symbol' ELSE l_returnflag END AS kind, l_returnflag = 'R' AS is_primary,
     CASE WHEN l_linestatus = 'O' THEN '' ELSE l_linestatus || l_suppkey END AS abstract, l_partkey AS title, row_number() OVER (ORDER BY l_shipdate, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax) AS seq FROM lineitem)
   SELECT id, coalesce(arg_max(kind, seq) FILTER (kind <> 'symbol'), arg_max(kind, seq)) AS kind, coalesce(arg_max(is_primary, seq) FILTER (kind <> 'symbol'), arg_max(is_primary, seq)) AS is_primary,
-    coalesce(arg_max(abstract, seq) FILTER (abstract <> ''), arg_max(abstract, seq)) AS abstract, arg_max(title, seq) AS title FROM r GROUP BY id""")
-def i01(spark, d):
+    coalesce(arg_max(abstract, seq) FILTER (abstract <> ''), arg_max(abstract, seq)) AS abstract, arg_max(title, seq) AS title FROM r GROUP BY id"""
+
+
+def line_items(spark, d):
+    """lineitem as rows to upsert, `at` their order."""
     flag = F.col("l_returnflag")
-    rows = table(spark, d, "lineitem").select(
+    return table(spark, d, "lineitem").select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
         F.when(flag == "N", "symbol").otherwise(flag).alias("kind"),
         (flag == "R").alias("is_primary"),
@@ -26,7 +29,11 @@ def i01(spark, d):
         F.col("l_partkey").alias("title"),
         F.struct("l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax").alias("at"),
     )
-    return ingest.upsert(rows, "id", ["at"]).select("id", "kind", "is_primary", "abstract", "title")
+
+
+@query("i01_upsert", UPSERT)
+def i01(spark, d):
+    return ingest.upsert(line_items(spark, d), "id", ["at"]).select("id", "kind", "is_primary", "abstract", "title")
 
 
 @query("i02_page_refs", r"""SELECT page_id, i AS place, regexp_extract(m, 'href="([^"]*)"', 1) AS href FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="[^"]*">')) AS m, generate_subscripts(regexp_extract_all(html, '<a href="[^"]*">'), 1) - 1 AS i FROM pages)""")

@@ -25,4 +25,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Imports every module that registers queries."""
-    from lodestone.plans import console_queries, facade_queries, health_queries, index_queries, ingest_queries, search_queries, vector_queries  # noqa: F401
+    from lodestone.plans import console_queries, facade_queries, health_queries, index_queries, ingest_queries, search_queries, stream_queries, vector_queries  # noqa: F401

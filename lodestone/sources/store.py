@@ -33,6 +33,17 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(at)
 
 
+def names(spark: SparkSession, path: str) -> list[str]:
+    """What lies in a folder; nothing if there is none."""
+    at, files = _files(spark, path)
+    return [f.getPath().getName() for f in files.listStatus(at)] if files.exists(at) else []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at, files = _files(spark, path)
+    files.delete(at, True)
+
+
 def touch(spark: SparkSession, path: str) -> None:
     """An empty file that marks its folder as whole; the folder goes when the application ends."""
     at, files = _files(spark, path)

@@ -1,42 +1,18 @@
-"""Structured Streaming forms: incremental upsert, incremental postings, and redacted log fan-out with a ring buffer.
+"""Structured Streaming forms: incremental postings, sessions, and redacted log fan-out with a ring buffer.  The incremental upsert is in lodestone.streaming.merge.
 
-An extension: the batch operators are the same; each micro-batch is folded into a table of versions, so a batch that runs twice writes the same version.
+An extension: the batch operators are the same, and a batch that runs twice writes the same files.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lodestone.functions import logs
 from lodestone.functions import text as T
-from lodestone.operators import ingest
-
-
-def _latest(spark: SparkSession, path: str, before: int) -> DataFrame | None:
-    """The newest version below `before`."""
-    try:
-        versions = [r["version"] for r in spark.read.parquet(path).where(F.col("version") < before).select("version").distinct().collect()]  # few numbers
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-            return None
-        raise
-    return spark.read.parquet(path).where(F.col("version") == max(versions)).drop("version") if versions else None
-
-
-def upsert_stream(source: DataFrame, key: str, order: list[str], path: str, checkpoint: str) -> StreamingQuery:
-    """Folds each micro-batch into the table under path by the rules of ingest.upsert.  Old rows arrive before new ones."""
-
-    def fold(batch: DataFrame, number: int) -> None:
-        old = _latest(batch.sparkSession, path, number)
-        every = batch.withColumn("__new", F.lit(1)) if old is None else old.withColumn("__new", F.lit(0)).unionByName(batch.withColumn("__new", F.lit(1)))
-        merged = ingest.upsert(every, key, ["__new", *order]).drop("__new")
-        merged.withColumn("version", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version").parquet(path)
-
-    return source.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def postings_stream(source: DataFrame, key: str, columns: list[str], path: str, checkpoint: str) -> StreamingQuery:

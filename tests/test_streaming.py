@@ -1,25 +1,8 @@
 import json
 
-from pyspark.sql import functions as F
-
-from lodestone.operators import ingest
 from lodestone.streaming import jobs
 
 
-def test_upsert_stream_equals_batch(spark, tmp_path):
-    rows = [(1, 1, "struct", "old"), (1, 2, "unknown", ""), (2, 1, "symbol", None), (2, 3, "class", "x"), (1, 4, "symbol", "new")]
-    schema = "id int, seq int, kind string, abstract string"
-    for i, part in enumerate((rows[:2], rows[2:4], rows[4:])):
-        spark.createDataFrame(part, schema).coalesce(1).write.json(str(tmp_path / "in" / f"{i}"))
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).json(str(tmp_path / "in"))
-    jobs.upsert_stream(source, "id", ["seq"], str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
-    done = spark.read.parquet(str(tmp_path / "out"))
-    last = done.agg(F.max("version")).first()[0]
-    got = {(r["id"], r["kind"], r["abstract"]) for r in done.where(F.col("version") == last).collect()}
-    want = {(r["id"], r["kind"], r["abstract"]) for r in ingest.upsert(spark.createDataFrame(rows, schema), "id", ["seq"]).collect()}
-    assert got == want == {(1, "struct", "new"), (2, "class", "x")}
-
-
 def test_postings_and_fan_out(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.json").write_text("\n".join(json.dumps(r) for r in [{"ts": "1", "level": "error", "message": "token=abc now"}, {"ts": "2", "level": "debug", "message": "quiet"}]))
