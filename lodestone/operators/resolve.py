@@ -4,14 +4,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from difflib import SequenceMatcher
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import glob_pattern, osa
-from lodestone.operators import fuzzy
+from lodestone.operators import fuzzy, likeness
 
 _MOST_NAMES = 8192
 
@@ -126,22 +124,10 @@ def candidate_paths(framework: Column, path: Column) -> Column:
     return F.when(own == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(F.when(inside, F.array().cast("array<string>")).otherwise(more), plain)))
 
 
-def close_titles(rows: DataFrame, name: str, most: int = 4, least: float = 0.65) -> DataFrame:
-    """Primary rows whose title is much like the name: longest common blocks, twice their length over the length of both."""
-
-    @F.pandas_udf("double")
-    def ratio(titles: pd.Series) -> pd.Series:
-        matcher = SequenceMatcher()
-        matcher.set_seq2(name)
-
-        def one(title: str) -> float:
-            matcher.set_seq1(title)
-            return matcher.ratio() if matcher.real_quick_ratio() >= least and matcher.quick_ratio() >= least else 0.0
-
-        return titles.fillna("").map(one)
-
-    best = rows.where("is_primary").groupBy("title").agg(F.min("id").alias("id")).withColumn("ratio", ratio("title")).where(F.col("ratio") >= least)
-    return best.orderBy(F.col("ratio").desc(), "title").limit(most)
+def close_titles(rows: DataFrame, queries: DataFrame, most: int = 4, least: float = 0.65) -> DataFrame:
+    """(query, title, id, ratio, place) for the column `query` of queries: the primary titles most like each, with the smallest id of a title."""
+    titles = rows.where("is_primary").groupBy(F.col("title").alias("name")).agg(F.min("id").alias("id"))
+    return likeness.closest(queries, titles, most, least).join(titles, "name").withColumnRenamed("name", "title")
 
 
 def disambiguate(rows: DataFrame, query: str, framework: str | None = None, suggest: Callable[[str], DataFrame] | None = None) -> DataFrame:
@@ -184,4 +170,4 @@ def disambiguate(rows: DataFrame, query: str, framework: str | None = None, sugg
         found = suggest(raw.lstrip("@")).limit(5)
         if not found.isEmpty():
             return told(found, "not_found", "search")
-    return told(close_titles(within, raw.lstrip("@")).select("id").join(rows, "id"), "not_found", "fuzzy")
+    return told(close_titles(within, rows.sparkSession.createDataFrame([(raw.lstrip("@"),)], "query string")).select("id").join(rows, "id"), "not_found", "fuzzy")

@@ -115,6 +115,24 @@ def r03_titles(spark, d):
     return fuzzy.close_names(typos, "query", symbol_names(spark, d)).select("query", "name", F.col("distance").cast("long").alias("distance"))
 
 
+# The longest common block, of those the first in the title and then in the query; then the same before and behind it.
+_BLOCKS = """WITH RECURSIVE t AS (SELECT p_name AS title, min(p_partkey) AS id FROM part WHERE p_type IN ('ECONOMY', 'PROMO') GROUP BY p_name), q AS (SELECT DISTINCT substr(p_name, 2, 1) || substr(p_name, 1, 1) || substr(p_name, 3) || 'x' AS query FROM part),
+  pieces AS (SELECT query, title, id, title AS a, query AS b, 0 AS common FROM q, t
+    UNION ALL SELECT query, title, id, CASE WHEN side = 0 THEN substr(a, 1, best.i - 1) ELSE substr(a, best.i + best.l) END, CASE WHEN side = 0 THEN substr(b, 1, best.j - 1) ELSE substr(b, best.j + best.l) END, CASE WHEN side = 0 THEN best.l ELSE 0 END
+    FROM (SELECT *, list_sort(list_filter(flatten(list_transform(range(1, length(a) + 1), lambda i: list_transform(range(1, length(a) - i + 2), lambda l: {'l': l, 'n': -i, 'i': i, 'j': strpos(b, substr(a, i, l))}))), lambda m: m.j > 0), 'DESC')[1] AS best FROM pieces WHERE a <> '' AND b <> ''), (VALUES (0), (1)) s(side)
+    WHERE best IS NOT NULL),
+  ratios AS (SELECT query, title, id, 2.0::DOUBLE * sum(common) / (length(query) + length(title)) AS ratio FROM pieces GROUP BY query, title, id)
+"""
+
+
+@query("r02_close_titles", _BLOCKS + " SELECT query, title, id, round(ratio, 6) AS ratio, place FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY ratio DESC, title) AS place FROM ratios WHERE ratio >= 0.65) WHERE place <= 4")
+def r02_close(spark, d):
+    """Every title with its first letters swapped and a letter added, against all primary titles."""
+    rest = F.concat(F.substring("title", 2, 1), F.substring("title", 1, 1), F.substring("title", 3, 1 << 30), F.lit("x"))
+    found = resolve.close_titles(symbols(spark, d), symbols(spark, d).select(rest.alias("query")))
+    return found.select("query", "title", "id", F.round("ratio", 6).alias("ratio"), F.col("place").cast("long").alias("place"))
+
+
 @query("r03_fuzzy_index", with_symbols(""" SELECT title, framework, distance FROM (
   SELECT title, framework, path, is_primary, damerau_levenshtein(lower(title), 'smal rign') AS distance FROM (SELECT DISTINCT ON (framework, path) * FROM sym ORDER BY framework, path, id) WHERE abs(length(title) - 9) <= 3 OR is_primary OR contains(path, '/smal rign'))
   WHERE distance <= 3 ORDER BY distance, is_primary DESC, length(title), title, framework, path LIMIT 3"""))
