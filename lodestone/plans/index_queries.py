@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import cells, filters, fulltext, fusion, fuzzy, grams, resolve
+from lodestone.operators import cells, complete, filters, fulltext, fusion, fuzzy, grams, resolve
 from lodestone.operators.segments import SegmentedIndex
 from lodestone.plans.bindings import bm25_sql, documents, symbols, table, with_symbols
 from lodestone.plans.registry import query
@@ -161,3 +161,33 @@ def x01_all(spark, d):
     rules = rules.select(F.col("item_id").alias("rule"), F.array("term").alias("terms"), F.lit(False).alias("case_sensitive"), none.alias("symbols"), none.alias("frameworks"), F.lit(0).alias("place"))
     met = fusion.expand_all(documents(spark, d).select(F.col("doc_id").alias("qid"), F.col("text").alias("query")), rules)
     return met.groupBy("rule").agg(F.count("*").alias("n"))
+
+
+def symbol_completions(spark, d) -> str:
+    return fulltext.built_once(spark, "completions of symbols", f"{d}/part.parquet", lambda path: complete.build_completions(symbols(spark, d), "title", "id", "is_primary", f"{path}/c")) + "/c"
+
+
+_LABELS = """, l AS (SELECT title AS label, bool_or(is_primary) AS is_primary, coalesce(min(id) FILTER (is_primary), min(id)) AS id FROM sym GROUP BY title),
+  w AS (SELECT *, list_filter(string_split(lower(label), ' '), lambda x: x <> '') AS words FROM l), s AS (SELECT DISTINCT label, is_primary, id, array_to_string(words[i:], ' ') AS start FROM w, unnest(range(1, len(words) + 1)) t(i))"""
+
+
+@query("f17_prefixes", with_symbols(_LABELS + """, p AS (SELECT DISTINCT label, is_primary, id, substr(start, 1, n) AS prefix FROM s, range(1, 7) t(n) WHERE n <= length(start))
+  SELECT prefix, place, label, id FROM (SELECT *, row_number() OVER (PARTITION BY prefix ORDER BY is_primary DESC, length(label), label) AS place FROM p) WHERE place <= 8"""))
+def f17_prefixes(spark, d):
+    """The completions of every prefix of up to six letters."""
+    return complete.stored_prefixes(spark, symbol_completions(spark, d)).withColumn("place", F.col("place").cast("long"))
+
+
+@query("f17_complete", with_symbols(_LABELS + """, r AS (SELECT 'rule' AS source, r_name AS label, NULL::BIGINT AS id, row_number() OVER (ORDER BY r_regionkey) - 3 AS o FROM region WHERE contains(lower(r_name), 'r') QUALIFY o <= 0),
+  b AS (SELECT 'title' AS source, label, id, row_number() OVER (ORDER BY is_primary DESC, length(label), label) AS o FROM (SELECT DISTINCT label, is_primary, id FROM s WHERE starts_with(start, 'r')) QUALIFY o <= 8)
+  SELECT source, label, id, row_number() OVER (ORDER BY o) AS place FROM (SELECT * FROM r UNION ALL SELECT * FROM b) QUALIFY place <= 8"""))
+def f17_complete(spark, d):
+    """Completions of one letter, region names in the place of rules."""
+    rules = table(spark, d, "region").select(F.col("r_regionkey").alias("place"), F.col("r_name").alias("label"))
+    return complete.complete(spark, symbol_completions(spark, d), "R", first=rules).withColumn("place", F.col("place").cast("long"))
+
+
+@query("f17_complete_long", with_symbols(_LABELS + """ SELECT 'title' AS source, label, id, row_number() OVER (ORDER BY is_primary DESC, length(label), label) AS place FROM (SELECT DISTINCT label, is_primary, id FROM s WHERE starts_with(start, 'small ri')) QUALIFY place <= 8"""))
+def f17_long(spark, d):
+    """Completions of more letters than prefixes are stored for."""
+    return complete.complete(spark, symbol_completions(spark, d), "Small  ri").withColumn("place", F.col("place").cast("long"))
