@@ -12,7 +12,7 @@ from lodestone.plans.bindings import table
 from lodestone.plans.ingest_queries import UPSERT, line_items
 from lodestone.plans.registry import query
 from lodestone.sources.catalog import ensure_checkpoint_dir
-from lodestone.streaming import merge
+from lodestone.streaming import merge, ring
 
 
 def dealt(rows: DataFrame, by: str, key: str, path: str, waves: int = 4) -> DataFrame:
@@ -42,3 +42,13 @@ def i01_stream(spark, d):
     source = dealt(line_items(spark, d).withColumn("day", F.col("at.l_shipdate")), "day", "id", f"{path}/in").drop("day")
     merge.merge_stream(source, "id", ["at"], f"{path}/table", f"{path}/checkpoint").awaitTermination()
     return merge.read_table(spark, f"{path}/table").select("id", "kind", "is_primary", "abstract", "title")
+
+
+@query("w06_ring_stream", "SELECT event_id, user_id, place FROM (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM events) WHERE place <= 5")
+def w06_stream(spark, d):
+    """The newest events of each user, from a stream that brings them in order of their ids' hashes, so out of the order of time."""
+    path = _folder(spark)
+    rows = table(spark, d, "events").select("event_id", "user_id", "ts").withColumn("turn", F.xxhash64("event_id"))
+    source = dealt(rows, "turn", "user_id", f"{path}/in").drop("turn")
+    ring.ring_stream(source, "user_id", "ts", "event_id", f"{path}/table", f"{path}/checkpoint").awaitTermination()
+    return ring.read_rings(spark, f"{path}/table").select("event_id", "user_id", F.col("place").cast("long").alias("place"))

@@ -47,9 +47,9 @@ def fan_out(events: DataFrame, sinks: dict[str, Callable[[DataFrame, int], None]
     return redacted(events, least_level).writeStream.foreachBatch(send).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def ring_buffer(rows: DataFrame, order: str, capacity: int = 100) -> DataFrame:
-    """The newest rows, at most 10,000: a top-k, so no task sees more than that."""
-    return rows.orderBy(F.col(order).desc()).limit(max(1, min(10_000, capacity)))
+def ring_buffer(rows: DataFrame, order: str, capacity: int = 100, key: str | None = None) -> DataFrame:
+    """The newest rows, at most 10,000: a top-k, so no task sees more than that.  Of rows of one time the greater key is the newer, if a key is named."""
+    return rows.orderBy(F.col(order).desc(), *([F.col(key).desc()] if key else [])).limit(max(1, min(10_000, capacity)))
 
 
 def session_counts(events: DataFrame, gap: str = "30 minutes", lateness: str = "1 hour") -> DataFrame:

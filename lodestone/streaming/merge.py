@@ -50,8 +50,8 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return rows.drop(BUCKET)
 
 
-def merge_batch(batch: DataFrame, number: int, path: str, key: str, order: list[str], buckets: int = 64) -> list[int]:
-    """Folds a batch into the table by the rules of ingest.upsert, old rows before new ones, and returns the buckets it rewrote.
+def merge_batch(batch: DataFrame, number: int, path: str, key: str, order: list[str], buckets: int = 64, **rules) -> list[int]:
+    """Folds a batch into the table by ingest.upsert (`rules` are its further parameters), old rows before new ones, and returns the buckets it rewrote.
 
     A null key is a key like others.  An empty batch writes nothing, a repeated one nothing either.  The number of buckets is the table's for good.
     """
@@ -71,7 +71,7 @@ def merge_batch(batch: DataFrame, number: int, path: str, key: str, order: list[
         return []
     old = _rows(spark, path, {b: before[b] for b in touched if b in before})
     every = fresh if old is None else old.withColumn("merge_new", F.lit(0)).unionByName(fresh)
-    merged = ingest.upsert(every, key, ["merge_new", *order]).drop("merge_new")
+    merged = ingest.upsert(every, key, ["merge_new", *order], **rules).drop("merge_new")
     # Keys are folded where they are first, so this shuffle moves one row a key; a bucket is a file.
     merged.repartition(BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(f"{path}/rows/{VERSION}={number}")
     after = before | {b: number for b in touched}
