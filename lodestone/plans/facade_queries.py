@@ -183,9 +183,9 @@ def g08(spark, d):
     return jobs.redacted(_log_rows(spark, d), "warn").select("event_id", "message")
 
 
-@query("w06_ring_buffer_global", "SELECT event_id FROM events ORDER BY ts DESC LIMIT 100")
+@query("w06_ring_buffer_global", "SELECT event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 100")
 def w06_global(spark, d):
-    return jobs.ring_buffer(_log_rows(spark, d), "ts").select("event_id")
+    return jobs.ring_buffer(_log_rows(spark, d), "ts", key="event_id").select("event_id")
 
 
 @query("c18_json_lines", "SELECT event_id, length('{\"ts\":\"' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || '\",\"level\":\"' || event_type || '\",\"message\":\"m\",\"fields\":{\"k\":1}}') AS n FROM events")

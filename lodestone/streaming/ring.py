@@ -1,7 +1,7 @@
 """The newest rows of each key of a stream, kept in state: a list of at most `capacity` rows and one timer a key.
 
 Batches may bring rows late, again, or in any order: a row enters the list if the list is not full or the row is newer than its oldest one, and a row that is there does not enter
-again.  A row that left the list is older than all that stay, so it can't come back.  So after any batches the list holds the newest distinct rows seen.
+again.  Rows of one time and identity are one row.  A row that left the list is older than all that stay, so it can't come back.  So after any batches the list holds the newest distinct rows seen.
 
 With `idle_ms`, a key that saw no row for so long is forgotten: its state goes, and it starts anew with its next row.  Without it nothing is forgotten.
 """
@@ -10,11 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import IntegerType, StructField, StructType, TimestampType
 
 from lodestone.streaming import merge
 
@@ -35,27 +34,28 @@ class Ring(StatefulProcessor):
     def _age(self, row: tuple) -> tuple:
         return row[self.columns.names.index(self.at)], row[self.columns.names.index(self.ident)]
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802
         had = [tuple(r) for r in self.ring.get()] if self.ring.exists() else []
         kept = {self._age(r): r for r in had}
-        for frame in rows:  # a hot key comes in parts; no more than the ring and one part are held
-            frame = frame[self.columns.names].drop_duplicates([self.at, self.ident]).nlargest(self.capacity, [self.at, self.ident])
-            for row in frame.itertuples(index=False, name=None):
-                row = tuple(v.to_pydatetime() if isinstance(v, pd.Timestamp) else v for v in row)
-                kept.setdefault(self._age(row), row)
-            kept = dict(sorted(kept.items(), reverse=True)[: self.capacity])
+        for found in rows:  # one after the other, so a hot key holds no more than its ring
+            row = tuple(found[c] for c in self.columns.names)
+            age = self._age(row)
+            if age in kept or (len(kept) == self.capacity and age < min(kept)):
+                continue
+            kept[age] = row
+            if len(kept) > self.capacity:
+                del kept[min(kept)]
         if self.idle_ms is not None:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
-        now = list(kept.values())
+        now = [kept[age] for age in sorted(kept, reverse=True)]
         if now != had:
             self.ring.put(now)
-            out = pd.DataFrame(now, columns=self.columns.names)
-            out.insert(0, "place", range(1, len(now) + 1))
-            yield out
+            for place, row in enumerate(now, 1):
+                yield Row(place=place, **dict(zip(self.columns.names, row, strict=True)))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802
         self.ring.clear()
         return iter(())
 
@@ -71,8 +71,12 @@ def newest(source: DataFrame, key: str, at: str, ident: str, capacity: int = 5,
     if capacity < 1:
         raise ValueError("a ring holds at least one row")
     rows = source.where(F.col(key).isNotNull() & F.col(at).isNotNull() & F.col(ident).isNotNull())
-    schema = StructType([StructField("place", rows.select(F.lit(1)).schema[0].dataType), *source.schema.fields])
-    return rows.groupBy(key).transformWithStateInPandas(Ring(source.schema, key, at, ident, capacity, idle_ms), schema, "Update", "None" if idle_ms is None else "ProcessingTime")
+    # Times go through Python as microseconds: as datetimes they would come back from state without their zone.
+    stamps = [f.name for f in source.schema if isinstance(f.dataType, TimestampType)]
+    plain = rows.withColumns({c: F.unix_micros(c) for c in stamps})
+    schema = StructType([StructField("place", IntegerType()), *plain.schema.fields])
+    kept = plain.groupBy(key).transformWithState(Ring(plain.schema, key, at, ident, capacity, idle_ms), schema, "Update", "None" if idle_ms is None else "ProcessingTime")
+    return kept.withColumns({c: F.timestamp_micros(c) for c in stamps})
 
 
 def ring_stream(source: DataFrame, key: str, at: str, ident: str, path: str, checkpoint: str, capacity: int = 5, idle_ms: int | None = None, buckets: int = 64) -> StreamingQuery:

@@ -7,24 +7,24 @@ import pytest
 
 from lodestone.streaming import jobs, merge, ring
 
-SCHEMA = "id int, user string, ts timestamp, note string"
+SCHEMA = "id int, user string, ts timestamp, note string, size long, seen timestamp"
 
 
 def test_late_repeated_and_shuffled_batches(spark, tmp_path):
     rng = random.Random(31)
     stamps = [f"2024-01-01 00:{m:02d}:00" for m in range(20)]
-    rows = [(i, rng.choice(["a", "b", "c", None, "hot", "hot", "hot"]), rng.choice([*stamps, None]), rng.choice(["", None, "x"])) for i in range(300)]
+    rows = [(i, rng.choice(["a", "b", "c", None, "hot", "hot", "hot"]), rng.choice([*stamps, None]), rng.choice(["", None, "x"]), rng.choice([None, 2**60 + 1]), rng.choice([None, stamps[3]])) for i in range(300)]
     rng.shuffle(rows)
     parts = [rows[:120], rows[60:130], rows[100:299], rows[299:], rows[:10]]
     for i, part in enumerate(parts):
-        spark.createDataFrame(part, "id int, user string, ts string, note string").coalesce(1).write.json(f"{tmp_path}/in/{i}")
+        spark.createDataFrame(part, "id int, user string, ts string, note string, size long, seen string").coalesce(1).write.json(f"{tmp_path}/in/{i}")
     source = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).json(f"{tmp_path}/in")
     ring.ring_stream(source, "user", "ts", "id", f"{tmp_path}/t", f"{tmp_path}/c", 4, buckets=2).awaitTermination(200)
-    got = {(r["user"], r["place"]): (r["id"], r["note"]) for r in ring.read_rings(spark, f"{tmp_path}/t").collect()}
+    got = {(r["user"], r["place"]): (r["id"], r["note"], r["size"], r["seen"] and str(r["seen"])) for r in ring.read_rings(spark, f"{tmp_path}/t").collect()}
     want = {}
     for user in ("a", "b", "c", "hot"):
-        mine = sorted(((ts, i, note) for i, u, ts, note in rows if u == user and ts), reverse=True)[:4]
-        want |= {(user, n + 1): (i, note) for n, (_, i, note) in enumerate(mine)}
+        mine = sorted(((r[2], r[0], r) for r in rows if r[1] == user and r[2]), reverse=True)[:4]
+        want |= {(user, n + 1): (r[0], *r[3:]) for n, (_, _, r) in enumerate(mine)}
     assert got == want
 
 
