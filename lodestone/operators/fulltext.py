@@ -16,8 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.operators import inverted
 from lodestone.sources import store
-from lodestone.sources.catalog import ensure_checkpoint_dir
+from lodestone.sources.catalog import bounded_batches, ensure_checkpoint_dir
 
 K1, B, FLOOR = 1.2, 0.75, 1e-6
 
@@ -135,13 +136,22 @@ def boosted(found: DataFrame, title: str, query: str, mapped: Sequence[str] = ()
 
 
 def build_index(rows: DataFrame, key: str, columns: Sequence[str], path: str) -> None:
-    """Under path: postings (term, col, doc, pos) in order of term, those of a common term in several files; lengths (doc, dl); totals (rows_all, mean)."""
-    per = [rows.select(F.col(key).alias("doc"), F.lit(c).alias("col"), F.posexplode(T.tokens(F.col(c))).alias("pos", "term")) for c in columns]
-    postings = per[0]
-    for more in per[1:]:
-        postings = postings.unionByName(more)
-    postings.select("term", "col", "doc", "pos").repartitionByRange("term", "doc").sortWithinPartitions("term", "doc", "col", "pos").write.mode("overwrite").parquet(f"{path}/postings")
-    rows.select(F.col(key).alias("doc"), sum((F.size(T.tokens(F.col(c))) for c in columns), F.lit(0)).alias("dl")).write.mode("overwrite").parquet(f"{path}/lengths")
+    """Under path: postings (term, col, docs, counts, places) in order of term, those of a common term in several files; lengths (doc, dl); totals (rows_all, mean).
+
+    Texts are read once, and batches of them turned round where they are; what is sorted are rows of a term and batch, not of a token.
+    """
+    bounded_batches(rows.sparkSession)
+    kind = rows.schema[key].dataType.simpleString()
+    lists = rows.select(F.col(key).alias("doc"), *(T.tokens(F.col(c)).alias(f"t{i}") for i, c in enumerate(columns)))
+    turned = lists.mapInArrow(inverted.by_id(columns), f"term string, col string, docs array<{kind}>, counts array<int>, places array<int>")
+    turned.withColumn("turn", F.monotonically_increasing_id()).write.mode("overwrite").parquet(f"{path}/turned")
+    turned = rows.sparkSession.read.parquet(f"{path}/turned")
+    order = ("term", "col", "turn")
+    postings = turned.where("term IS NOT NULL").repartitionByRange("term", "turn").sortWithinPartitions(*order).drop("turn")
+    postings.write.mode("overwrite").option("parquet.page.row.count.limit", 256).option("parquet.page.size.row.check.min", 16).parquet(f"{path}/postings")
+    lengths = turned.where("term IS NULL").select(F.inline(F.arrays_zip(F.col("docs").alias("doc"), F.col("counts").alias("dl"))).alias("doc", "dl"))
+    lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+    store.delete(rows.sparkSession, f"{path}/turned")
     lengths = rows.sparkSession.read.parquet(f"{path}/lengths")
     lengths.agg(F.count("*").alias("rows_all"), F.avg("dl").alias("mean")).write.mode("overwrite").parquet(f"{path}/totals")
 
@@ -165,8 +175,8 @@ def _matches(term: Column, word: str, prefix: bool) -> Column:
     return term.startswith(word) if prefix else term == word
 
 
-def occurrences(postings: DataFrame, phrases: Sequence[Phrase], weights: Mapping[str, float]) -> DataFrame:
-    """(doc, i, f): weighted occurrences of each phrase in each row that has it.  Single words and prefixes share one scan with their filters pushed; longer phrases join on places."""
+def occurrences(postings: DataFrame, phrases: Sequence[Phrase], weights: Mapping[str, float], by: Sequence[str] = ()) -> DataFrame:
+    """(*by, doc, i, f): weighted occurrences of each phrase in each row that has it.  Single words and prefixes share one scan with their filters pushed and read no places; longer phrases join on places."""
     weight = F.element_at(F.create_map(*[F.lit(x) for pair in weights.items() for x in (pair[0], float(pair[1]))]), F.col("col"))
     postings = postings.where(F.col("col").isin(*weights))
     found = []
@@ -176,18 +186,25 @@ def occurrences(postings: DataFrame, phrases: Sequence[Phrase], weights: Mapping
         for test in single.values():
             wanted = wanted | test
         which = F.explode(F.array_compact(F.array(*(F.when(test, i) for i, test in single.items()))))
-        found.append(postings.where(wanted).select("doc", which.alias("i"), weight.alias("w")))
+        rows = postings.where(wanted).select(*by, "docs", "counts", which.alias("i"), weight.alias("w"))
+        rows = rows.select(*by, "i", "w", F.inline(F.arrays_zip("docs", "counts")).alias("doc", "n"))
+        found.append(rows.select(*by, "doc", "i", (F.col("n") * F.col("w")).alias("w")))
+    each = F.flatten(F.zip_with("docs", "counts", lambda doc, n: F.array_repeat(doc, n)))
     for i, p in enumerate(phrases):
         if len(p.words) > 1:
-            word = lambda j, p=p: postings.where(_matches(F.col("term"), p.words[j], p.prefix and j + 1 == len(p.words))).select("doc", "col", (F.col("pos") - j).alias("pos"))
+            word = lambda j, p=p: (
+                postings.where(_matches(F.col("term"), p.words[j], p.prefix and j + 1 == len(p.words)))
+                .select(*by, "col", F.inline(F.arrays_zip(each.alias("doc"), F.col("places").alias("pos"))).alias("doc", "pos"))
+                .withColumn("pos", F.col("pos") - j)
+            )
             places = word(0)
             for j in range(1, len(p.words)):
-                places = places.join(word(j), ["doc", "col", "pos"])
-            found.append(places.select("doc", F.lit(i).alias("i"), weight.alias("w")))
+                places = places.join(word(j), [*by, "doc", "col", "pos"])
+            found.append(places.select(*by, "doc", F.lit(i).alias("i"), weight.alias("w")))
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
-    return every.groupBy("doc", "i").agg(F.sum("w").alias("f"))
+    return every.groupBy(*by, "doc", "i").agg(F.sum("w").alias("f"))
 
 
 def search_index(spark: SparkSession, path: str, weights: Mapping[str, float], groups: Sequence[Sequence[Phrase]], match: str = "all") -> DataFrame:

@@ -1,9 +1,9 @@
 """A stored full-text index that is kept in step with its rows: immutable segments, tombstones, and blocks with bounds for a top-k that reads little.
 
 Each change writes one segment, a folder with
-  lengths   (doc, dl, print, bucket)       a row a document; buckets hold 128 documents of about one length
-  postings  (term, bucket, doc, col, pos)  in this order, so that a term, and a bucket of it, are few pages
-  blocks    (term, kind, bucket, n, m0..)  for each term (kind 0) and prefix of up to six letters (kind 1): documents, and most occurrences a column
+  lengths   (doc, dl, print, bucket, ord)  a row a document; buckets hold up to 128 documents of about one length
+  postings  (term, bucket, col, docs, counts, places)  in this order, docs being places in the bucket: a row for a term of a bucket, not for a word of a text
+  blocks    (term, kind, bucket, n, most, least_dl)  for each term (kind 0) and prefix of up to six letters (kind 1): documents, and most occurrences a column
   gone      (doc, seg)                     documents of older segments that this one replaces or deletes
   minus     (term, kind, seg, n)           how many documents with a term that took away
 and then a manifest that names the live segments and the totals.  Readers follow the highest manifest, so they see a change whole or not at
@@ -23,9 +23,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.operators import inverted
 from lodestone.operators.fulltext import Phrase, group_of, occurrences, part, plan_query, scored
+from lodestone.sources import store
+from lodestone.sources.catalog import bounded_batches
 
-_SHIFT = 7  # documents of a bucket: 2 ** 7
+_SHAPE = {"lengths": ("doc", "dl", "print", "bucket", "ord"), "postings": ("term", "bucket", "col", "docs", "counts", "places"), "blocks": ("term", "kind", "bucket", "n", "most", "least_dl")}
 _FIRST = 32  # buckets read before the bound is known
 _MOST_LISTED = 8192  # buckets named in a filter; beyond that they are joined
 
@@ -104,13 +107,10 @@ class SegmentedIndex:
         """(seg, doc, dl, print, bucket) of the documents that nothing replaced."""
         segments = (manifest or self.manifest())["segments"]
         if not segments:
-            return self.spark.createDataFrame([], f"seg int, {self._doc_type()}, dl int, print string, bucket long")
+            return self.spark.createDataFrame([], "seg int, doc long, dl int, print string, bucket long, ord int")
         lengths = self._read("lengths", segments).drop("by")
         return lengths.join(self._read("gone", segments).select("seg", "doc"), ["seg", "doc"], "left_anti")
 
-    def _doc_type(self) -> str:
-        return "doc long"
-
     # Changes
 
     def _shaped(self, rows: DataFrame) -> DataFrame:
@@ -120,37 +120,30 @@ class SegmentedIndex:
         values = [F.coalesce(F.col(f"c{i}"), F.lit("")) for i in range(len(self.columns))]
         return F.md5(F.concat_ws(",", *(F.length(v).cast("string") for v in values), *values))
 
-    def _cells(self, postings: DataFrame) -> DataFrame:
-        """(term, kind, bucket, doc, t0..): occurrences of each term and prefix in each document, by column."""
-        counts = [F.count_if(F.col("col") == i).alias(f"t{i}") for i in range(len(self.columns))]
-        by = [c for c in ("seg", "bucket", "doc") if c in postings.columns]
-        cells = postings.groupBy("term", *by).agg(*counts)
-        starts = F.transform(F.sequence(F.lit(1), F.least(F.length("term"), F.lit(self.prefixes))), lambda n: F.substring(F.col("term"), F.lit(1), n))
-        names = [f"t{i}" for i in range(len(self.columns))]
-        begun = cells.select(F.explode(starts).alias("term"), *by, *names).groupBy("term", *by).agg(*(F.sum(n).alias(n) for n in names))
-        return cells.withColumn("kind", F.lit(0)).unionByName(begun.withColumn("kind", F.lit(1)))
-
-    def _write(self, lengths: DataFrame, raw: DataFrame, gone: DataFrame, minus: DataFrame, order: int) -> dict:
-        """A segment from lengths (doc, dl, print) and raw postings (term, doc, col, pos); gone and minus tell what it takes from older ones."""
+    def _write(self, staged: DataFrame, gone: DataFrame, minus: DataFrame, order: int) -> dict:
+        """A segment from the rows of its tables (inverted.STAGED), each of which one shuffle brings in order; gone and minus tell what it takes from older ones."""
         folder = f"seg-{order:06d}-{uuid.uuid4().hex}"
         at = f"{self.path}/{folder}"
-        dealt = lengths.repartitionByRange("dl", "doc").sortWithinPartitions("dl", "doc")
-        dealt.select("doc", "dl", "print", F.shiftright(F.monotonically_increasing_id(), _SHIFT).alias("bucket")).write.parquet(f"{at}/lengths")
+        staged.write.parquet(f"{at}/staged")  # so that texts are turned round once, and sampling for the ranges reads keys alone
+        staged = self.spark.read.parquet(f"{at}/staged")
+        for name, columns in _SHAPE.items():
+            rows, by = staged.where(F.col("what") == name).select(*columns), [c for c in ("term", "kind", "bucket", "col", "ord") if c in columns]
+            out = rows.repartitionByRange(*by).sortWithinPartitions(*by).write
+            if name == "postings":
+                out = out.option("parquet.page.row.count.limit", 32).option("parquet.page.size.row.check.min", 8)
+            out.parquet(f"{at}/{name}")
+        store.delete(self.spark, f"{at}/staged")
         lengths = self.spark.read.parquet(f"{at}/lengths")
         if lengths.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1 OR doc IS NULL").limit(1).count():
             raise ValueError(f"{self.key} must be there and unlike in each row")
-        postings = raw.join(lengths.select("doc", "bucket"), "doc").select("term", "bucket", "doc", "col", "pos")
-        paged = postings.repartitionByRange("term", "bucket", "doc").sortWithinPartitions("term", "bucket", "doc", "col", "pos")
-        paged.write.option("parquet.page.row.count.limit", 1024).option("parquet.page.size.row.check.min", 100).parquet(f"{at}/postings")
-        cells = self._cells(self.spark.read.parquet(f"{at}/postings"))
-        blocks = cells.groupBy("term", "kind", "bucket").agg(F.count("*").alias("n"), *(F.max(f"t{i}").alias(f"m{i}") for i in range(len(self.columns))))
-        blocks = blocks.join(lengths.groupBy("bucket").agg(F.min("dl").alias("least_dl")), "bucket")
-        blocks.repartitionByRange("term", "kind", "bucket").sortWithinPartitions("term", "kind", "bucket").write.parquet(f"{at}/blocks")
         gone.write.parquet(f"{at}/gone")
         minus.write.parquet(f"{at}/minus")
         rows, dl = lengths.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
         return {"order": order, "folder": folder, "rows": rows, "dl": dl}
 
+    def _staged(self, doc: DataFrame) -> str:
+        return inverted.STAGED.format(doc.schema["doc"].dataType.simpleString())
+
     def update(self, rows: DataFrame | None = None, removed: DataFrame | None = None) -> None:
         """Rows (key and columns) are added, or replace those of their keys; keys in `removed` go.  One segment is written; older ones are read, not changed."""
         manifest = self.manifest()
@@ -159,18 +152,20 @@ class SegmentedIndex:
             rows = self.spark.createDataFrame([], ", ".join([f"{self.key} long", *(f"{c} string" for c in self.columns)]))
         new = self._shaped(rows)
         ids = new.select("doc") if removed is None else new.select("doc").unionByName(removed.select(F.col(self.key).alias("doc")))
-        gone = self.live(manifest).join(ids, "doc", "left_semi").select("seg", "doc", "dl")
+        gone = self.live(manifest).join(ids, "doc", "left_semi").select("seg", "doc", "dl", "bucket", "ord")
         taken, dl = gone.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
-        lost = self._read("postings", manifest["segments"]) if taken else None
-        if lost is None:
-            minus = self.spark.createDataFrame([], "seg int, term string, kind int, n long")
+        if taken:
+            left = gone.groupBy("seg", "bucket").agg(F.collect_list("ord").alias("left"))  # at most a bucket's documents
+            met = self._read("postings", manifest["segments"]).select("seg", "bucket", "term", "docs").join(left, ["seg", "bucket"])
+            met = met.select("seg", "bucket", "term", F.array_intersect("docs", "left").alias("docs")).where(F.size("docs") > 0)
+            minus = met.groupBy("seg", "bucket").applyInArrow(inverted.lost(self.prefixes), "seg int, term string, kind int, n long")
+            minus = minus.groupBy("seg", "term", "kind").agg(F.sum("n").alias("n"))
         else:
-            lost = lost.drop("bucket", "by").join(gone.select("seg", "doc"), ["seg", "doc"], "left_semi")
-            minus = self._cells(lost).groupBy("seg", "term", "kind").agg(F.count("*").alias("n"))
-        tokens = [T.tokens(F.col(f"c{i}")) for i in range(len(self.columns))]
-        raw = new.select("doc", F.explode(F.array(*(F.struct(F.lit(i).alias("col"), t.alias("ts")) for i, t in enumerate(tokens)))).alias("x")).select("doc", "x.col", F.posexplode("x.ts").alias("pos", "term"))
-        lengths = new.select("doc", sum((F.size(t) for t in tokens), F.lit(0)).alias("dl"), self._print().alias("print"))
-        segment = self._write(lengths, raw, gone.select("seg", "doc"), minus, order)
+            minus = self.spark.createDataFrame([], "seg int, term string, kind int, n long")
+        bounded_batches(self.spark)
+        lists = new.select("doc", self._print().alias("print"), *(T.tokens(F.col(f"c{i}")).alias(f"t{i}") for i in range(len(self.columns))))
+        staged = lists.mapInArrow(inverted.by_bucket(len(self.columns), self.prefixes), self._staged(new))
+        segment = self._write(staged, gone.select("seg", "doc"), minus, order)
         totals = {"rows_all": manifest["rows_all"] - taken + segment["rows"], "dl_all": manifest["dl_all"] - dl + segment["dl"]}
         self._commit({"version": manifest["version"] + 1, "segments": [*manifest["segments"], segment], **totals})
         self.merge()
@@ -206,11 +201,20 @@ class SegmentedIndex:
         if len(chosen) < 2:
             return 0
         oldest, order = chosen[0]["order"], chosen[-1]["order"]
-        lengths = self.live({"segments": chosen})
-        raw = self._read("postings", chosen).drop("bucket", "by").join(lengths.select("seg", "doc"), ["seg", "doc"], "left_semi").select("term", "doc", "col", "pos")
+        live = self.live({"segments": chosen})
+        buckets = live.groupBy("seg", "bucket").agg(F.min("dl").alias("least"), F.count("*").cast("int").alias("n")).select("seg", "bucket", "least", "n")
+        places = ("least", "seg", "bucket")
+        fresh = buckets.repartitionByRange(*places).sortWithinPartitions(*places).mapInArrow(inverted.packed(), "fresh long, seg int, bucket long")
+        at = f"{self.path}/differences/{uuid.uuid4().hex}"
+        fresh.write.parquet(at)
+        fresh = lambda: self.spark.read.parquet(at)  # noqa: E731  a row a bucket
+        postings = self._read("postings", chosen).select("term", "seg", "bucket", "col", "docs", "counts", "places").join(fresh(), ["seg", "bucket"])
+        live = live.select("seg", "bucket", "ord", "doc", "dl", "print").join(fresh(), ["seg", "bucket"])
+        staged = postings.groupBy("fresh").cogroup(live.groupBy("fresh")).applyInArrow(inverted.moved(len(self.columns), self.prefixes), self._staged(live))
         gone = self._read("gone", chosen).where(F.col("seg") < oldest).select("seg", "doc")
         minus = self._read("minus", chosen).where(F.col("seg") < oldest).groupBy("seg", "term", "kind").agg(F.sum("n").alias("n"))
-        merged = self._write(lengths.select("doc", "dl", "print"), raw, gone, minus, order)
+        merged = self._write(staged, gone, minus, order)
+        store.delete(self.spark, at)
         self._commit({**manifest, "version": manifest["version"] + 1, "segments": [*segments[: len(segments) - len(chosen)], merged]})
         return len(chosen)
 
@@ -223,10 +227,14 @@ class SegmentedIndex:
         live = self.live(manifest)
         if not phrases or not manifest["segments"]:
             return live.limit(0).select("doc", F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("hits"))
-        postings = self._read("postings", manifest["segments"]).join(live.select("seg", "doc"), ["seg", "doc"], "left_semi")
-        tf = occurrences(self._named(postings), phrases, weights)
+        tf = self._met(self._read("postings", manifest["segments"]), live, phrases, weights)
         df = tf.groupBy("i").agg(F.count("*").alias("n"))
-        return scored(self._with_totals(tf.join(F.broadcast(df), "i").join(live.select("doc", "dl"), "doc"), manifest), groups, match)  # df has a row a phrase
+        return scored(self._with_totals(tf.join(F.broadcast(df), "i"), manifest), groups, match)  # df has a row a phrase
+
+    def _met(self, postings: DataFrame, live: DataFrame, phrases: Sequence[Phrase], weights: Mapping[str, float]) -> DataFrame:
+        """(doc, dl, i, f) of live documents."""
+        found = occurrences(self._named(postings), phrases, weights, ("seg", "bucket")).withColumnRenamed("doc", "ord")
+        return found.join(live.select("seg", "bucket", "ord", "doc", "dl"), ["seg", "bucket", "ord"]).select("doc", "dl", "i", "f")
 
     def _named(self, postings: DataFrame) -> DataFrame:
         return postings.withColumn("col", F.element_at(F.array(*map(F.lit, self.columns)), F.col("col") + 1))
@@ -248,11 +256,11 @@ class SegmentedIndex:
             wanted = wanted | test
         which = F.explode(F.array_compact(F.array(*(F.when(t, i) for i, t in enumerate(tests))))).alias("i")
         blocks = self._read("blocks", manifest["segments"]).where(wanted)
-        blocks = blocks.select("seg", "bucket", "n", "least_dl", *(f"m{i}" for i in range(len(self.columns))), which)
+        blocks = blocks.select("seg", "bucket", "n", "least_dl", "most", which)
         minus = self._read("minus", manifest["segments"]).where(wanted).select(which, (-F.col("n")).alias("n"))
         counted = {r["i"]: r["n"] for r in blocks.select("i", "n").unionByName(minus).groupBy("i").agg(F.sum("n").alias("n")).collect()}  # a row a phrase
         n = [counted.get(i, 0) for i in range(len(phrases))]
-        f = sum((F.col(f"m{i}") * F.lit(float(weights.get(c, 0.0))) for i, c in enumerate(self.columns)), F.lit(0.0))
+        f = sum((F.get("most", F.lit(i)) * F.lit(float(weights.get(c, 0.0))) for i, c in enumerate(self.columns)), F.lit(0.0))
         rows = self._with_totals(blocks.withColumn("f", f).where("f > 0").withColumn("df", F.element_at(F.array(*map(F.lit, n)), F.col("i") + 1)), manifest)
         best = part(F.col("df"), F.col("rows_all"), F.col("f"), F.col("least_dl"), F.col("mean"))
         out = rows.groupBy("seg", "bucket").agg((F.sum(best) * (1 + 1e-9)).alias("most"), F.countDistinct(group_of(groups)).alias("hits"))
@@ -291,10 +299,10 @@ class SegmentedIndex:
             return self.live(manifest).limit(0).select("doc", F.lit(0.0).alias("score"))
         if not isinstance(buckets, list):
             postings, lengths = (x.join(buckets.select("seg", "bucket"), ["seg", "bucket"], "left_semi") for x in (postings, lengths))
-        live = lengths.join(self._read("gone", manifest["segments"]).select("seg", "doc"), ["seg", "doc"], "left_anti").select("seg", "doc", "dl")
-        tf = occurrences(self._named(postings.join(live, ["seg", "doc"], "left_semi")), phrases, weights)
+        live = lengths.join(self._read("gone", manifest["segments"]).select("seg", "doc"), ["seg", "doc"], "left_anti")
+        tf = self._met(postings, live, phrases, weights)
         df = F.element_at(F.array(*map(F.lit, n)), F.col("i") + 1)
-        return scored(self._with_totals(tf.withColumn("n", df).join(live.select("doc", "dl"), "doc"), manifest), groups, match).select("doc", "score")
+        return scored(self._with_totals(tf.withColumn("n", df), manifest), groups, match).select("doc", "score")
 
     def find_top(self, weights: Mapping[str, float], query: str, k: int) -> DataFrame:
         """The best k of what fulltext.search finds: documents with all tokens of the query, or, if there are none, those with any at half the score."""

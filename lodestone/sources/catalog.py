@@ -25,6 +25,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return found
 
 
+def bounded_batches(spark: SparkSession, most: str = "8m") -> None:
+    """Keeps an Arrow batch small where the session leaves Spark's default, for rows of long texts, token lists or blocks of vectors."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) in ("67108864b", "64m", "64MB"):
+        spark.conf.set(name, most)
+
+
 def parse_platforms(raw: Column) -> Column:
     """A JSON array of names; anything else is an empty array."""
     return F.coalesce(F.when(F.trim(raw).startswith("["), F.from_json(raw, "array<string>")), F.array().cast("array<string>"))
