@@ -14,7 +14,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators import patterns
+from lodestone.operators import inverted, patterns
+from lodestone.sources import store
+from lodestone.sources.catalog import bounded_batches
 
 BEGIN, END = "\x01", "\x02"
 _RAREST = 4
@@ -22,16 +24,18 @@ _MOST_LISTED = 8192
 
 
 def build_grams(rows: DataFrame, key: str, columns: Sequence[str], path: str) -> None:
-    """Under path: postings (gram, col, doc) in this order, and counts (gram, col, n)."""
-    letters = F.regexp_extract_all(F.concat(F.lit(BEGIN), F.lower("text"), F.lit(END + END)), F.lit("(?s)."), F.lit(0))  # an array, for a substring walks the text from its start
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("letters") - 3), lambda i: F.concat(*(F.get("letters", i + k) for k in range(3)))))
-    per = None
-    for c in columns:
-        one = rows.where(F.col(c).isNotNull()).select(F.col(key).alias("doc"), F.lit(c).alias("col"), F.col(c).alias("text")).select("doc", "col", letters.alias("letters")).select(F.explode(grams).alias("gram"), "col", "doc")
-        per = one if per is None else per.unionByName(one)
-    per.repartitionByRange("gram", "col", "doc").sortWithinPartitions("gram", "col", "doc").write.option("parquet.page.row.count.limit", 4096).parquet(f"{path}/postings")
-    written = rows.sparkSession.read.parquet(f"{path}/postings")
-    written.groupBy("gram", "col").agg(F.count("*").alias("n")).repartitionByRange("gram").sortWithinPartitions("gram").write.parquet(f"{path}/counts")
+    """Under path: postings (gram, col, docs) in order of gram, a row for a gram and batch of texts, and counts (gram, col, n)."""
+    spark = rows.sparkSession
+    bounded_batches(spark)
+    letters = [F.concat(F.lit(BEGIN), F.lower(c), F.lit(END + END)).alias(f"t{i}") for i, c in enumerate(columns)]
+    kind = rows.schema[key].dataType.simpleString()
+    turned = rows.select(F.col(key).alias("doc"), *letters).mapInArrow(inverted.grams_by_id(columns), f"gram string, col string, docs array<{kind}>")
+    turned.withColumn("turn", F.monotonically_increasing_id()).write.parquet(f"{path}/turned")  # so that sampling for the ranges reads grams alone
+    sorted_ = spark.read.parquet(f"{path}/turned").repartitionByRange("gram", "turn").sortWithinPartitions("gram", "col", "turn").drop("turn")
+    sorted_.write.option("parquet.page.row.count.limit", 64).option("parquet.page.size.row.check.min", 8).parquet(f"{path}/postings")
+    store.delete(spark, f"{path}/turned")
+    written = spark.read.parquet(f"{path}/postings")
+    written.groupBy("gram", "col").agg(F.sum(F.size("docs")).alias("n")).repartitionByRange("gram").sortWithinPartitions("gram").write.parquet(f"{path}/counts")
 
 
 def needed(glob: str) -> tuple[list[str], str]:
@@ -46,7 +50,7 @@ def candidates(spark: SparkSession, path: str, glob: str, columns: Sequence[str]
     grams, start = needed(glob)
     postings = spark.read.parquet(f"{path}/postings").where(F.col("col").isin(*columns))
     if start:
-        return postings.where(F.col("gram").startswith(start)).select("doc").distinct()
+        return postings.where(F.col("gram").startswith(start)).select(F.explode("docs").alias("doc")).distinct()
     if not grams:
         return None
     return _holding(spark, path, grams, columns)
@@ -60,7 +64,7 @@ def _holding(spark: SparkSession, path: str, grams: Sequence[str], columns: Sequ
     for r in counts.groupBy("gram").agg(F.sum("n").alias("n")).collect():  # a row for each trigram of the glob
         n[r["gram"]] = r["n"]
     rarest = sorted(grams, key=lambda g: (n[g], g))[:_RAREST]
-    met = postings.where(F.col("gram").isin(rarest)).groupBy("doc", "col").agg(F.count("*").alias("n"))
+    met = postings.where(F.col("gram").isin(rarest)).select("col", F.explode("docs").alias("doc")).groupBy("doc", "col").agg(F.count("*").alias("n"))
     return met.where(F.col("n") == len(rarest)).select("doc").distinct()
 
 
@@ -93,5 +97,13 @@ def substring(rows: DataFrame, path: str, needle: str, key: str, columns: Sequen
     elif grams:
         found = _holding(spark, path, sorted(set(grams)), columns)
     else:
-        found = spark.read.parquet(f"{path}/postings").where(F.col("col").isin(*columns) & F.col("gram").startswith(literal)).select("doc").distinct()
+        found = spark.read.parquet(f"{path}/postings").where(F.col("col").isin(*columns) & F.col("gram").startswith(literal)).select(F.explode("docs").alias("doc")).distinct()
+    if found is not None:
+        # Results come in order of key, so if the candidates of the smallest keys hold `limit` of them, no other row is one.
+        listed = [r[0] for r in found.where("doc IS NOT NULL").orderBy("doc").limit(_MOST_LISTED + 1).collect()]
+        if len(listed) > _MOST_LISTED:
+            first = patterns.substring(rows.where(F.col(key).isin(listed[:_MOST_LISTED])), needle, key, tuple(columns), limit)
+            nulls = rows.where(F.col(key).isNull()).limit(1).count()  # they would come first
+            if not nulls and first.count() >= limit:
+                return first
     return patterns.substring(narrowed(rows, key, found), needle, key, tuple(columns), limit)

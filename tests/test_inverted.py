@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import fulltext
+from lodestone.operators import fulltext, grams
 from lodestone.operators.segments import SegmentedIndex
 
 
@@ -25,3 +25,10 @@ def test_postings_of_a_segment(spark, tmp_path):
     postings = spark.read.parquet(f"{index.path}/{one['folder']}/postings")
     assert postings.count() <= 4 * 4  # four terms, two buckets in each of two partitions
     assert postings.agg(F.sum(F.size("places"))).first()[0] == 1800
+
+
+def test_postings_of_trigrams(spark, tmp_path):
+    grams.build_grams(texts(spark), "doc_id", ["text"], str(tmp_path / "g"))
+    postings = spark.read.parquet(str(tmp_path / "g/postings"))
+    assert postings.count() <= 2 * postings.select("gram").distinct().count()
+    assert postings.where("gram = 'gai'").agg(F.sum(F.size("docs"))).first()[0] == 300
