@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.operators.vectorsearch import unit_rows
-from lodestone.sources.catalog import ensure_checkpoint_dir
+from lodestone.operators.vectorsearch import _ROWS, unit_rows
+from lodestone.sources.catalog import bounded_batches, ensure_checkpoint_dir
 
 _SLACK = 1e-6  # radians, above the error of an angle
 _BLOCK_SHIFT = 8  # queries of a block: 2 ** 8
@@ -46,7 +46,7 @@ def _placed(rows: DataFrame, model: dict[int, np.ndarray]) -> DataFrame:
     schema = f"id {rows.schema['id'].dataType.simpleString()}, v array<float>, width int, cell int, angle double"
 
     def run(batches):
-        for batch in batches:
+        for batch in (whole.slice(i, _ROWS) for whole in batches for i in range(0, len(whole), _ROWS)):
             v = batch.column(1)
             size = np.diff(v.offsets.to_numpy())
             flat, starts = v.values.to_numpy(zero_copy_only=False), v.offsets.to_numpy()
@@ -61,6 +61,7 @@ def _placed(rows: DataFrame, model: dict[int, np.ndarray]) -> DataFrame:
                 angle[at[some]] = np.arccos(np.clip(sims[np.arange(len(at)), best], -1, 1))[some]
             yield pa.RecordBatch.from_arrays([batch.column(0), v, pa.array(size.astype(np.int32)), pa.array(cell), pa.array(angle)], names=["id", "v", "width", "cell", "angle"])
 
+    bounded_batches(rows.sparkSession)
     return rows.mapInArrow(run, schema)
 
 
@@ -99,6 +100,7 @@ def _met(pairs: DataFrame, k: int) -> DataFrame:
                 at, of = np.nonzero(sims >= np.partition(sims, len(x) - n, axis=0)[len(x) - n])
                 yield pa.RecordBatch.from_arrays([qids[i].values.take(pa.array(of)), ids[i].values.take(pa.array(at)), pa.array(sims[at, of])], names=["qid", "id", "sim"])
 
+    bounded_batches(pairs.sparkSession)  # a pair is a megabyte and more, so 10,000 of them are no batch
     return pairs.select("width", "qids", "qflat", "ids", "flat").mapInArrow(run, f"qid {kinds[0]}, id {kinds[1]}, sim double")
 
 

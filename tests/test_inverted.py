@@ -32,3 +32,17 @@ def test_postings_of_trigrams(spark, tmp_path):
     postings = spark.read.parquet(str(tmp_path / "g/postings"))
     assert postings.count() <= 2 * postings.select("gram").distinct().count()
     assert postings.where("gram = 'gai'").agg(F.sum(F.size("docs"))).first()[0] == 300
+
+
+def test_a_task_holds_the_best_of_each_query_only():
+    import numpy as np
+    import pyarrow as pa
+
+    from lodestone.operators.vectorsearch import _best
+
+    held = None
+    for start in range(0, 1000, 10):
+        ids = np.arange(start, start + 10)
+        held = _best(held, ids % 2, pa.array(ids), (ids % 500) / 500, 3)
+        assert len(held[0]) <= 2 * 4  # two queries, three rows and a tie
+    assert sorted(held[1].to_pylist()) == [496, 497, 498, 499, 996, 997, 998, 999]
