@@ -21,6 +21,7 @@ from lodestone.sources import store
 from lodestone.sources.catalog import bounded_batches, ensure_checkpoint_dir
 
 K1, B, FLOOR = 1.2, 0.75, 1e-6
+SPREAD = 8  # files that a term may lie in
 
 
 @dataclass(frozen=True)
@@ -136,23 +137,28 @@ def boosted(found: DataFrame, title: str, query: str, mapped: Sequence[str] = ()
 
 
 def build_index(rows: DataFrame, key: str, columns: Sequence[str], path: str) -> None:
-    """Under path: postings (term, col, docs, counts, places) in order of term, those of a common term in several files; lengths (doc, dl); totals (rows_all, mean).
+    """Under path: postings (term, col, docs, counts, places), each file in order of term, those of a common term in several files; lengths (doc, dl); totals (rows_all, mean).
 
-    Texts are read once, and batches of them turned round where they are; what is sorted are rows of a term and batch, not of a token.
+    Texts are read once, and batches of them turned round where they are.  What leaves a task are rows of a term and batch, not of a token; they are shuffled once and written once,
+    by hash, as ranges would be sampled from a first copy.  Lengths come along without a term.
     """
-    bounded_batches(rows.sparkSession)
+    spark = rows.sparkSession
+    bounded_batches(spark)
     kind = rows.schema[key].dataType.simpleString()
     lists = rows.select(F.col(key).alias("doc"), *(T.tokens(F.col(c)).alias(f"t{i}") for i, c in enumerate(columns)))
     turned = lists.mapInArrow(inverted.by_id(columns), f"term string, col string, docs array<{kind}>, counts array<int>, places array<int>")
-    turned.withColumn("turn", F.monotonically_increasing_id()).write.mode("overwrite").parquet(f"{path}/turned")
-    turned = rows.sparkSession.read.parquet(f"{path}/turned")
-    order = ("term", "col", "turn")
-    postings = turned.where("term IS NOT NULL").repartitionByRange("term", "turn").sortWithinPartitions(*order).drop("turn")
-    postings.write.mode("overwrite").option("parquet.page.row.count.limit", 256).option("parquet.page.size.row.check.min", 16).parquet(f"{path}/postings")
-    lengths = turned.where("term IS NULL").select(F.inline(F.arrays_zip(F.col("docs").alias("doc"), F.col("counts").alias("dl"))).alias("doc", "dl"))
+    turned = turned.withColumn("turn", F.monotonically_increasing_id()).withColumn("what", F.when(F.col("term").isNull(), "lengths").otherwise("postings"))
+    dealt = turned.repartition("term", F.col("turn") % SPREAD).sortWithinPartitions("what", "term", "col", "turn").drop("turn")
+    schema = dealt.drop("what").schema
+    dealt.write.mode("overwrite").partitionBy("what").option("parquet.page.row.count.limit", 256).option("parquet.page.size.row.check.min", 16).parquet(f"{path}/turned")
+    if store.exists(spark, f"{path}/turned/what=postings"):
+        store.move(spark, f"{path}/turned/what=postings", f"{path}/postings")
+    else:
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/postings")
+    lengths = spark.read.schema(schema).parquet(f"{path}/turned").where("term IS NULL").select(F.inline(F.arrays_zip(F.col("docs").alias("doc"), F.col("counts").alias("dl"))).alias("doc", "dl"))
     lengths.write.mode("overwrite").parquet(f"{path}/lengths")
-    store.delete(rows.sparkSession, f"{path}/turned")
-    lengths = rows.sparkSession.read.parquet(f"{path}/lengths")
+    store.delete(spark, f"{path}/turned")
+    lengths = spark.read.parquet(f"{path}/lengths")
     lengths.agg(F.count("*").alias("rows_all"), F.avg("dl").alias("mean")).write.mode("overwrite").parquet(f"{path}/totals")
 
 

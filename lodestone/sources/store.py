@@ -44,6 +44,15 @@ def delete(spark: SparkSession, path: str) -> None:
     files.delete(at, True)
 
 
+def move(spark: SparkSession, path: str, to: str) -> None:
+    """Renames a folder; what lay there before goes."""
+    at, files = _files(spark, path)
+    target = _files(spark, to)[0]
+    files.delete(target, True)
+    if not files.rename(at, target):
+        raise OSError(f"{path} could not be moved to {to}")
+
+
 def touch(spark: SparkSession, path: str) -> None:
     """An empty file that marks its folder as whole; the folder goes when the application ends."""
     at, files = _files(spark, path)

@@ -1,5 +1,6 @@
 """What the stored indexes hold: a row for a term and a group of documents, not one for each token or trigram of a text."""
 
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from lodestone.operators import fulltext, grams
@@ -18,6 +19,28 @@ def test_postings_of_an_index(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "i/lengths")).where("dl = 6").count() == 300
 
 
+def test_postings_are_written_once(spark, tmp_path, monkeypatch):
+    written, write = [], DataFrameWriter.parquet
+
+    def counted(self, path, *args, **more):
+        write(self, path, *args, **more)
+        written.append(spark.read.parquet(path).count())
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", counted)
+    fulltext.build_index(texts(spark), "doc_id", ["text"], str(tmp_path / "i"))
+    postings = spark.read.parquet(str(tmp_path / "i/postings"))
+    assert sum(written) <= postings.count() + 2 + 300 + 1  # lengths of two batches, those of 300 documents, totals
+    assert postings.columns == ["term", "col", "docs", "counts", "places"] and postings.where("term IS NULL").count() == 0
+
+
+def test_index_of_texts_without_a_token(spark, tmp_path):
+    for name, rows, most in (("none", texts(spark).limit(0), 0), ("blank", texts(spark).withColumn("text", F.lit(" . ")), 300)):
+        fulltext.build_index(rows, "doc_id", ["text"], str(tmp_path / name))
+        assert spark.read.parquet(str(tmp_path / name / "lengths")).where("dl = 0").count() == most
+        found = fulltext.search_index(spark, str(tmp_path / name), {"text": 1.0}, [[fulltext.Phrase.of("again")]])
+        assert found.count() == 0
+
+
 def test_postings_of_a_segment(spark, tmp_path):
     index = SegmentedIndex(spark, str(tmp_path / "s"), "doc_id", ["text"])
     index.update(texts(spark))
