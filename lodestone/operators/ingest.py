@@ -10,28 +10,29 @@ from lodestone.operators.resolve import framework_slug
 from lodestone.sources.catalog import ensure_checkpoint_dir
 
 
-def upsert(rows: DataFrame, key: str, order: list[str], keep_if_empty: tuple[str, ...] = ("abstract",), arrays: tuple[str, ...] = ("platforms",), kind: str = "kind", primary: str = "is_primary") -> DataFrame:
+def upsert(rows: DataFrame, key: str | list[str], order: list[str], keep_if_empty: tuple[str, ...] = ("abstract",), arrays: tuple[str, ...] = ("platforms",), kind: str = "kind", primary: str = "is_primary", without: tuple[str, ...] = ()) -> DataFrame:
     """Folds rows of one key in arrival order, as repeated upserts would: the last value wins, but an empty text or array keeps the one before,
-    and an unknown kind keeps the last known kind with its primary flag.  One partial aggregation; no group is collected."""
+    and an unknown kind keeps the last known kind with its primary flag.  Columns named in `without` are not returned.  One partial aggregation; no group is collected.
+
+    An aggregate holds its place in the order, so columns that follow the same rule share one.
+    """
+    keys = [key] if isinstance(key, str) else key
     at = F.struct(*order)
-    unknown = K.is_unknown(F.col(kind))
-    last = lambda c: F.max_by(c, at)
-    out = []
-    for c in rows.columns:
-        col = F.col(c)
-        if c == key:
-            continue
-        if c in keep_if_empty:
-            kept = F.max_by(col, F.when(F.coalesce(col, F.lit("")) != "", at))
-            out.append(F.coalesce(kept, last(F.coalesce(col, F.lit("")))).alias(c))
-        elif c in arrays:
-            kept = F.max_by(col, F.when(F.size(F.coalesce(col, F.array())) > 0, at))
-            out.append(F.coalesce(kept, last(col)).alias(c))
-        elif c in (kind, primary):
-            out.append(F.coalesce(F.max_by(col, F.when(~unknown, at)), last(col)).alias(c))
-        else:
-            out.append(last(col).alias(c))
-    return rows.groupBy(key).agg(*out).select(*rows.columns)
+    columns = [c for c in rows.columns if c not in keys and c not in without]
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    folds = []
+    if columns:
+        folds.append(F.max_by(F.struct(*(text(c).alias(c) if c in keep_if_empty else F.col(c) for c in columns)), at).alias("__last"))
+    known = [c for c in columns if c in (kind, primary) and c not in keep_if_empty and c not in arrays]
+    if known:
+        folds.append(F.max_by(F.struct(*known), F.when(~K.is_unknown(F.col(kind)), at)).alias("__known"))
+    full = {c: text(c) != "" for c in columns if c in keep_if_empty} | {c: F.size(F.coalesce(F.col(c), F.array())) > 0 for c in columns if c in arrays and c not in keep_if_empty}
+    folds += [F.max_by(F.col(c), F.when(some, at)).alias(f"__full_{c}") for c, some in full.items()]
+    if not folds:
+        return rows.select(*keys).distinct()
+    before = {c: F.col(f"__full_{c}") for c in full} | {c: F.col("__known").getField(c) for c in known}
+    value = lambda c: F.coalesce(before[c], F.col("__last").getField(c)) if c in before else F.col("__last").getField(c)
+    return rows.groupBy(*keys).agg(*folds).select(*(c if c in keys else value(c).alias(c) for c in rows.columns if c not in without or c in keys))
 
 
 def replace_by_id(old: DataFrame, new: DataFrame, key: str, order: str | None = None) -> DataFrame:

@@ -15,17 +15,24 @@ from lodestone.sources.catalog import ensure_checkpoint_dir
 from lodestone.streaming import merge, ring
 
 
-def dealt(rows: DataFrame, by: str, key: str, path: str, waves: int = 4) -> DataFrame:
-    """A file stream of the rows in about as many micro-batches as waves.  Waves are quantiles of `by` and are written one after the other; in a wave the rows of a key share a file, so they arrive together."""
+def cut_waves(rows: DataFrame, by: str, waves: int) -> list[DataFrame]:
+    """The rows in quantiles of `by`, in order; nulls first."""
     cuts = rows.agg(F.percentile_approx(by, [i / waves for i in range(1, waves)])).first()[0] or []  # waves - 1 values
-    cuts = sorted(set(cuts))
+    cuts, out = sorted(set(cuts)), []
     for i in range(len(cuts) + 1):
         kept = F.lit(True)
         if i:
             kept = kept & (F.col(by) > F.lit(cuts[i - 1]))
         if i < len(cuts):
             kept = kept & ((F.col(by) <= F.lit(cuts[i])) | (F.col(by).isNull() if i == 0 else F.lit(False)))
-        rows.where(kept).repartition(key).write.parquet(f"{path}/{i}")
+        out.append(rows.where(kept))
+    return out
+
+
+def dealt(rows: DataFrame, by: str, key: str, path: str, waves: int = 4) -> DataFrame:
+    """A file stream of the rows in about as many micro-batches as waves.  Waves are quantiles of `by` and are written one after the other; in a wave the rows of a key share a file, so they arrive together."""
+    for i, wave in enumerate(cut_waves(rows, by, waves)):
+        wave.repartition(key).write.parquet(f"{path}/{i}")
     spark = rows.sparkSession
     files = len(spark.read.option("recursiveFileLookup", True).parquet(path).inputFiles())
     return spark.readStream.schema(rows.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", max(1, math.ceil(files / waves))).parquet(path)
@@ -39,8 +46,12 @@ def _folder(spark: SparkSession) -> str:
 def i01_stream(spark, d):
     """The upsert of line items, brought in by ship date through a stream that rewrites only the buckets of each batch."""
     path = _folder(spark)
-    source = dealt(line_items(spark, d).withColumn("day", F.col("at.l_shipdate")), "day", "id", f"{path}/in").drop("day")
-    merge.merge_stream(source, "id", ["at"], f"{path}/table", f"{path}/checkpoint").awaitTermination()
+    rows = line_items(spark, d)
+    for i, wave in enumerate(cut_waves(rows.withColumn("day", F.col("at.l_shipdate")), "day", 4)):
+        # A wave is written before the stream goes on from its checkpoint, so it is one micro-batch, and its rows are not shuffled to share files.
+        wave.drop("day").write.parquet(f"{path}/in/{i}")
+        source = spark.readStream.schema(rows.schema).option("recursiveFileLookup", True).parquet(f"{path}/in")
+        merge.merge_stream(source, "id", ["at"], f"{path}/table", f"{path}/checkpoint", keep_order=False).awaitTermination()
     return merge.read_table(spark, f"{path}/table").select("id", "kind", "is_primary", "abstract", "title")
 
 

@@ -20,6 +20,7 @@ from lodestone.sources import store
 
 VERSION, BUCKET = "merge_version", "merge_bucket"
 OWN = (VERSION, BUCKET, "merge_new")
+HOT_ROWS = 100_000  # of a bucket in a batch; fewer are never much
 
 
 def bucket_of(key: str, buckets: int) -> Column:
@@ -50,10 +51,11 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return rows.drop(BUCKET)
 
 
-def merge_batch(batch: DataFrame, number: int, path: str, key: str, order: list[str], buckets: int = 64, **rules) -> list[int]:
+def merge_batch(batch: DataFrame, number: int, path: str, key: str, order: list[str], buckets: int = 64, keep_order: bool = True, **rules) -> list[int]:
     """Folds a batch into the table by ingest.upsert (`rules` are its further parameters), old rows before new ones, and returns the buckets it rewrote.
 
-    A null key is a key like others.  An empty batch writes nothing, a repeated one nothing either.  The number of buckets is the table's for good.
+    A null key is a key like others.  An empty batch writes nothing, a repeated one nothing either.  The number of buckets is the table's for good, and so is whether it keeps
+    the columns of the order, which only decide inside a batch.
     """
     if clash := sorted(set(OWN) & set(batch.columns)):
         raise ValueError(f"columns {clash} are the table's own")
@@ -65,15 +67,21 @@ def merge_batch(batch: DataFrame, number: int, path: str, key: str, order: list[
     before = live(spark, path, found[-1]) if found else {}
     if found and (had := spark.read.parquet(f"{path}/state/{found[-1]}").first()["buckets"]) != buckets:
         raise ValueError(f"{path} has {had} buckets, not {buckets}")
-    fresh = batch.withColumn(BUCKET, bucket_of(key, buckets)).withColumn("merge_new", F.lit(1))
-    touched = sorted(r[0] for r in fresh.select(BUCKET).distinct().collect())  # at most `buckets` numbers
+    fresh = batch.withColumn(BUCKET, bucket_of(key, buckets))
+    sizes = dict(fresh.groupBy(BUCKET).count().collect())  # at most `buckets` rows
+    touched = sorted(sizes)
     if not touched:
         return []
-    old = _rows(spark, path, {b: before[b] for b in touched if b in before})
-    every = fresh if old is None else old.withColumn("merge_new", F.lit(0)).unionByName(fresh)
-    merged = ingest.upsert(every, key, ["merge_new", *order], **rules).drop("merge_new")
-    # Keys are folded where they are first, so this shuffle moves one row a key; a bucket is a file.
-    merged.repartition(BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(f"{path}/rows/{VERSION}={number}")
+    keys, dropped = [BUCKET, key], () if keep_order else tuple(c for c in order if c != key)
+    # Buckets of far more rows than others hold keys that come very often: those are folded by key, where they are first, before they meet.
+    if hot := [b for b, n in sizes.items() if n > HOT_ROWS and n > 4 * sum(sizes.values()) / buckets]:
+        often = F.col(BUCKET).isin(hot)
+        fresh = fresh.where(~often).unionByName(ingest.upsert(fresh.where(often), keys, order, **rules))
+    old, fresh = _rows(spark, path, {b: before[b] for b in touched if b in before}), fresh.withColumn("merge_new", F.lit(1))
+    every = fresh if old is None else fresh.unionByName(old.withColumn("merge_new", F.lit(0)), allowMissingColumns=not keep_order)
+    # One shuffle: rows meet by bucket, and a bucket's keys are folded where they met; a bucket is a file.
+    merged = ingest.upsert(every.repartition(BUCKET), keys, ["merge_new", *order], **rules, without=("merge_new", *dropped))
+    merged.write.mode("overwrite").partitionBy(BUCKET).parquet(f"{path}/rows/{VERSION}={number}")
     after = before | {b: number for b in touched}
     spark.createDataFrame([(b, v, buckets) for b, v in sorted(after.items())], "bucket int, version long, buckets int").coalesce(1).write.mode("overwrite").parquet(f"{path}/state/{number}")
     _expire(spark, path, found, set(before.items()) | set(after.items()))
@@ -95,13 +103,13 @@ def _expire(spark: SparkSession, path: str, earlier: list[int], kept: set[tuple[
                 store.delete(spark, f"{path}/rows/{version}/{name}")
 
 
-def merge_stream(source: DataFrame, key: str, order: list[str], path: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+def merge_stream(source: DataFrame, key: str, order: list[str], path: str, checkpoint: str, buckets: int = 64, keep_order: bool = True) -> StreamingQuery:
     """Every micro-batch of the source through merge_batch."""
 
     def fold(batch: DataFrame, number: int) -> None:
         batch.persist()
         try:
-            merge_batch(batch, number, path, key, order, buckets)
+            merge_batch(batch, number, path, key, order, buckets, keep_order)
         finally:
             batch.unpersist()
 

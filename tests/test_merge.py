@@ -4,6 +4,7 @@ import os
 import random
 
 import pytest
+from pyspark.sql import DataFrameWriter
 
 from lodestone.operators import ingest
 from lodestone.streaming import merge
@@ -85,3 +86,32 @@ def test_stream_of_files(spark, tmp_path):
     source = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).json(str(tmp_path / "in"))
     merge.merge_stream(source, "id", ["seq"], str(tmp_path / "out"), str(tmp_path / "cp"), 4).awaitTermination(120)
     assert rows_of(merge.read_table(spark, str(tmp_path / "out"))) == rows_of(ingest.upsert(spark.createDataFrame(rows, SCHEMA), "id", ["seq"]))
+
+
+def test_a_batch_is_shuffled_once(spark, tmp_path, monkeypatch):
+    plans, write = [], DataFrameWriter.parquet
+
+    def seen(self, path, *args, **more):
+        if "/rows/" in path:
+            plans.append(self._df._jdf.queryExecution().executedPlan().toString())
+        write(self, path, *args, **more)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", seen)
+    for number in range(2):
+        merge.merge_batch(spark.createDataFrame([(i, number, "class", "x", True) for i in range(50)], SCHEMA), number, str(tmp_path / "t"), "id", ["seq"], 8)
+    assert [p.count("Exchange hashpartitioning(merge_bucket") for p in plans] == [1, 1]
+    assert [p.count("Exchange") for p in plans] == [1, 1]
+
+
+@pytest.mark.parametrize("keep_order", [True, False])
+def test_keys_that_come_very_often(spark, tmp_path, monkeypatch, keep_order):
+    monkeypatch.setattr(merge, "HOT_ROWS", 20)
+    rng, path = random.Random(7), str(tmp_path / "t")
+    parts = [made(rng, 60, 40) + [(7, rng.randrange(100), rng.choice(["class", "symbol"]), rng.choice(["", "a", "b"]), rng.random() < 0.5) for _ in range(200)] for _ in range(3)]
+    for number, part in enumerate(parts):
+        frame = spark.createDataFrame([(*r, j) for j, r in enumerate(part)], f"{SCHEMA}, place int")
+        merge.merge_batch(frame, number, path, "id", ["seq", "place"], 8, keep_order)
+    found, want = merge.read_table(spark, path), batch_upsert(spark, parts)
+    shown = ["id", "kind", "abstract", "is_primary", *(["seq"] if keep_order else [])]
+    assert set(found.columns) == {*shown, *(["place"] if keep_order else [])}
+    assert sorted(map(repr, found.select(shown).collect())) == sorted(map(repr, want.select(shown).collect()))
