@@ -219,3 +219,18 @@ def test_expansion_by_automaton_equals_the_nested_loop(spark):
         assert sorted(map(repr, fusion.expand_all(queries, rules, slash).select(*shown).collect())) == want
         assert sorted(map(repr, fusion.expand_all(queries, rules, slash, block=3).select(*shown).collect())) == want
     assert fusion.expand_all(queries, rules.limit(0)).count() == 0
+
+
+def test_expansion_shuffles_no_texts(spark):
+    odd = [(1, "K-Mart İx"), (2, "k mart"), (3, "ΟΔΟΣ: a--b"), (4, "  a\tb\n_c"), (5, "naïve a b"), (6, "ma rt k"), (7, "ıx k.mart")]
+    queries = spark.createDataFrame(odd, "qid long, query string")
+    schema = "place int, rule string, terms array<string>, case_sensitive boolean, symbols array<string>, frameworks array<string>"
+    rules = spark.createDataFrame([(0, "a", ["k mart", "K Mart", "-: -"], False, [], []), (1, "b", ["a b", "b _c", None], False, ["x"], []), (2, "c", ["ve a", "i x", ": :"], False, [], ["y"])], schema)
+    found = fusion.expand_all(queries, rules)
+    shown = ["qid", "rule", "symbols", "frameworks", "place"]
+    assert sorted(map(repr, found.select(*shown).collect())) == sorted(map(repr, fusion.expand(queries, rules).select(*shown).distinct().collect()))
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("HashAggregate") == 2  # the distinct ids and rule numbers
+    assert "Exchange hashpartitioning(qid" in (whole := found._jdf.queryExecution().executedPlan().toString()) and whole.count("Exchange hashpartitioning") <= 2  # the plan and its first form
+    texts = queries.select(fusion.clean_words(F.col("query")).alias("a"), F.trim(fusion.clean_text(F.col("query"))).alias("b"))
+    assert texts.where("a <> b").count() == 0
